@@ -66,16 +66,20 @@ def term_rows(texts: DataFrame, text_id: str, text: str) -> DataFrame:
     return words.groupBy(text_id, "term").agg(F.count("*").alias("tf"))
 
 
-def text_vectors(texts: DataFrame, text_id: str, text: str, corpus: DataFrame | None = None) -> DataFrame:
+def text_vectors(
+    texts: DataFrame, text_id: str, text: str, corpus: DataFrame | None = None, corpus_text: str = "text"
+) -> DataFrame:
     """Unit-length TF-IDF vectors in sparse long form: (text_id, term, weight).
 
     The inverse document frequency is ``ln((N + 1) / (df + 1))`` over ``corpus``,
     by default the texts themselves.
     """
     terms = term_rows(texts, text_id, text)
-    source = terms if corpus is None else term_rows(corpus, text_id, text)
-    documents = (texts if corpus is None else corpus).agg(F.count("*")).scalar()
-    frequency = source.groupBy("term").agg(F.count("*").alias("df"))
+    if corpus is None:
+        corpus, corpus_text = texts, text
+    documents = corpus.agg(F.count("*")).scalar()
+    distinct = F.array_distinct(word_tokens(F.col(corpus_text)))
+    frequency = explode_rows(corpus, distinct, "term").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((documents + 1) / (F.col("df") + 1))
     dictionary = frequency.select("term", F.col("df").alias("occurrences"), idf.alias("idf"))
     weighted = lookup_join(terms, dictionary, ["term"], "occurrences", text_id).withColumn(

@@ -60,12 +60,7 @@ def trial_plan(
     types: tuple[str, ...] = config.MODIFICATION_TYPES,
 ) -> DataFrame:
     """``trials`` modified prompts per item: type, options as shown and prompt."""
-    numbered = items.select(
-        "item_id",
-        "question",
-        "options",
-        F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"),
-    )
+    numbered = items.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
     key = (F.col("item_id"), F.col("trial"))
     kinds = F.array(*[F.lit(t) for t in types])
     chosen = numbered.withColumn(

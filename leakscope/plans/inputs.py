@@ -145,8 +145,7 @@ def original_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 def trials(spark: SparkSession, sf: str) -> DataFrame:
     """Five modified prompts per question with the model's replies."""
-    items = mcq(spark, sf)
-    planned = prompts.trial_plan(items).join(items.select("item_id", "correct_idx"), "item_id")
+    planned = prompts.trial_plan(mcq(spark, sf))
     kind = pick(10, F.col("item_id"), F.col("trial"), "reply")
     right = (F.array_position("shown_order", F.col("correct_idx")) - 1).cast("int")
     other = F.pmod(right + 1, F.lit(4))
@@ -190,7 +189,7 @@ def option_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
-    """(text_id, category, lang, text): known, corpus and random texts."""
+    """(text_id, category, lang, text): known, corpus, random and unseen texts."""
     documents = read_table(spark, sf, "documents")
     digest = F.md5(F.col("doc_id").cast("string"))
     parts = {
@@ -212,6 +211,12 @@ def texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
             F.lit("").alias("lang"),
             F.regexp_replace(digest, "(.{4})", "$1 ").alias("text"),
         ),
+        "unseen": read_table(spark, sf, "conversations").select(
+            F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("text_id"),
+            F.lit("unseen").alias("category"),
+            F.lit("").alias("lang"),
+            "text",
+        ),
     }
     chosen = [parts[name] for name in (categories or parts)]
     union = chosen[0]

@@ -479,8 +479,8 @@ def perplexity_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def perplexity_ratio_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    scored = inputs.scored_texts(spark, sf, "known", "random").where(~F.col("is_infinite"))
-    references = scored.where(F.col("category") == "random")
+    scored = inputs.scored_texts(spark, sf, "known", "unseen").where(~F.col("is_infinite"))
+    references = scored.where(F.col("category") == "unseen")
     known = scored.where(F.col("category") == "known")
     return logprobs.ratio_verdict(known, references, threshold=0.5).select(
         "text_id", r("compared").alias("compared"), "is_memorized", r("confidence", 4).alias("confidence")
@@ -531,16 +531,16 @@ def temperature_top_p(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def perplexity_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    scored = inputs.scored_texts(spark, sf, "known", "random")
-    return logprobs.perplexity_outliers(scored, "random").select(
+    scored = inputs.scored_texts(spark, sf, "known", "unseen")
+    return logprobs.perplexity_outliers(scored, "unseen").select(
         "text_id", "category", r("z_score", 4).alias("z_score"), "is_outlier"
     )
 
 
 @query
 def contrast_significance(spark: SparkSession, sf: str) -> DataFrame:
-    scored = inputs.scored_texts(spark, sf, "known", "random")
-    tested = logprobs.contrast_significance(scored, "known", "random")
+    scored = inputs.scored_texts(spark, sf, "known", "unseen")
+    tested = logprobs.contrast_significance(scored, "known", "unseen")
     return tested.select(
         "n_left",
         "n_right",
