@@ -18,7 +18,7 @@ from leakscope.operators import corpus_lm, prompts
 from leakscope.operators.embeddings import cosine_pairs
 from leakscope.operators.entities import entity_probes, truth_key
 from leakscope.sources.responses import parse_completions
-from leakscope.sources.tables import read_table
+from leakscope.plans.frames import planned_once, read_table
 
 UNSURE = "I am not sure"
 LETTERS = "ABCD"
@@ -31,6 +31,7 @@ def size_by_id(table: DataFrame, key: str) -> Column:
     return table.agg(F.max(key) + 1).scalar()
 
 
+@planned_once
 def mcq(spark: SparkSession, sf: str) -> DataFrame:
     """Four-option questions from ``benchmark``.
 
@@ -74,6 +75,7 @@ def mcq(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def raw_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Records as a loader finds them: options by letter, answers as letter or text."""
     items = mcq(spark, sf)
@@ -97,6 +99,7 @@ def raw_questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def completion_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """One completion response per question; a third leak the answer, some are unusable."""
     turns = read_table(spark, sf, "conversations")
@@ -124,10 +127,12 @@ def completion_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("item_id", body.alias("body"))
 
 
+@planned_once
 def completions(spark: SparkSession, sf: str) -> DataFrame:
     return parse_completions(completion_bodies(spark, sf))
 
 
+@planned_once
 def original_replies(spark: SparkSession, sf: str) -> DataFrame:
     """The model's reply to each unmodified prompt."""
     items = mcq(spark, sf)
@@ -143,6 +148,7 @@ def original_replies(spark: SparkSession, sf: str) -> DataFrame:
     return items.select("item_id", "question", "options", "correct_idx", reply.alias("answer_text"))
 
 
+@planned_once
 def trials(spark: SparkSession, sf: str) -> DataFrame:
     """Five modified prompts per question with the model's replies."""
     planned = prompts.trial_plan(mcq(spark, sf))
@@ -160,6 +166,7 @@ def _reply(options: Column, index: Column) -> Column:
     return F.concat(index_letter(index), F.lit(". "), F.get(options, index))
 
 
+@planned_once
 def option_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """(seq_id, tokens): last question word and one option; seq_id = 4 * item + option."""
     rows = mcq(spark, sf).select("item_id", "last_word", F.posexplode("options").alias("o", "option"))
@@ -169,6 +176,7 @@ def option_sequences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def option_token_logprobs(spark: SparkSession, sf: str) -> DataFrame:
     """Option words scored by the bigram model of ``documents``."""
     rows = corpus_lm.token_rows(option_sequences(spark, sf), "seq_id", F.col("tokens"))
@@ -176,6 +184,7 @@ def option_token_logprobs(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_lm.score_tokens(rows, documents, "text", "seq_id")
 
 
+@planned_once
 def option_scores(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, option_idx, correct_idx, logprob): mean log-probability per option."""
     scored = option_token_logprobs(spark, sf).groupBy("seq_id").agg(F.avg("logprob").alias("logprob"))
@@ -188,6 +197,7 @@ def option_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
     """(text_id, category, lang, text): known, corpus, random and unseen texts."""
     documents = read_table(spark, sf, "documents")
@@ -225,6 +235,7 @@ def texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
     return union
 
 
+@planned_once
 def scored_texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
     """Perplexity of each text under the bigram model of ``documents``."""
     from leakscope.operators.logprobs import sequence_perplexity
@@ -239,6 +250,7 @@ def scored_texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
     return stats.join(chosen.select("text_id", "category", "lang"), "text_id")
 
 
+@planned_once
 def replies(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns cut into pieces that join back to the text."""
     turns = read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
@@ -268,6 +280,7 @@ def _unusable(kind: Column, good: Column) -> Column:
     )
 
 
+@planned_once
 def legacy_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """Echo responses: every piece and one generated token, the first without score."""
     scored = F.transform(
@@ -286,6 +299,7 @@ def legacy_bodies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def chat_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """Chat responses with three alternatives per piece."""
 
@@ -309,6 +323,7 @@ def chat_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return replies(spark, sf).select("response_id", _unusable(kind, good).alias("body"))
 
 
+@planned_once
 def vector_references(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, ref_id): the four vectors after each vector."""
     vectors = read_table(spark, sf, "embeddings")
@@ -319,11 +334,13 @@ def vector_references(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def vector_similarities(spark: SparkSession, sf: str) -> DataFrame:
     pairs = vector_references(spark, sf)
     return cosine_pairs(pairs, read_table(spark, sf, "embeddings"), "item_id", "ref_id")
 
 
+@planned_once
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     """Capitalised words of at least five letters in one document of fifty, and regions.
 
@@ -345,6 +362,7 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return frequent.unionByName(regions)
 
 
+@planned_once
 def followers(spark: SparkSession, sf: str) -> DataFrame:
     """(entity, follower): the word that most often comes right after the entity."""
     listed = entities(spark, sf)
@@ -363,6 +381,7 @@ def followers(spark: SparkSession, sf: str) -> DataFrame:
     return counts.groupBy("entity").agg(best["follower"].alias("follower"))
 
 
+@planned_once
 def entity_truth(spark: SparkSession, sf: str) -> DataFrame:
     keys = F.array_distinct(F.array(*[truth_key(F.lit(t)) for t in config.ENTITY_TEMPLATES]))
     return followers(spark, sf).select(
@@ -370,6 +389,7 @@ def entity_truth(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def entity_completions(spark: SparkSession, sf: str) -> DataFrame:
     """Completions of the probes: right in two of three cases where a truth is known."""
     probes = entity_probes(entities(spark, sf)).join(followers(spark, sf), "entity", "left")
@@ -385,6 +405,7 @@ def entity_completions(spark: SparkSession, sf: str) -> DataFrame:
 HELD_OUT = ("p_type", "p_size", "p_retailprice")
 
 
+@planned_once
 def row_completions(spark: SparkSession, sf: str) -> DataFrame:
     """Completed rows of ``part`` with omissions, errors and longer values."""
     part = read_table(spark, sf, "part")
@@ -399,6 +420,7 @@ def row_completions(spark: SparkSession, sf: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("row_id"), F.concat_ws("\n", *lines).alias("completion"))
 
 
+@planned_once
 def probe_completions(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, variant, completion): the true continuation, a shifted one, or a later part."""
     documents = read_table(spark, sf, "documents")
@@ -415,6 +437,7 @@ def probe_completions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def dialogue_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns with the user turn right before them."""
     turns = read_table(spark, sf, "conversations")
@@ -427,6 +450,7 @@ def dialogue_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return answered.join(asked, ["conv_id", "turn"])
 
 
+@planned_once
 def extraction_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, expected, produced) word arrays, reproduced in whole, in part or not."""
     items = mcq(spark, sf)

@@ -69,6 +69,16 @@ def _grams(tokens: str, n: int) -> str:
     )
 
 
+def _gram_rows(key: str, table: str, n: int) -> str:
+    """(key, gram) for the distinct n-grams of a table with a word list ``t``."""
+    shifted = ", ".join(f"unnest(t[{i}:]) AS w{i}" for i in range(1, n + 1))
+    words = ", ".join(f"w{i}" for i in range(1, n + 1))
+    return (
+        f"SELECT DISTINCT {key}, concat_ws(' ', {words}) AS gram "
+        f"FROM (SELECT {key}, {shifted} FROM {table}) WHERE w{n} IS NOT NULL"
+    )
+
+
 def _rule(token: str) -> str:
     return (
         f"CASE WHEN lower(trim({token})) IN {_in(config.COMMON_WORDS)} "
@@ -166,13 +176,10 @@ FRAGMENTS: dict[str, str] = {
     "ngram_scores": """
         SELECT item_id, max(best) AS score, max(best) > 0.3 AS flag FROM by_size GROUP BY item_id""",
     # contamination
-    "item_grams": f"""
-        SELECT item_id, unnest({_grams("t", 8)}) AS gram
-        FROM (SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM benchmark)""",
+    "item_words": f"SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM benchmark",
+    "item_grams": _gram_rows("item_id", "item_words", 8),
     "doc_grams": f"""
-        SELECT doc_id, gram FROM (
-            SELECT doc_id, unnest({_grams("t", 8)}) AS gram
-            FROM (SELECT doc_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM documents))
+        SELECT doc_id, gram FROM ({_gram_rows("doc_id", "doc_words", 8)})
         WHERE gram IN (SELECT gram FROM item_grams)""",
     "contaminated": """
         SELECT item_id, doc_id, count(*) AS overlap_count, any_value(total) AS ref_count,
@@ -533,8 +540,12 @@ STATEMENTS: dict[str, str] = {
                md5(array_to_string(t, ' ')) AS digest
         FROM doc_words""",
     "ngram_sets": f"""
-        SELECT doc_id, {", ".join(f"len({_grams('t', n)}) AS grams_{n}" for n in (2, 3, 4))}
-        FROM doc_words""",
+        SELECT doc_id, coalesce(g2, 0) AS grams_2, coalesce(g3, 0) AS grams_3, coalesce(g4, 0) AS grams_4
+        FROM documents
+        {" ".join(
+            f"LEFT JOIN (SELECT doc_id, count(*) AS g{n} FROM ({_gram_rows('doc_id', 'doc_words', n)}) "
+            f"GROUP BY doc_id) USING (doc_id)" for n in (2, 3, 4)
+        )}""",
     "ngram_overlap": """
         SELECT item_id, ref_idx, n::BIGINT AS n, overlap_count, ref_count,
                round(ratio, 6) + 0.0 AS overlap_ratio

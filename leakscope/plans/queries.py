@@ -25,7 +25,8 @@ from leakscope.operators import (
 from leakscope.plans import inputs
 from leakscope.session import shared_folder
 from leakscope.sources import questions, responses, results
-from leakscope.sources.tables import read_table, read_tabular
+from leakscope.plans.frames import planned_once, read_table
+from leakscope.sources.tables import read_tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,6 +74,7 @@ def preprocess_questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def _items_with_records(spark: SparkSession, sf: str) -> DataFrame:
     items = inputs.mcq(spark, sf)
     return items.select(
@@ -84,6 +86,7 @@ def _items_with_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def _documents_of_run(spark: SparkSession, sf: str) -> DataFrame:
     found = detections(spark, sf)
     verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), found)
@@ -266,6 +269,7 @@ def ngram_sets(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.select("doc_id", *sizes)
 
 
+@planned_once
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
     usable = inputs.completions(spark, sf).where(F.col("error").isNull())
     return ngrams.ngram_overlap(usable, ngrams.own_references(inputs.mcq(spark, sf)))
@@ -294,6 +298,7 @@ def ngram_by_size(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def _ngram_detections(spark: SparkSession, sf: str) -> DataFrame:
     scored = ngrams.ngram_verdict(ngrams.ngram_by_size(_overlaps(spark, sf)))
     errors = inputs.completions(spark, sf).select("item_id", "error")
@@ -306,6 +311,7 @@ def ngram_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("item_id", r("memorization_score").alias("memorization_score"), "is_memorized")
 
 
+@planned_once
 def _contaminated(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.corpus_contamination(
         read_table(spark, sf, "benchmark"), read_table(spark, sf, "documents")
@@ -345,6 +351,7 @@ def prefix_probe(spark: SparkSession, sf: str) -> DataFrame:
 # --- log-probabilities and perplexity ----------------------------------------
 
 
+@planned_once
 def _reply_tokens(spark: SparkSession, sf: str) -> DataFrame:
     parsed = responses.parse_legacy(inputs.legacy_bodies(spark, sf))
     return responses.legacy_token_rows(parsed, "response_id", "prompt_chars", "total_chars")
@@ -500,6 +507,7 @@ def corpus_lm_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.scored_texts(spark, sf).select(*_perplexity_columns("text_id"))
 
 
+@planned_once
 def _alternatives(spark: SparkSession, sf: str) -> DataFrame:
     parsed = responses.parse_chat(inputs.chat_bodies(spark, sf))
     rows = responses.chat_token_rows(parsed, "response_id")
@@ -624,6 +632,7 @@ def extract_answer(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def _originals(spark: SparkSession, sf: str) -> DataFrame:
     return consistency.original_answers(inputs.original_replies(spark, sf))
 
@@ -646,6 +655,7 @@ def trial_plan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def _mapped(spark: SparkSession, sf: str) -> DataFrame:
     return consistency.map_trial_answers(inputs.trials(spark, sf))
 
@@ -661,6 +671,7 @@ def map_trial_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def _consistent(spark: SparkSession, sf: str) -> DataFrame:
     return consistency.consistency_score(_mapped(spark, sf), _originals(spark, sf))
 
@@ -692,6 +703,7 @@ def detectors(spark: SparkSession, sf: str) -> dict[str, verdict.Detector]:
     }
 
 
+@planned_once
 def _vector_detections(spark: SparkSession, sf: str) -> DataFrame:
     judged = embeddings.embedding_verdict(inputs.vector_similarities(spark, sf), VECTOR_THRESHOLD)
     items = inputs.mcq(spark, sf).select("item_id")
@@ -699,6 +711,7 @@ def _vector_detections(spark: SparkSession, sf: str) -> DataFrame:
     return items.join(judged, "item_id", "left").withColumn("error", missing)
 
 
+@planned_once
 def detections(spark: SparkSession, sf: str) -> DataFrame:
     return verdict.run_methods(detectors(spark, sf), ["all"])
 
@@ -741,6 +754,7 @@ def entity_probes(spark: SparkSession, sf: str) -> DataFrame:
     return entities.entity_probes(inputs.entities(spark, sf))
 
 
+@planned_once
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return entities.entity_hits(inputs.entity_completions(spark, sf), inputs.entity_truth(spark, sf))
 
@@ -750,6 +764,7 @@ def entity_hits(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf).select("entity", "template", "completion", "is_correct")
 
 
+@planned_once
 def _entity_scores(spark: SparkSession, sf: str) -> DataFrame:
     return entities.entity_score(_hits(spark, sf), inputs.entities(spark, sf))
 
@@ -759,6 +774,7 @@ def entity_score(spark: SparkSession, sf: str) -> DataFrame:
     return _entity_scores(spark, sf).select("entity", "probes", r("score").alias("score"))
 
 
+@planned_once
 def _rarity(spark: SparkSession, sf: str) -> DataFrame:
     documents = read_table(spark, sf, "documents")
     return entities.entity_rarity(inputs.entities(spark, sf), documents, "text")
@@ -809,6 +825,7 @@ def row_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return tabular.row_prompts(read_table(spark, sf, "part"), "p_partkey", sample_rows=100)
 
 
+@planned_once
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
     return tabular.extract_row_values(inputs.row_completions(spark, sf), list(inputs.HELD_OUT))
 
@@ -818,6 +835,7 @@ def extract_row_values(spark: SparkSession, sf: str) -> DataFrame:
     return _extracted(spark, sf).select("row_id", F.col("column").alias("column_name"), "predicted")
 
 
+@planned_once
 def _compared(spark: SparkSession, sf: str) -> DataFrame:
     part = read_table(spark, sf, "part")
     actual = tabular.held_out_values(part, "p_partkey", list(inputs.HELD_OUT))
@@ -870,6 +888,7 @@ def score_by_duplication(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
 def _likelihoods(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, likelihood): inverse perplexity of each document."""
     scored = inputs.scored_texts(spark, sf, "corpus").where(~F.col("is_infinite"))
