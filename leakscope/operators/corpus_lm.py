@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leakscope import config
 from leakscope.functions.text import word_tokens
 from leakscope.operators.scaling import lookup_join
+from leakscope.session import stored
 
 
 def rule_logprob(token: Column) -> Column:
@@ -43,56 +44,60 @@ def text_token_rows(texts: DataFrame, seq_id: str, text: str) -> DataFrame:
     return token_rows(texts, seq_id, word_tokens(F.col(text)))
 
 
-def unigram_counts(corpus: DataFrame, text: str) -> DataFrame:
-    words = corpus.select(F.explode_outer(word_tokens(F.col(text))).alias("token"))
-    return words.where(F.col("token").isNotNull()).groupBy("token").agg(
-        F.count("*").alias("token_count")
-    )
-
+def score_tokens(rows: DataFrame, corpus: DataFrame, text: str, seq_id: str) -> DataFrame:
+    """Add-one bigram log-probabilities of rows, counted on a larger corpus.
 
-def bigram_rows(corpus: DataFrame, text: str) -> DataFrame:
-    """Adjacent word pairs of each text."""
-    stored = corpus.select(word_tokens(F.col(text)).alias("_tokens"))
-    pairs = F.zip_with(
-        F.col("_tokens"),
-        F.slice(F.col("_tokens"), 2, F.greatest(F.size("_tokens") - 1, F.lit(0))),
-        lambda prev, token: F.struct(prev.alias("prev"), token.alias("token")),
+    One pass over the corpus counts every word, but keeps the word before it
+    only where the scored rows ask for that pair. So what is grouped and
+    shuffled grows with the vocabulary, not with the corpus.
+    """
+    needed = _scored_pairs(rows)
+    marked = needed.select("prev", "token", F.lit(True).alias("is_needed"))
+    corpus_words = text_token_rows(corpus.withColumn("_id", F.lit(0)), "_id", text)
+    counted = (
+        corpus_words.join(marked, ["prev", "token"], "left")
+        .groupBy(F.when(F.col("is_needed"), F.col("prev")).alias("prev"), "token")
+        .agg(F.count("*").alias("pair_count"))
     )
-    exploded = stored.select(F.explode_outer(pairs).alias("_p"))
-    return exploded.where(F.col("_p.token").isNotNull()).select("_p.prev", "_p.token")
+    counted = stored(counted, "word-counts")
+    pairs = needed.join(counted, ["prev", "token"], "left")
+    return _score(rows, pairs, _word_counts(counted), seq_id)
 
 
-def score_tokens(
-    rows: DataFrame, corpus: DataFrame, text: str, seq_id: str, few_pairs: bool = True
-) -> DataFrame:
-    """Add-one bigram log-probabilities for (seq_id, pos, prev, token) rows.
+def score_own_tokens(rows: DataFrame, seq_id: str, in_model: str) -> DataFrame:
+    """The same where the corpus is part of the scored rows, marked by ``in_model``.
 
-    The distinct word pairs of the scored rows form a dictionary that is
-    completed from the corpus counts, so the rows themselves are joined once.
-    ``few_pairs`` counts only the pairs that are needed; switch it off when the
-    scored texts are as large as the corpus.
+    One grouping of the rows by word pair gives both what must be scored and
+    what the model counts.
     """
-    needed = rows.where(F.col("prev").isNotNull()).groupBy("prev", "token").agg(
+    counted = rows.groupBy("prev", "token").agg(
+        F.count("*").alias("occurrences"), F.count_if(in_model).alias("pair_count")
+    )
+    counted = stored(counted, "pair-counts")
+    pairs = counted.where(F.col("prev").isNotNull())
+    return _score(rows, pairs, _word_counts(counted), seq_id)
+
+
+def _scored_pairs(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("prev").isNotNull()).groupBy("prev", "token").agg(
         F.count("*").alias("occurrences")
     )
-    bigrams = bigram_rows(corpus, text)
-    if few_pairs:
-        bigrams = bigrams.join(needed.select("prev", "token"), ["prev", "token"], "left_semi")
-    bigrams = bigrams.groupBy("prev", "token").agg(F.count("*").alias("pair_count"))
-    unigrams = unigram_counts(corpus, text)
-    vocabulary = unigrams.agg(F.count("*")).scalar()
-    contexts = unigrams.withColumnsRenamed({"token": "prev", "token_count": "prev_count"})
-    scored = (
-        needed.join(bigrams, ["prev", "token"], "left")
-        .join(contexts, ["prev"], "left")
-        .select(
-            "prev",
-            "token",
-            "occurrences",
-            F.ln(
-                (F.coalesce("pair_count", F.lit(0)) + 1)
-                / (F.coalesce("prev_count", F.lit(0)) + vocabulary)
-            ).alias("logprob"),
+
+
+def _word_counts(counted: DataFrame) -> DataFrame:
+    """(prev, prev_count): how often each word of the corpus occurs."""
+    words = counted.groupBy(F.col("token").alias("prev")).agg(F.sum("pair_count").alias("prev_count"))
+    return words.where(F.col("prev_count") > 0)
+
+
+def _score(rows: DataFrame, pairs: DataFrame, words: DataFrame, seq_id: str) -> DataFrame:
+    vocabulary = words.agg(F.count("*")).scalar()
+
+    def with_logprob(part: DataFrame) -> DataFrame:
+        seen = F.coalesce("pair_count", F.lit(0)) + 1
+        context = F.coalesce("prev_count", F.lit(0)) + vocabulary
+        return part.join(words, ["prev"], "left").select(
+            "prev", "token", F.ln(seen / context).alias("logprob")
         )
-    )
-    return lookup_join(rows, scored, ["prev", "token"], "occurrences", seq_id)
+
+    return lookup_join(rows, pairs, ["prev", "token"], "occurrences", seq_id, with_logprob)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscope import config
 from leakscope.functions.text import WORD, cased_tokens, explode_rows
+from leakscope.session import stored
 
 WORDS_AND_GAPS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
@@ -108,7 +109,7 @@ def entity_rarity(
 
 
 def texts_with_entities(
-    texts: DataFrame, entities: DataFrame, text_id: str, text: str, longest: int = 64
+    texts: DataFrame, entities: DataFrame, text_id: str, text: str
 ) -> DataFrame:
     """Texts that contain at least one listed entity as a substring.
 
@@ -132,30 +133,29 @@ def texts_with_entities(
     )
     sizes = keyed.agg(F.array_sort(F.collect_set(F.length("part")))).scalar()
     vocabulary = words.select("word").distinct().withColumn("_sizes", sizes)
-    substrings = vocabulary.select(
-        "word",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.filter("_sizes", lambda n: (n > 0) & (n <= F.length("word"))),
-                        lambda n: F.transform(
-                            F.sequence(F.lit(1), F.length("word") - n + 1),
-                            lambda i: F.substring(F.col("word"), i, n),
-                        ),
-                    )
-                )
-            )
-        ).alias("part"),
+    cuts = F.flatten(
+        F.transform(
+            F.filter("_sizes", lambda n: (n > 0) & (n <= F.length("word"))),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length("word") - n + 1),
+                lambda i: F.substring(F.col("word"), i, n),
+            ),
+        )
+    )
+    substrings = explode_rows(vocabulary, F.array_distinct(cuts), "part", "word")
+    whole = F.col("entity") == F.col("part")
+    matched = substrings.join(keyed, "part").groupBy("word").agg(
+        F.max(whole).alias("sure"), F.collect_set(F.when(~whole, F.col("entity"))).alias("maybe")
+    )
+    hits = words.join(matched, "word").groupBy(text_id).agg(
+        F.max("sure").alias("_sure"), F.array_distinct(F.flatten(F.collect_set("maybe"))).alias("_maybe")
     )
-    matched = substrings.join(keyed, "part").select("word", "entity", "part")
-    certain = matched.where(F.col("entity") == F.col("part")).select("word").distinct()
-    sure = words.join(certain, "word", "left_semi").select(text_id).distinct()
-    open_words = matched.where(F.col("entity") != F.col("part")).select("word", "entity")
-    pairs = words.join(open_words, "word").select(text_id, "entity").distinct()
+    hits = stored(hits, "entity-hits")
+    sure = hits.where(F.col("_sure")).select(text_id)
+    open_pairs = explode_rows(hits.where(~F.col("_sure")), F.col("_maybe"), "entity", text_id)
     checked = (
         texts.select(text_id, text)
-        .join(pairs, text_id)
+        .join(open_pairs, text_id)
         .where(F.contains(F.col(text), F.col("entity")))
         .select(text_id)
     )

@@ -8,7 +8,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from leakscope.session import stored
 
 
 def membership_scores(features: DataFrame, key: str, columns: list[str], label: str) -> DataFrame:
@@ -16,17 +17,15 @@ def membership_scores(features: DataFrame, key: str, columns: list[str], label:
     complete = features.select(key, F.col(label).cast("double").alias(label), *columns).na.fill(
         0.0, columns
     )
-    stored = complete.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = stored(complete, "membership-features")
     model = Pipeline(
         stages=[
             VectorAssembler(inputCols=columns, outputCol="_raw"),
             StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True),
             LogisticRegression(featuresCol="_scaled", labelCol=label, maxIter=25, regParam=0.01),
         ]
-    ).fit(stored.where(F.col(label).isNotNull()))
-    scored = model.transform(complete)
-    stored.unpersist()
-    return scored.select(
+    ).fit(kept.where(F.col(label).isNotNull()))
+    return model.transform(kept).select(
         key,
         F.col(label).cast("int").alias(label),
         vector_to_array("probability")[1].alias("membership"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ def lookup_join(
     keys: list[str],
     occurrences: str,
     spread: str,
+    complete: Callable[[DataFrame], DataFrame] | None = None,
     hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Left join of rows with a dictionary that has one entry per key.
@@ -24,22 +27,24 @@ def lookup_join(
     ``occurrences`` counts the rows per key. The hot keys, at most
     ``1 / hot_share`` by arithmetic, are broadcast; their rows then travel to the
     second join under salted keys that match nothing there, spread by ``spread``.
+    ``complete`` adds the values to either part of the dictionary, so costly
+    ones are not worked out just to find the hot keys.
     """
-    values = [c for c in dictionary.columns if c not in keys and c != occurrences]
+    limit = dictionary.agg(F.sum(occurrences)).scalar() * F.lit(hot_share)
+    is_hot = F.col(occurrences) > limit
+    complete = complete or (lambda part: part.drop(occurrences))
+    hot, cold = complete(dictionary.where(is_hot)), complete(dictionary.where(~is_hot))
+    values = [c for c in hot.columns if c not in keys]
     entry = F.struct(*values)
-    total = dictionary.agg(F.sum(occurrences)).scalar()
-    limit = total * F.lit(hot_share)
-    hot = dictionary.where(F.col(occurrences) > limit).select(*keys, entry.alias("_hot"))
-    cold = dictionary.where(F.col(occurrences) <= limit).select(
-        *keys, F.lit(0).alias("_salt"), entry.alias("_cold")
-    )
     salt = F.when(F.col("_hot").isNull(), 0).otherwise(
         1 + F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     )
     found = (
-        rows.join(F.broadcast(hot), keys, "left")
+        rows.join(F.broadcast(hot.select(*keys, entry.alias("_hot"))), keys, "left")
         .withColumn("_salt", salt)
-        .join(cold, [*keys, "_salt"], "left")
+        .join(
+            cold.select(*keys, F.lit(0).alias("_salt"), entry.alias("_cold")), [*keys, "_salt"], "left"
+        )
         .withColumn("_entry", F.coalesce("_hot", "_cold"))
     )
     return found.select(*rows.columns, *[F.col(f"_entry.{v}").alias(v) for v in values])

@@ -31,10 +31,10 @@ def planned_once(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return planned
 
 
-# The table with long texts and the unique key it may be spread by.
-SPREAD_BY = {"documents": "doc_id"}
+# Tables with long texts and the unique key they may be spread by.
+SPREAD_BY = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
 
 
 @planned_once
 def read_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tables.read_table(spark, sf, name, SPREAD_BY.get(name))
+    return tables.read_table(spark, sf, name, *SPREAD_BY.get(name, ()))

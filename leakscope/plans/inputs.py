@@ -17,8 +17,9 @@ from leakscope.functions.text import cased_tokens, explode_rows, index_letter, w
 from leakscope.operators import corpus_lm, prompts
 from leakscope.operators.embeddings import cosine_pairs
 from leakscope.operators.entities import entity_probes, truth_key
-from leakscope.sources.responses import parse_completions
+from leakscope.operators.logprobs import sequence_perplexity
 from leakscope.plans.frames import planned_once, read_table
+from leakscope.sources.responses import parse_completions
 
 UNSURE = "I am not sure"
 LETTERS = "ABCD"
@@ -238,14 +239,16 @@ def texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
 @planned_once
 def scored_texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
     """Perplexity of each text under the bigram model of ``documents``."""
-    from leakscope.operators.logprobs import sequence_perplexity
-
     chosen = texts(spark, sf, *categories)
-    rows = corpus_lm.text_token_rows(chosen, "text_id", "text")
-    whole_corpus = not categories or "corpus" in categories
-    scored = corpus_lm.score_tokens(
-        rows, read_table(spark, sf, "documents"), "text", "text_id", few_pairs=not whole_corpus
-    )
+    in_model = F.col("category") == "corpus"
+    if categories and "corpus" not in categories:
+        rows = corpus_lm.text_token_rows(chosen, "text_id", "text")
+        documents = read_table(spark, sf, "documents")
+        scored = corpus_lm.score_tokens(rows, documents, "text", "text_id")
+    else:
+        tagged = chosen.withColumn("key", F.struct("text_id", in_model.alias("in_model")))
+        rows = corpus_lm.text_token_rows(tagged, "key", "text").select("key.*", "pos", "prev", "token")
+        scored = corpus_lm.score_own_tokens(rows, "text_id", "in_model")
     stats = sequence_perplexity(scored, "text_id")
     return stats.join(chosen.select("text_id", "category", "lang"), "text_id")
 

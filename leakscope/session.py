@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -37,3 +37,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         base = tempfile.mkdtemp(prefix="run-", dir="/tmp" if os.path.isdir("/tmp") else None)
     return f"{base.rstrip('/')}/leakscope-{name}-{uuid.uuid4().hex}"
+
+
+def stored(table: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    For tables several branches of a plan read: each branch would prune other
+    columns, share no exchange and compute the table anew. A written table also
+    outlives lost executors.
+    """
+    path = shared_folder(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.parquet(path)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, folder: str, name: str, *spread_by: str) -> DataFrame:
     table = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    return spread(table, spread_by) if spread_by else table
+    return spread(table, *spread_by) if spread_by else table
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
+def spread(table: DataFrame, *keys: str) -> DataFrame:
     """Give a table of few files, as a single row group cannot be split, to all cores.
 
     Only a table with fewer partitions than the cluster has cores is shuffled;
@@ -19,7 +19,7 @@ def spread(table: DataFrame, key: str) -> DataFrame:
     cores = table.sparkSession.sparkContext.defaultParallelism
     if table.rdd.getNumPartitions() >= cores:
         return table
-    return table.repartition(key)
+    return table.repartition(*keys)
 
 
 def read_tabular(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
