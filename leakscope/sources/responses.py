@@ -8,16 +8,29 @@ from pyspark.sql import functions as F
 from leakscope import schemas
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _parsed(body: str, schema: str) -> Column:
+    """The response as a struct; broken JSON fills the extra corrupt-record field."""
+    return F.from_json(
+        F.col(body), f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}
+    )
+
+
+def _broken() -> Column:
+    return F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
+
+
 def parse_completions(responses: DataFrame, body: str = "body") -> DataFrame:
     """Completion text and, for unusable responses, the reason.
 
     A response without a list of choices yields the empty text, as does a
     choice without content; an empty list or broken JSON is an error.
     """
-    parsed = F.from_json(F.col(body), schemas.COMPLETION_RESPONSE)
-    rows = responses.withColumn("_r", parsed)
+    rows = responses.withColumn("_r", _parsed(body, schemas.COMPLETION_RESPONSE))
     reason = (
-        F.when(_broken(F.col(body)), "malformed")
+        F.when(_broken(), "malformed")
         .when(F.size("_r.choices") == 0, "no_choices")
     )
     content = F.coalesce(F.get(F.col("_r.choices"), 0)["message"]["content"], F.lit(""))
@@ -28,40 +41,32 @@ def parse_completions(responses: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def _broken(text: Column) -> Column:
-    """True for text that is not a JSON object."""
-    return text.isNull() | F.json_object_keys(text).isNull()
-
-
 def parse_legacy(responses: DataFrame, body: str = "body") -> DataFrame:
     """Token and log-probability arrays of echo responses, with a reason if bad."""
-    parsed = F.from_json(F.col(body), schemas.LEGACY_LOGPROB_RESPONSE)
-    rows = responses.withColumn("_r", parsed)
+    rows = responses.withColumn("_r", _parsed(body, schemas.LEGACY_LOGPROB_RESPONSE))
     logprobs = F.get(F.col("_r.choices"), 0)["logprobs"]
     rows = rows.withColumn("tokens", logprobs["tokens"]).withColumn(
         "token_logprobs", logprobs["token_logprobs"]
     )
-    return _with_reason(
-        rows, body, logprobs, F.least(_length("tokens"), _length("token_logprobs"))
-    ).drop("_r", body)
+    shorter = F.least(_length("tokens"), _length("token_logprobs"))
+    return _with_reason(rows, logprobs, shorter).drop("_r", body)
 
 
 def parse_chat(responses: DataFrame, body: str = "body") -> DataFrame:
     """Content array (token, log-probability, alternatives), with a reason if bad."""
-    parsed = F.from_json(F.col(body), schemas.CHAT_LOGPROB_RESPONSE)
-    rows = responses.withColumn("_r", parsed)
+    rows = responses.withColumn("_r", _parsed(body, schemas.CHAT_LOGPROB_RESPONSE))
     logprobs = F.get(F.col("_r.choices"), 0)["logprobs"]
     rows = rows.withColumn("content", logprobs["content"])
-    return _with_reason(rows, body, logprobs, _length("content")).drop("_r", body)
+    return _with_reason(rows, logprobs, _length("content")).drop("_r", body)
 
 
 def _length(column: str) -> Column:
     return F.coalesce(F.size(column), F.lit(0))
 
 
-def _with_reason(rows: DataFrame, body: str, logprobs: Column, tokens: Column) -> DataFrame:
+def _with_reason(rows: DataFrame, logprobs: Column, tokens: Column) -> DataFrame:
     reason = (
-        F.when(_broken(F.col(body)), "malformed")
+        F.when(_broken(), "malformed")
         .when(F.coalesce(F.size("_r.choices"), F.lit(0)) <= 0, "no_choices")
         .when(logprobs.isNull(), "no_logprobs")
         .when(tokens <= 0, "no_tokens")
@@ -82,17 +87,26 @@ def legacy_token_rows(parsed: DataFrame, *keys: str) -> DataFrame:
     zipped = F.arrays_zip(
         F.col("tokens").alias("token"), F.col("token_logprobs").alias("logprob")
     )
-    return accepted(parsed).select(*keys, F.posexplode(zipped).alias("pos", "_t")).select(
-        *keys, "pos", F.col("_t.token").alias("token"), F.col("_t.logprob").alias("logprob")
-    )
+    return _positions(parsed, zipped, *keys).select(*keys, "pos", "_t.token", "_t.logprob")
 
 
 def chat_token_rows(parsed: DataFrame, *keys: str) -> DataFrame:
     """(keys, pos, token, logprob, top_logprobs)."""
-    return accepted(parsed).select(*keys, F.posexplode("content").alias("pos", "_t")).select(
+    return _positions(parsed, F.col("content"), *keys).select(
         *keys,
         "pos",
         F.coalesce("_t.token", F.lit("")).alias("token"),
         F.col("_t.logprob").alias("logprob"),
         F.col("_t.top_logprobs").alias("top_logprobs"),
     )
+
+
+def _positions(parsed: DataFrame, array: Column, *keys: str) -> DataFrame:
+    """One row per element of usable responses.
+
+    Bad responses become empty arrays instead of being filtered out first: the
+    filter would be pushed below the parser and parse every response twice.
+    """
+    usable = F.when(F.col("error").isNull(), array)
+    rows = parsed.select(*keys, F.posexplode_outer(usable).alias("pos", "_t"))
+    return rows.where(F.col("pos").isNotNull())
