@@ -6,11 +6,12 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakscope import config
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two texts; equal pairs of a batch are scored once."""
     known: dict[tuple[str, str], float] = {}
@@ -25,7 +26,7 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(scores, dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def closest_option(options: pd.Series, answer: pd.Series) -> pd.Series:
     """Index of the option closest to the answer, null below the cutoff or if options are null."""
     found = []
