@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leakscope import config
 from leakscope.functions.text import explode_rows, ngram_set, word_tokens
+from leakscope.session import stored
 
 # Keeps one gram more where threshold * count is a whole number up to rounding.
 ROUNDING = 1e-9
@@ -28,7 +29,7 @@ def corpus_contamination(
     way out: a document above the threshold must hold at least one of the
     item's rarest grams, since even all the others together fall short. Only
     these join; each joined pair is then counted in full, once, at the first
-    rare gram the two share.
+    rare gram the two share. The corpus is read in one pass, whose hits are stored.
     """
     item_grams = _grams(items, item_id, text, n)
     wanted = item_grams.select("gram").distinct()
@@ -38,6 +39,7 @@ def corpus_contamination(
         .groupBy(doc_id)
         .agg(F.collect_list("gram").alias("doc_grams"))
     )
+    hits = stored(hits, "benchmark-grams")
     frequency = (
         hits.select(F.explode("doc_grams").alias("gram"))
         .groupBy("gram")

@@ -29,15 +29,11 @@ def rule_logprob_by_class(token: Column) -> Column:
 
 def token_rows(sequences: DataFrame, seq_id: str, tokens: Column) -> DataFrame:
     """(seq_id, pos, prev, token) of token arrays; prev is null at position 0."""
-    stored = sequences.select(seq_id, tokens.alias("_tokens"))
-    linked = F.transform(
-        F.col("_tokens"),
-        lambda t, i: F.struct(
-            i.alias("pos"), F.get(F.col("_tokens"), i - 1).alias("prev"), t.alias("token")
-        ),
-    )
-    exploded = stored.select(seq_id, F.explode_outer(linked).alias("_t"))
-    return exploded.where(F.col("_t").isNotNull()).select(seq_id, "_t.pos", "_t.prev", "_t.token")
+    stored_tokens = sequences.select(seq_id, tokens.alias("_tokens"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_tokens"))
+    linked = F.arrays_zip(before.alias("prev"), F.col("_tokens").alias("token"))
+    exploded = stored_tokens.select(seq_id, F.posexplode_outer(linked).alias("pos", "_t"))
+    return exploded.where(F.col("_t.token").isNotNull()).select(seq_id, "pos", "_t.prev", "_t.token")
 
 
 def text_token_rows(texts: DataFrame, seq_id: str, text: str) -> DataFrame:

@@ -72,7 +72,8 @@ def text_vectors(
     """Unit-length TF-IDF vectors in sparse long form: (text_id, term, weight).
 
     The inverse document frequency is ``ln((N + 1) / (df + 1))`` over ``corpus``,
-    by default the texts themselves.
+    by default the texts themselves. A text's own terms are brought together
+    once, to scale them; they fit where the text did.
     """
     terms = term_rows(texts, text_id, text)
     if corpus is None:
@@ -85,11 +86,14 @@ def text_vectors(
     weighted = lookup_join(terms, dictionary, ["term"], "occurrences", text_id).withColumn(
         "_raw", F.col("tf") * F.coalesce("idf", F.ln(documents + 1))
     )
-    lengths = weighted.groupBy(text_id).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_n"))
+    per_text = weighted.groupBy(text_id).agg(
+        F.collect_list(F.struct("term", "_raw")).alias("_terms"),
+        F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_length"),
+    )
     return (
-        weighted.join(lengths, text_id)
-        .where(F.col("_n") > 0)
-        .select(text_id, "term", (F.col("_raw") / F.col("_n")).alias("weight"))
+        per_text.where(F.col("_length") > 0)
+        .select(text_id, "_length", F.explode("_terms").alias("_t"))
+        .select(text_id, "_t.term", (F.col("_t._raw") / F.col("_length")).alias("weight"))
     )
 
 
