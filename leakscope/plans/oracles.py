@@ -475,18 +475,20 @@ STATEMENTS: dict[str, str] = {
     "preprocess_questions": f"""
         SELECT id, question, array_to_string(options, ' | ') AS options,
                {_prompt("question", "options")} AS formatted_prompt, answer AS correct_answer,
-               CASE WHEN item_id % 2 = 0 OR kind < 3 THEN correct_idx END AS correct_idx
+               CASE WHEN item_id % 2 = 0 OR kind < 3 THEN correct_idx ELSE -1 END AS correct_idx
         FROM raw_questions""",
     "result_documents": """
         SELECT 'q' || d.item_id AS id, method, CASE WHEN error IS NULL
                    THEN round(d.score, 6) + 0.0 END AS memorization_score,
-               CASE WHEN error IS NULL THEN d.flag END AS is_memorized, error,
+               CASE WHEN error IS NULL AND d.flag THEN 'true' WHEN error IS NULL THEN 'false'
+                    ELSE 'none' END AS is_memorized, error,
                round(v.score, 6) + 0.0 AS aggregate_score, v.flag AS verdict
         FROM detections d JOIN verdicts v ON v.item_id = d.item_id""",
     "results_roundtrip": """
         SELECT 'q' || d.item_id AS id, method, CASE WHEN error IS NULL
                    THEN round(d.score, 6) + 0.0 END AS memorization_score,
-               CASE WHEN error IS NULL THEN d.flag END AS is_memorized,
+               CASE WHEN error IS NULL AND d.flag THEN 'true' WHEN error IS NULL THEN 'false'
+                    ELSE 'none' END AS is_memorized,
                round(v.score, 6) + 0.0 AS aggregate_score, v.flag AS verdict
         FROM detections d JOIN verdicts v ON v.item_id = d.item_id""",
     "request_table": f"""

@@ -52,6 +52,11 @@ def big(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("bigint")
 
 
+def _named(flag: str) -> Column:
+    """A flag as text, 'none' where a detector failed."""
+    return F.coalesce(F.col(flag).cast("string"), F.lit("none")).alias(flag)
+
+
 # --- sources and sinks -------------------------------------------------------
 
 
@@ -70,7 +75,7 @@ def preprocess_questions(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("options", " | ").alias("options"),
         "formatted_prompt",
         "correct_answer",
-        big("correct_idx").alias("correct_idx"),
+        big(F.coalesce("correct_idx", F.lit(-1))).alias("correct_idx"),
     )
 
 
@@ -99,7 +104,7 @@ def result_documents(spark: SparkSession, sf: str) -> DataFrame:
         "id",
         "method",
         r("memorization_score").alias("memorization_score"),
-        "is_memorized",
+        _named("is_memorized"),
         "error",
         r("aggregate_score").alias("aggregate_score"),
         "verdict",
@@ -119,7 +124,7 @@ def results_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         "id",
         "method",
         r("memorization_score").alias("memorization_score"),
-        "is_memorized",
+        _named("is_memorized"),
         r("aggregate_score").alias("aggregate_score"),
         "verdict",
     )

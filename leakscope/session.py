@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -31,11 +30,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
     Only a local session may fall back to a folder of this machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp" if os.path.isdir("/tmp") else None)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/leakscope-{name}-{uuid.uuid4().hex}"
 
 
