@@ -197,20 +197,24 @@ def ratio_verdict(
     )
 
 
+def _likeliest_first(alternatives: Column) -> Column:
+    """Alternatives of one position by falling log-probability, then token."""
+    keyed = F.transform(
+        F.coalesce(alternatives, F.array()),
+        lambda a: F.struct(
+            (-a["logprob"]).alias("minus"), a["token"].alias("token"), a["logprob"].alias("lp")
+        ),
+    )
+    return F.array_sort(keyed)
+
+
 def ranked_alternatives(tokens: DataFrame, seq_id: str) -> DataFrame:
     """Alternatives of each position, likeliest first.
 
     A response lists a handful of alternatives per position, so they are ranked
     inside the row.
     """
-    ordered = F.array_sort(
-        F.transform(
-            F.coalesce("top_logprobs", F.array()),
-            lambda a: F.struct(
-                (-a["logprob"]).alias("minus"), a["token"].alias("token"), a["logprob"].alias("lp")
-            ),
-        )
-    )
+    ordered = _likeliest_first(F.col("top_logprobs"))
     return tokens.select(seq_id, "pos", F.posexplode(ordered).alias("_rank", "_a")).select(
         seq_id,
         "pos",
@@ -221,23 +225,41 @@ def ranked_alternatives(tokens: DataFrame, seq_id: str) -> DataFrame:
 
 
 def temperature_top_p(
-    alternatives: DataFrame, seq_id: str, temperature: float = 1.0, top_p: float = 1.0
+    tokens: DataFrame, seq_id: str, temperature: float = 1.0, top_p: float = 1.0
 ) -> DataFrame:
     """Softmax of log-probabilities over the temperature, cut to the nucleus.
 
     The nucleus keeps alternatives, likeliest first, until their mass reaches
-    ``top_p``; what is kept is scaled back to one.
+    ``top_p``; what is kept is scaled back to one. A position's alternatives
+    share a row, so nothing is shuffled.
     """
-    position = Window.partitionBy(seq_id, "pos")
-    before = position.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max("logprob").over(position)
-    weighted = alternatives.withColumn("_w", F.exp((F.col("logprob") - best) / temperature))
-    scaled = weighted.withColumn("probability", F.col("_w") / F.sum("_w").over(position))
-    cut = scaled.withColumn(
-        "_before", F.coalesce(F.sum("probability").over(before), F.lit(0.0))
-    ).where(F.round("_before", 9) < top_p)
-    kept = F.col("probability") / F.sum("probability").over(position)
-    return cut.withColumn("nucleus_probability", kept).drop("_w", "_before")
+
+    def total(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
+
+    staged = (
+        tokens.select(seq_id, "pos", _likeliest_first(F.col("top_logprobs")).alias("_a"))
+        .withColumn(
+            "_w", F.transform("_a", lambda a: F.exp((a["lp"] - F.col("_a")[0]["lp"]) / temperature))
+        )
+        .withColumn("_mass", total(F.col("_w")))
+        .withColumn("_p", F.transform("_w", lambda w: w / F.col("_mass")))
+        .withColumn(
+            "_kept",
+            F.filter(
+                "_p", lambda p, i: F.round(total(F.slice(F.col("_p"), F.lit(1), i)), 9) < top_p
+            ),
+        )
+        .withColumn("_kept_mass", total(F.col("_kept")))
+    )
+    return staged.select(seq_id, "pos", "_a", "_kept_mass", F.posexplode("_kept").alias("_i", "probability")).select(
+        seq_id,
+        "pos",
+        (F.col("_i") + 1).alias("rank"),
+        F.get("_a", F.col("_i"))["token"].alias("alternative"),
+        "probability",
+        (F.col("probability") / F.col("_kept_mass")).alias("nucleus_probability"),
+    )
 
 
 def perplexity_outliers(

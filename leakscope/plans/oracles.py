@@ -647,11 +647,11 @@ STATEMENTS: dict[str, str] = {
     "top_alternatives": """
         SELECT response_id, pos, rank, alternative, round(lp, 6) + 0.0 AS logprob FROM alternatives""",
     "temperature_top_p": """
-        SELECT response_id, pos, rank, round(p, 6) + 0.0 AS probability,
+        SELECT response_id, pos, rank, alternative, round(p, 6) + 0.0 AS probability,
                round(p / sum(p) OVER (PARTITION BY response_id, pos), 6) + 0.0 AS nucleus_probability
         FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY response_id, pos ORDER BY rank
                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before
-              FROM (SELECT response_id, pos, rank,
+              FROM (SELECT response_id, pos, rank, alternative,
                            exp(lp / 0.7) / sum(exp(lp / 0.7)) OVER (PARTITION BY response_id, pos) AS p
                     FROM alternatives))
         WHERE round(before, 9) < 0.9""",

@@ -512,16 +512,14 @@ def corpus_lm_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.scored_texts(spark, sf).select(*_perplexity_columns("text_id"))
 
 
-@planned_once
-def _alternatives(spark: SparkSession, sf: str) -> DataFrame:
+def _chat_tokens(spark: SparkSession, sf: str) -> DataFrame:
     parsed = responses.parse_chat(inputs.chat_bodies(spark, sf))
-    rows = responses.chat_token_rows(parsed, "response_id")
-    return logprobs.ranked_alternatives(rows, "response_id")
+    return responses.chat_token_rows(parsed, "response_id")
 
 
 @query
 def top_alternatives(spark: SparkSession, sf: str) -> DataFrame:
-    return _alternatives(spark, sf).select(
+    return logprobs.ranked_alternatives(_chat_tokens(spark, sf), "response_id").select(
         "response_id",
         big("pos").alias("pos"),
         big("rank").alias("rank"),
@@ -532,11 +530,12 @@ def top_alternatives(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def temperature_top_p(spark: SparkSession, sf: str) -> DataFrame:
-    kept = logprobs.temperature_top_p(_alternatives(spark, sf), "response_id", 0.7, 0.9)
+    kept = logprobs.temperature_top_p(_chat_tokens(spark, sf), "response_id", 0.7, 0.9)
     return kept.select(
         "response_id",
         big("pos").alias("pos"),
         big("rank").alias("rank"),
+        "alternative",
         r("probability").alias("probability"),
         r("nucleus_probability").alias("nucleus_probability"),
     )

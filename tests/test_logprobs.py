@@ -97,9 +97,13 @@ def test_ratio_verdict_uses_absolute_or_relative_perplexity(spark):
 
 
 def test_nucleus_keeps_until_the_mass_is_reached(spark):
-    rows = [("s", 0, i + 1, math.log(p)) for i, p in enumerate([0.5, 0.3, 0.2])]
-    table = spark.createDataFrame(rows, "id string, pos int, rank int, logprob double")
+    top = [(f"t{i}", math.log(p)) for i, p in enumerate([0.2, 0.5, 0.3])]
+    table = spark.createDataFrame(
+        [("s", 0, top), ("s", 1, [])],
+        "id string, pos int, top_logprobs array<struct<token: string, logprob: double>>",
+    )
     kept = logprobs.temperature_top_p(table, "id", 1.0, 0.8).orderBy("rank").collect()
+    assert [r["alternative"] for r in kept] == ["t1", "t2"]
     assert [r["nucleus_probability"] for r in kept] == pytest.approx([0.625, 0.375])
 
 
