@@ -23,7 +23,7 @@ from leakscope.operators import (
     verdict,
 )
 from leakscope.plans import inputs
-from leakscope.session import shared_folder
+from leakscope.session import shared_folder, stored
 from leakscope.sources import questions, responses, results
 from leakscope.plans.frames import planned_once, read_table
 from leakscope.sources.tables import read_tabular
@@ -93,7 +93,7 @@ def _items_with_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @planned_once
 def _documents_of_run(spark: SparkSession, sf: str) -> DataFrame:
-    found = detections(spark, sf)
+    found = stored(detections(spark, sf), "detections")
     verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), found)
     return results.result_documents(_items_with_records(spark, sf), found, verdicts)
 
@@ -491,7 +491,8 @@ def perplexity_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def perplexity_ratio_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    scored = inputs.scored_texts(spark, sf, "known", "unseen").where(~F.col("is_infinite"))
+    scored = stored(inputs.scored_texts(spark, sf, "known", "unseen"), "scored-texts")
+    scored = scored.where(~F.col("is_infinite"))
     references = scored.where(F.col("category") == "unseen")
     known = scored.where(F.col("category") == "known")
     return logprobs.ratio_verdict(known, references, threshold=0.5).select(
@@ -543,7 +544,7 @@ def temperature_top_p(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def perplexity_outliers(spark: SparkSession, sf: str) -> DataFrame:
-    scored = inputs.scored_texts(spark, sf, "known", "unseen")
+    scored = stored(inputs.scored_texts(spark, sf, "known", "unseen"), "scored-texts")
     return logprobs.perplexity_outliers(scored, "unseen").select(
         "text_id", "category", r("z_score", 4).alias("z_score"), "is_outlier"
     )
@@ -738,7 +739,7 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), detections(spark, sf))
-    return verdict.score_histogram(verdicts).select(big("bin").alias("bin"), "items")
+    return verdict.score_histogram(stored(verdicts, "verdicts")).select(big("bin").alias("bin"), "items")
 
 
 @query
