@@ -54,9 +54,10 @@ def containment(found: Column, reference: Column) -> Column:
 
 
 def jaccard(left: Column, right: Column) -> Column:
-    union = F.size(F.array_union(left, right))
-    overlap = F.size(F.array_intersect(left, right)).cast("double")
-    return F.when(union > 0, overlap / union).otherwise(F.lit(0.0))
+    """Jaccard similarity of two arrays without repeats; 0.0 if both are empty."""
+    both = F.size(F.array_intersect(left, right))
+    union = F.size(left) + F.size(right) - both
+    return F.when(union > 0, both.cast("double") / union).otherwise(F.lit(0.0))
 
 
 def weighted_jaccard(df: DataFrame, left: str, right: str, alias: str) -> DataFrame:
@@ -67,11 +68,14 @@ def weighted_jaccard(df: DataFrame, left: str, right: str, alias: str) -> DataFr
             "_right": whitespace_tokens(F.col(right)),
         }
     )
+    sizes = range(1, len(config.JACCARD_WEIGHTS) + 1)
+    sets = tokens.withColumns(
+        {f"{side}{n}": ngram_set(F.col(side), n) for side in ("_left", "_right") for n in sizes}
+    )
     score = F.lit(0.0)
-    for n, weight in enumerate(config.JACCARD_WEIGHTS, start=1):
-        pair = jaccard(ngrams(F.col("_left"), n), ngrams(F.col("_right"), n))
-        score = score + pair * F.lit(weight)
-    return tokens.withColumn(alias, score).drop("_left", "_right")
+    for n, weight in zip(sizes, config.JACCARD_WEIGHTS):
+        score = score + jaccard(F.col(f"_left{n}"), F.col(f"_right{n}")) * F.lit(weight)
+    return sets.withColumn(alias, score).select(*df.columns, alias)
 
 
 def preview(text: Column, chars: int = config.PREVIEW_CHARS) -> Column:
