@@ -88,3 +88,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (is_exact) AS n_exact, count
        md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT coalesce(is_exact, false) AND NOT coalesce(is_near, false)), '')) AS kept_md5
 FROM judged GROUP BY doc_id
 """
+
+_RUNS = r"[\p{L}]+|[\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]"
+
+ORACLES["op2_token_counts"] = rf"""
+WITH texts AS (
+    SELECT source, lang, coalesce(text, '') AS text,
+           doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS is_copy
+    FROM documents
+), kept AS (
+    SELECT source, lang, array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)),
+               lambda line, i: struct_pack(line := line, i := i, first := list_position(string_split(text, chr(10)), line))),
+               lambda s: s.i = s.first), lambda s: s.line), chr(10)) AS text
+    FROM texts WHERE NOT is_copy
+), counted AS (
+    SELECT source, lang, 'words_1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM kept
+    UNION ALL
+    SELECT source, lang, 'runs_1', len(regexp_extract_all(text, '{_RUNS}')) FROM kept
+)
+SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM counted GROUP BY ALL
+"""
+
+_BASE32 = " || ".join(
+    "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', "
+    f"(((('0x' || substr(digits, {10 * group + 1}, 10))::BIGINT >> {35 - 5 * k}) & 31) + 1)::INT, 1)"
+    for group in range(4)
+    for k in range(8)
+)
+
+ORACLES["op4_warc"] = f"""
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digits FROM pages
+), placed AS (
+    SELECT *, max(page_id) OVER (PARTITION BY html) AS largest FROM payloads
+)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < largest THEN largest END AS refers_to, NULL::VARCHAR AS fault
+FROM placed
+"""

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscope.llm import decontamination, jaccard_join, line_dedup, packing, quality_rules
+from leakscope.llm import (
+    chat,
+    decontamination,
+    jaccard_join,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+    url_filter,
+    warc,
+)
+from leakscope.llm.common import LAST_ID, once, text_or_empty
+from leakscope.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,11 +50,87 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents put in under two tokenizers, exact copies taken out, repeated lines revised away.
+
+    Every batch but the first is committed twice; the second time changes nothing.
+    """
+    text = text_or_empty("text")
+    revised = token_counts.without_repeated_lines(text)
+    counted = once(
+        table(spark, sf, "documents").select(
+            F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).alias("doc"),
+            "source",
+            "lang",
+            F.xxhash64(text).alias("h1"),
+            F.xxhash64(F.lit(1), text).alias("h2"),
+            *[count(text).alias(name) for name, count in token_counts.TOKENIZERS.items()],
+            *[count(revised).alias(f"{name}_revised") for name, count in token_counts.TOKENIZERS.items()],
+        ),
+        "counted",
+    )
+    firsts = once(counted.groupBy("h1", "h2").agg(F.min("doc").alias("first")), "first-texts")
+    placed = once(counted.join(firsts, ["h1", "h2"]), "placed")
+    copies, kept = placed.where("doc > first"), placed.where("doc = first")
+    root = shared_folder(spark, "token-counts")
+    for name in token_counts.TOKENIZERS:
+        token_counts.commit(token_counts.changes(counted, name, name), root, f"{name}-inserted")
+        for _ in range(2):
+            token_counts.commit(token_counts.changes(copies, name, name, -1), root, f"{name}-deleted")
+            token_counts.commit(token_counts.revisions(kept, name, name, f"{name}_revised"), root, f"{name}-revised")
+    return token_counts.totals(spark, root)
+
+
 @query
 def op3_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), path, least_bytes=0)
+    payload = F.col("payload")
+    records = once(
+        warc.read_archives(spark, path).select(
+            "page_id",
+            F.octet_length(payload).cast("bigint").alias("payload_bytes"),
+            F.coalesce(warc.sha1_base32(payload), "payload_digest").alias("payload_digest"),
+            "record_type",
+            "refers_to",
+            "fault",
+        ),
+        "records",
+    )
+    revisited = records.where("refers_to IS NOT NULL").select(F.col("refers_to").alias("wanted")).distinct()
+    responses = once(
+        records.where("record_type = 'response'")
+        .join(revisited, F.col("page_id") == F.col("wanted"), "left_semi")
+        .groupBy(F.col("page_id").alias("refers_to"))
+        .agg(F.max("payload_bytes").alias("referred_bytes")),
+        "responses",
+    )
+    return records.join(responses, "refers_to", "left").select(
+        "page_id",
+        F.coalesce("payload_bytes", "referred_bytes").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        "refers_to",
+        "fault",
+    )
+
+
+@query
+def op5_chat(spark: SparkSession, sf: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    conversations = table(spark, sf, "conversations").select(more.columns).union(more)
+    return chat.digests(chat.format_turns(conversations))
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontamination.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -56,6 +145,22 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_filter.parse_rule(rule)
+    for rule in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+]
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf, "pages"), URL_RULES)
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf, "documents"))
