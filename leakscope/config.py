@@ -15,14 +15,14 @@ DEFAULT_LOGPROB = -10.0
 MIN_SIMILARITY = 0.01
 ANSWER_MATCH_CUTOFF = 0.6
 
-# Rule-based token log-probabilities: common words against all others.
-COMMON_WORDS = ("a", "an", "and", "are", "in", "is", "of", "the", "to")
+# Tokens that the rule takes for common, as they are, and all others.
+COMMON_WORDS = (" ", "the", "a", "an", "is", "are", "to", "of", "and", "in")
 COMMON_LOGPROB = -1.0
 OTHER_LOGPROB = -2.0
 
-# Three-class variant; the value of a class is the midpoint of its range.
-FREQUENT_WORDS = ("a", "and", "in", "is", "of", "that", "the", "to")
-FACT_WORDS = ("berlin", "capital", "france", "london", "paris")
+# Three-class variant; the value of a class is the midpoint of its range.
+FREQUENT_WORDS = (" ", "the", "a", "is", "of", "and", "in", "to", "that")
+FACT_WORDS = ("Paris", "France", "capital", "London", "Berlin")
 FREQUENT_RANGE = (-2.0, -1.0)
 FACT_RANGE = (-3.5, -2.0)
 OTHER_RANGE = (-6.0, -3.5)

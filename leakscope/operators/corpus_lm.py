@@ -12,8 +12,11 @@ from leakscope.session import stored
 
 
 def rule_logprob(token: Column) -> Column:
-    """Common words are likelier than all others."""
-    common = F.lower(F.trim(token)).isin(*config.COMMON_WORDS)
+    """Common words, and a blank by itself, are likelier than all others.
+
+    Tokens are compared as they are: a word with a blank before it is another one.
+    """
+    common = F.lower(token).isin(*config.COMMON_WORDS)
     return F.when(common, F.lit(config.COMMON_LOGPROB)).otherwise(F.lit(config.OTHER_LOGPROB))
 
 
@@ -21,8 +24,8 @@ def rule_logprob_by_class(token: Column) -> Column:
     """Three classes of words, each at the midpoint of its range."""
     word = F.lower(F.trim(token))
     return (
-        F.when(word.isin(*config.FREQUENT_WORDS), F.lit(sum(config.FREQUENT_RANGE) / 2))
-        .when(word.isin(*config.FACT_WORDS), F.lit(sum(config.FACT_RANGE) / 2))
+        F.when(word.isin(*map(str.lower, config.FREQUENT_WORDS)), F.lit(sum(config.FREQUENT_RANGE) / 2))
+        .when(word.isin(*map(str.lower, config.FACT_WORDS)), F.lit(sum(config.FACT_RANGE) / 2))
         .otherwise(F.lit(sum(config.OTHER_RANGE) / 2))
     )
 
@@ -43,19 +46,15 @@ def text_token_rows(texts: DataFrame, seq_id: str, text: str) -> DataFrame:
 def score_tokens(rows: DataFrame, corpus: DataFrame, text: str, seq_id: str) -> DataFrame:
     """Add-one bigram log-probabilities of rows, counted on a larger corpus.
 
-    One pass over the corpus counts every word, but keeps the word before it
-    only where the scored rows ask for that pair. So what is grouped and
-    shuffled grows with the vocabulary, not with the corpus.
+    The corpus pass counts word pairs, combined per task before they are shuffled,
+    so a frequent pair costs one row per task. Only pairs that the scored rows ask
+    for are then kept; the counts of single words follow from all pairs.
     """
     needed = _scored_pairs(rows)
-    marked = needed.select("prev", "token", F.lit(True).alias("is_needed"))
     corpus_words = text_token_rows(corpus.withColumn("_id", F.lit(0)), "_id", text)
-    counted = (
-        corpus_words.join(marked, ["prev", "token"], "left")
-        .groupBy(F.when(F.col("is_needed"), F.col("prev")).alias("prev"), "token")
-        .agg(F.count("*").alias("pair_count"))
+    counted = stored(
+        corpus_words.groupBy("prev", "token").agg(F.count("*").alias("pair_count")), "pair-counts"
     )
-    counted = stored(counted, "word-counts")
     pairs = needed.join(counted, ["prev", "token"], "left")
     return _score(rows, pairs, _word_counts(counted), seq_id)
 

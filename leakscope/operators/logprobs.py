@@ -138,21 +138,33 @@ def progressive_perplexity(tokens: DataFrame, seq_id: str, with_prefix: bool = F
     return rows
 
 
+def finite(value: str) -> Column:
+    """The value of texts of finite perplexity, null for the others."""
+    return F.when(~F.col("is_infinite"), F.col(value))
+
+
 def rank_by_perplexity(scored: DataFrame, text_id: str) -> DataFrame:
+    """Lowest first; texts of infinite perplexity come last."""
     return scored.orderBy("perplexity", text_id)
 
 
 def compare_perplexities(scored: DataFrame, text_id: str) -> DataFrame:
-    """Count, mean, and the texts of lowest and highest perplexity."""
+    """Count, mean, and the texts of lowest and highest perplexity.
+
+    An infinite perplexity is the highest. The mean is that of the finite ones;
+    ``infinite`` says how many it leaves out.
+    """
     rank = F.struct("perplexity", text_id)
     summary = scored.agg(
         F.count("*").alias("texts"),
+        F.count_if("is_infinite").alias("infinite"),
         F.min(rank).alias("_lowest"),
         F.max(rank).alias("_highest"),
-        F.coalesce(F.avg("perplexity"), F.lit(0.0)).alias("avg_perplexity"),
+        F.coalesce(F.avg(finite("perplexity")), F.lit(0.0)).alias("avg_perplexity"),
     )
     return summary.select(
         "texts",
+        "infinite",
         F.col(f"_lowest.{text_id}").alias("lowest_id"),
         F.col("_lowest.perplexity").alias("lowest_perplexity"),
         F.col(f"_highest.{text_id}").alias("highest_id"),
@@ -162,21 +174,28 @@ def compare_perplexities(scored: DataFrame, text_id: str) -> DataFrame:
 
 
 def perplexity_contrast(scored: DataFrame, known: str = "known", random: str = "random") -> DataFrame:
-    """Average, minimum and maximum of two classes and the ratio of their averages."""
+    """Average, minimum and maximum of two classes and the ratio of their averages.
+
+    They are those of the finite perplexities; the infinite ones are counted.
+    """
     columns = []
     for name, label in (("known", known), ("random", random)):
-        value = F.when(F.col("category") == label, F.col("perplexity"))
+        of_class = F.col("category") == label
+        value = F.when(of_class, finite("perplexity"))
         for function, short in ((F.avg, "avg"), (F.min, "min"), (F.max, "max")):
             columns.append(F.coalesce(function(value), F.lit(0.0)).alias(f"{name}_{short}"))
+        columns.append(F.count_if(of_class & F.col("is_infinite")).alias(f"{name}_infinite"))
     ratio = F.when(F.col("known_avg") > 0, F.col("random_avg") / F.col("known_avg"))
     return scored.agg(*columns).withColumn("contrast_ratio", F.coalesce(ratio, F.lit(0.0)))
 
 
 def perplexity_by_category(scored: DataFrame) -> DataFrame:
+    """Texts and tokens of each category; averages leave out what ``infinite`` counts."""
     return scored.groupBy("category").agg(
         F.count("*").alias("texts"),
-        F.avg("perplexity").alias("avg_perplexity"),
-        F.avg("avg_logprob").alias("avg_logprob"),
+        F.count_if("is_infinite").alias("infinite"),
+        F.avg(finite("perplexity")).alias("avg_perplexity"),
+        F.avg(finite("avg_logprob")).alias("avg_logprob"),
         F.sum("token_count").alias("token_count"),
     )
 
@@ -186,10 +205,13 @@ def ratio_verdict(
     references: DataFrame | None = None,
     threshold: float = config.ABSOLUTE_PERPLEXITY_THRESHOLD,
 ) -> DataFrame:
-    """Verdict by absolute perplexity, or by its ratio to the references' mean."""
+    """Verdict by absolute perplexity, or by its ratio to the references' finite mean.
+
+    A text of infinite perplexity is not memorized.
+    """
     compared = F.col("perplexity")
     if references is not None:
-        compared = compared / references.agg(F.avg("perplexity")).scalar()
+        compared = compared / references.agg(F.avg(finite("perplexity"))).scalar()
     return (
         scored.withColumn("compared", compared)
         .withColumn("is_memorized", F.col("compared") < threshold)
@@ -230,77 +252,98 @@ def temperature_top_p(
     """Softmax of log-probabilities over the temperature, cut to the nucleus.
 
     The nucleus keeps alternatives, likeliest first, until their mass reaches
-    ``top_p``; what is kept is scaled back to one. A position's alternatives
-    share a row, so nothing is shuffled.
+    ``top_p``; what is kept is scaled back to one. At temperature 0 only the
+    likeliest is kept. A position's alternatives share a row, so nothing is
+    shuffled, and one pass over them in order gives the nucleus.
     """
 
-    def total(numbers: Column) -> Column:
-        return F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x)
+    def weight(a: Column, best: Column) -> Column:
+        if temperature == 0:
+            return F.when(a == best, F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.exp((a["lp"] - best["lp"]) / temperature)
 
-    staged = (
-        tokens.select(seq_id, "pos", _likeliest_first(F.col("top_logprobs")).alias("_a"))
-        .withColumn(
-            "_w", F.transform("_a", lambda a: F.exp((a["lp"] - F.col("_a")[0]["lp"]) / temperature))
+    def weighed(ordered: Column) -> Column:
+        return F.transform(
+            ordered,
+            lambda a: F.struct(a["token"].alias("token"), weight(a, F.get(ordered, F.lit(0))).alias("w")),
         )
-        .withColumn("_mass", total(F.col("_w")))
-        .withColumn("_p", F.transform("_w", lambda w: w / F.col("_mass")))
-        .withColumn(
-            "_kept",
-            F.filter(
-                "_p", lambda p, i: F.round(total(F.slice(F.col("_p"), F.lit(1), i)), 9) < top_p
-            ),
-        )
-        .withColumn("_kept_mass", total(F.col("_kept")))
+
+    def nucleus(items: Column) -> Column:
+        mass = F.aggregate(items, F.lit(0.0), lambda acc, x: acc + x["w"])
+        empty = F.filter(items, lambda x: F.lit(False))
+        start = F.struct(F.lit(0.0).alias("before"), mass.alias("mass"), empty.alias("kept"))
+
+        def step(state: Column, item: Column) -> Column:
+            is_in = F.round(state["before"] / state["mass"], 9) < top_p
+            kept = F.when(is_in, F.array_append(state["kept"], item)).otherwise(state["kept"])
+            return F.struct((state["before"] + item["w"]).alias("before"), state["mass"].alias("mass"), kept.alias("kept"))
+
+        return F.aggregate(items, start, step)
+
+    def once(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    cut = once(_likeliest_first(F.col("top_logprobs")), lambda ordered: once(weighed(ordered), nucleus))
+    staged = tokens.select(seq_id, "pos", cut.alias("_n"))
+    kept_mass = F.aggregate("_n.kept", F.lit(0.0), lambda acc, x: acc + x["w"])
+    rows = staged.select(
+        seq_id, "pos", F.col("_n.mass").alias("_mass"), kept_mass.alias("_kept_mass"), F.posexplode_outer("_n.kept").alias("_i", "_a")
     )
-    return staged.select(seq_id, "pos", "_a", "_kept_mass", F.posexplode("_kept").alias("_i", "probability")).select(
+    return rows.where(F.col("_i").isNotNull()).select(
         seq_id,
         "pos",
         (F.col("_i") + 1).alias("rank"),
-        F.get("_a", F.col("_i"))["token"].alias("alternative"),
-        "probability",
-        (F.col("probability") / F.col("_kept_mass")).alias("nucleus_probability"),
+        F.col("_a.token").alias("alternative"),
+        (F.col("_a.w") / F.col("_mass")).alias("probability"),
+        (F.col("_a.w") / F.col("_kept_mass")).alias("nucleus_probability"),
     )
 
 
 def perplexity_outliers(
     scored: DataFrame, reference: str, cutoff: float = 2.0
 ) -> DataFrame:
-    """z-score of the log-perplexity against a class of known unseen texts."""
-    finite = scored.where(~F.col("is_infinite")).withColumn("_log", -F.col("avg_logprob"))
-    known = finite.where(F.col("category") == reference)
+    """z-score of the log-perplexity against a class of known unseen texts.
+
+    A text of infinite perplexity has no score and is no outlier on the low side.
+    """
+    logs = scored.withColumn("_log", -finite("avg_logprob"))
+    known = logs.where(F.col("category") == reference)
     stats = known.agg(
         F.struct(F.avg("_log").alias("mean"), F.stddev_pop("_log").alias("sd")).alias("s")
     ).scalar()
-    judged = finite.withColumn("_s", stats)
+    judged = logs.withColumn("_s", stats)
     return (
         judged.withColumn(
             "z_score",
             F.when(F.col("_s.sd") > 0, (F.col("_log") - F.col("_s.mean")) / F.col("_s.sd"))
-            .otherwise(F.lit(0.0)),
+            .otherwise(F.when(F.col("_log").isNotNull(), F.lit(0.0))),
         )
-        .withColumn("is_outlier", F.col("z_score") < -cutoff)
+        .withColumn("is_outlier", F.coalesce(F.col("z_score") < -cutoff, F.lit(False)))
         .drop("_s", "_log")
     )
 
 
 def contrast_significance(scored: DataFrame, left: str, right: str) -> DataFrame:
-    """Welch's t and its degrees of freedom for the log-perplexity of two classes."""
-    finite = scored.where(~F.col("is_infinite"))
+    """Welch's t and its degrees of freedom for the log-perplexity of two classes.
+
+    Both are null where neither class varies or one has fewer than two finite
+    texts; infinite perplexities are counted beside.
+    """
     columns = []
     for name, label in (("left", left), ("right", right)):
-        value = F.when(F.col("category") == label, -F.col("avg_logprob"))
+        of_class = F.col("category") == label
+        value = F.when(of_class, -finite("avg_logprob"))
         columns += [
             F.count(value).alias(f"n_{name}"),
+            F.count_if(of_class & F.col("is_infinite")).alias(f"infinite_{name}"),
             F.avg(value).alias(f"mean_{name}"),
             F.var_samp(value).alias(f"var_{name}"),
         ]
-    a = F.col("var_left") / F.col("n_left")
-    b = F.col("var_right") / F.col("n_right")
+    a = F.try_divide("var_left", "n_left")
+    b = F.try_divide("var_right", "n_right")
+    spread = a * F.try_divide(a, F.col("n_left") - 1) + b * F.try_divide(b, F.col("n_right") - 1)
     return (
-        finite.agg(*columns)
-        .withColumn("t_value", (F.col("mean_right") - F.col("mean_left")) / F.sqrt(a + b))
-        .withColumn(
-            "degrees",
-            (a + b) ** 2 / (a * a / (F.col("n_left") - 1) + b * b / (F.col("n_right") - 1)),
-        )
+        scored.agg(*columns)
+        .withColumn("t_value", F.try_divide(F.col("mean_right") - F.col("mean_left"), F.sqrt(a + b)))
+        .withColumn("degrees", F.try_divide((a + b) ** 2, spread))
     )

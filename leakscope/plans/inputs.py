@@ -200,11 +200,10 @@ def option_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @planned_once
 def texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
-    """(text_id, category, lang, text): known, corpus, random and unseen texts."""
-    documents = read_table(spark, sf, "documents")
-    digest = F.md5(F.col("doc_id").cast("string"))
+    """(text_id, category, lang, text): known, corpus, random (known ones read backwards) and unseen."""
+    documents, benchmark = (read_table(spark, sf, name) for name in ("documents", "benchmark"))
     parts = {
-        "known": read_table(spark, sf, "benchmark").select(
+        "known": benchmark.select(
             F.concat(F.lit("b"), F.col("item_id")).alias("text_id"),
             F.lit("known").alias("category"),
             F.lit("").alias("lang"),
@@ -216,11 +215,11 @@ def texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
             "lang",
             "text",
         ),
-        "random": documents.select(
-            F.concat(F.lit("r"), F.col("doc_id")).alias("text_id"),
+        "random": benchmark.select(
+            F.concat(F.lit("r"), F.col("item_id")).alias("text_id"),
             F.lit("random").alias("category"),
             F.lit("").alias("lang"),
-            F.regexp_replace(digest, "(.{4})", "$1 ").alias("text"),
+            F.reverse("text").alias("text"),
         ),
         "unseen": read_table(spark, sf, "conversations").select(
             F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("text_id"),
@@ -250,7 +249,9 @@ def scored_texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
         rows = corpus_lm.text_token_rows(tagged, "key", "text").select("key.*", "pos", "prev", "token")
         scored = corpus_lm.score_own_tokens(rows, "text_id", "in_model")
     stats = sequence_perplexity(scored, "text_id")
-    return stats.join(chosen.select("text_id", "category", "lang"), "text_id")
+    # A text without words has no token rows, but a row here.
+    missing = {"avg_logprob": 0.0, "token_count": 0, "valid_count": 0, "is_infinite": True, "perplexity": float("inf")}
+    return chosen.select("text_id", "category", "lang").join(stats, "text_id", "left").fillna(missing)
 
 
 @planned_once

@@ -81,7 +81,7 @@ def _gram_rows(key: str, table: str, n: int) -> str:
 
 def _rule(token: str) -> str:
     return (
-        f"CASE WHEN lower(trim({token})) IN {_in(config.COMMON_WORDS)} "
+        f"CASE WHEN lower({token}) IN {_in(config.COMMON_WORDS)} "
         f"THEN {config.COMMON_LOGPROB}::DOUBLE ELSE {config.OTHER_LOGPROB}::DOUBLE END"
     )
 
@@ -218,8 +218,7 @@ FRAGMENTS: dict[str, str] = {
     "texts": """
         SELECT 'b' || item_id AS text_id, 'known' AS category, '' AS lang, text FROM benchmark
         UNION ALL SELECT 'd' || doc_id, 'corpus', lang, text FROM documents
-        UNION ALL SELECT 'r' || doc_id, 'random', '',
-            regexp_replace(md5(doc_id::VARCHAR), '(.{4})', '\\1 ', 'g') FROM documents
+        UNION ALL SELECT 'r' || item_id, 'random', '', reverse(text) FROM benchmark
         UNION ALL SELECT 'c' || conv_id || '-' || turn, 'unseen', '', text FROM conversations""",
     "text_tokens": f"""
         SELECT text_id, i - 1 AS pos, t[i - 1] AS prev, t[i] AS token
@@ -233,12 +232,11 @@ FRAGMENTS: dict[str, str] = {
         LEFT JOIN bigrams b ON b.p = s.prev AND b.w = s.token LEFT JOIN unigrams u ON u.w = s.prev""",
     "text_stats": """
         SELECT text_id, any_value(category) AS category, any_value(lang) AS lang,
-               coalesce(avg(logprob), 0.0) AS avg_logprob, count(*) AS token_count,
+               coalesce(avg(logprob), 0.0) AS avg_logprob, count(token) AS token_count,
                count(logprob) AS valid_count, count(logprob) = 0 AS is_infinite,
-               exp(-coalesce(avg(logprob), 0.0)) AS perplexity
-        FROM text_scores JOIN (SELECT text_id, category, lang FROM texts) USING (text_id)
+               exp(-avg(logprob)) AS perplexity
+        FROM (SELECT text_id, category, lang FROM texts) LEFT JOIN text_scores USING (text_id)
         GROUP BY text_id""",
-    "finite": "SELECT * FROM text_stats WHERE NOT is_infinite",
     # recorded replies
     "replies": """
         SELECT conv_id || '-' || turn AS response_id, regexp_extract_all(text, '\\s*\\S+') AS pieces
@@ -597,8 +595,8 @@ STATEMENTS: dict[str, str] = {
         FROM legacy_tokens GROUP BY response_id""",
     "rule_logprobs": f"""
         SELECT response_id, i - 1 AS pos, {_rule("pieces[i]")} AS logprob,
-               CASE WHEN lower(trim(pieces[i])) IN {_in(config.FREQUENT_WORDS)} THEN -1.5::DOUBLE
-                    WHEN lower(trim(pieces[i])) IN {_in(config.FACT_WORDS)} THEN -2.75::DOUBLE
+               CASE WHEN lower(trim(pieces[i])) IN {_in([w.lower() for w in config.FREQUENT_WORDS])} THEN -1.5::DOUBLE
+                    WHEN lower(trim(pieces[i])) IN {_in([w.lower() for w in config.FACT_WORDS])} THEN -2.75::DOUBLE
                     ELSE -4.75::DOUBLE END AS class_logprob
         FROM replies, unnest(range(1, len(pieces) + 1)) r(i)""",
     "progressive_perplexity": """
@@ -607,36 +605,48 @@ STATEMENTS: dict[str, str] = {
         FROM (SELECT response_id, pos, avg(logprob) OVER (PARTITION BY response_id ORDER BY pos) AS mean
               FROM legacy_tokens)""",
     "compare_perplexities": """
-        SELECT count(*) AS texts, arg_min(text_id, struct_pack(p := p, t := text_id)) AS lowest_id,
+        SELECT count(*) AS texts, count(*) FILTER (is_infinite) AS infinite,
+               arg_min(text_id, struct_pack(p := p, t := text_id)) AS lowest_id,
                min(p) AS lowest_perplexity,
-               arg_max(text_id, struct_pack(p := p, t := text_id)) AS highest_id,
-               max(p) AS highest_perplexity, round(avg(p), 3) + 0.0 AS avg_perplexity
-        FROM (SELECT text_id, round(perplexity, 4) + 0.0 AS p FROM finite)""",
+               arg_max(text_id, struct_pack(i := is_infinite, p := coalesce(p, 0), t := text_id)) AS highest_id,
+               CASE WHEN NOT bool_or(is_infinite) THEN max(p) END AS highest_perplexity,
+               round(avg(p), 3) + 0.0 AS avg_perplexity
+        FROM (SELECT text_id, is_infinite, round(perplexity, 4) + 0.0 AS p FROM text_stats)""",
     "rank_by_perplexity": """
-        SELECT text_id, category, round(perplexity, 4) + 0.0 AS perplexity, token_count
-        FROM finite WHERE category IN ('known', 'random')""",
+        SELECT text_id, category, round(perplexity, 4) + 0.0 AS perplexity, token_count, is_infinite
+        FROM text_stats WHERE category IN ('known', 'random')""",
     "perplexity_contrast": """
         SELECT * EXCLUDE (known_mean, random_mean),
                round(random_mean / known_mean, 3) AS contrast_ratio FROM (
             SELECT round(avg(perplexity) FILTER (category = 'known'), 3) AS known_avg,
                    round(min(perplexity) FILTER (category = 'known'), 3) AS known_min,
                    round(max(perplexity) FILTER (category = 'known'), 3) AS known_max,
+                   count(*) FILTER (category = 'known' AND is_infinite) AS known_infinite,
                    round(avg(perplexity) FILTER (category = 'random'), 3) AS random_avg,
                    round(min(perplexity) FILTER (category = 'random'), 3) AS random_min,
                    round(max(perplexity) FILTER (category = 'random'), 3) AS random_max,
+                   count(*) FILTER (category = 'random' AND is_infinite) AS random_infinite,
                    avg(perplexity) FILTER (category = 'known') AS known_mean,
                    avg(perplexity) FILTER (category = 'random') AS random_mean
-            FROM finite)""",
+            FROM text_stats)""",
     "perplexity_by_category": """
         SELECT CASE WHEN lang = '' THEN category ELSE category || ':' || lang END AS category,
-               count(*) AS texts, round(avg(perplexity), 3) + 0.0 AS avg_perplexity,
-               round(avg(avg_logprob), 6) + 0.0 AS avg_logprob, sum(token_count)::BIGINT AS token_count
-        FROM finite GROUP BY ALL""",
+               count(*) AS texts, count(*) FILTER (is_infinite) AS infinite,
+               round(avg(perplexity), 3) + 0.0 AS avg_perplexity,
+               round(avg(avg_logprob) FILTER (NOT is_infinite), 6) + 0.0 AS avg_logprob,
+               sum(token_count)::BIGINT AS token_count
+        FROM text_stats GROUP BY 1""",
     "perplexity_ratio_verdict": """
         SELECT text_id, round(perplexity / reference, 6) + 0.0 AS compared,
-               perplexity / reference < 0.5 AS is_memorized, round(1 - perplexity, 4) + 0.0 AS confidence
-        FROM finite, (SELECT avg(perplexity) AS reference FROM finite WHERE category = 'unseen')
+               coalesce(perplexity / reference < 0.5, false) AS is_memorized,
+               round(1 - perplexity, 4) + 0.0 AS confidence
+        FROM text_stats, (SELECT avg(perplexity) AS reference FROM text_stats WHERE category = 'unseen')
         WHERE category = 'known'""",
+    "perplexity_verdict": """
+        SELECT text_id, round(perplexity, 4) + 0.0 AS compared,
+               coalesce(perplexity < 5.0, false) AS is_memorized,
+               round(1 - perplexity / 10, 6) + 0.0 AS confidence
+        FROM text_stats WHERE category = 'known'""",
     "corpus_lm_logprobs": """
         SELECT text_id, pos, token, round(logprob, 6) + 0.0 AS logprob
         FROM text_scores WHERE text_id LIKE 'b%'""",
@@ -656,23 +666,26 @@ STATEMENTS: dict[str, str] = {
                     FROM alternatives))
         WHERE round(before, 9) < 0.9""",
     "perplexity_outliers": """
-        SELECT text_id, category, round((-avg_logprob - m) / sd, 4) + 0.0 AS z_score,
-               (-avg_logprob - m) / sd < -2.0 AS is_outlier
-        FROM finite, (SELECT avg(-avg_logprob) AS m, stddev_pop(-avg_logprob) AS sd
-                      FROM finite WHERE category = 'unseen')
+        SELECT text_id, category,
+               CASE WHEN NOT is_infinite THEN round((-avg_logprob - m) / sd, 4) + 0.0 END AS z_score,
+               NOT is_infinite AND (-avg_logprob - m) / sd < -2.0 AS is_outlier
+        FROM text_stats, (SELECT avg(-avg_logprob) AS m, stddev_pop(-avg_logprob) AS sd
+                          FROM text_stats WHERE category = 'unseen' AND NOT is_infinite)
         WHERE category IN ('known', 'unseen')""",
     "contrast_significance": """
-        SELECT n_left, n_right, round(mean_left, 6) AS mean_left, round(mean_right, 6) AS mean_right,
+        SELECT n_left, n_right, infinite_left, infinite_right, round(mean_left, 6) AS mean_left, round(mean_right, 6) AS mean_right,
                round((mean_right - mean_left) / sqrt(a + b), 3) AS t_value,
                round((a + b) ** 2 / (a ** 2 / (n_left - 1) + b ** 2 / (n_right - 1)), 3) AS degrees
         FROM (SELECT *, var_left / n_left AS a, var_right / n_right AS b FROM (
-            SELECT count(*) FILTER (category = 'known') AS n_left,
-                   count(*) FILTER (category = 'unseen') AS n_right,
-                   avg(-avg_logprob) FILTER (category = 'known') AS mean_left,
-                   avg(-avg_logprob) FILTER (category = 'unseen') AS mean_right,
-                   var_samp(-avg_logprob) FILTER (category = 'known') AS var_left,
-                   var_samp(-avg_logprob) FILTER (category = 'unseen') AS var_right
-            FROM finite))""",
+            SELECT count(*) FILTER (category = 'known' AND NOT is_infinite) AS n_left,
+                   count(*) FILTER (category = 'unseen' AND NOT is_infinite) AS n_right,
+                   count(*) FILTER (category = 'known' AND is_infinite) AS infinite_left,
+                   count(*) FILTER (category = 'unseen' AND is_infinite) AS infinite_right,
+                   avg(-avg_logprob) FILTER (category = 'known' AND NOT is_infinite) AS mean_left,
+                   avg(-avg_logprob) FILTER (category = 'unseen' AND NOT is_infinite) AS mean_right,
+                   var_samp(-avg_logprob) FILTER (category = 'known' AND NOT is_infinite) AS var_left,
+                   var_samp(-avg_logprob) FILTER (category = 'unseen' AND NOT is_infinite) AS var_right
+            FROM text_stats))""",
     "cosine_pairs": """
         SELECT item_id, ref_id, round(similarity, 6) + 0.0 AS similarity FROM vector_pairs""",
     "embedding_verdict": """
@@ -819,10 +832,10 @@ STATEMENTS: dict[str, str] = {
                round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) + 0.0 AS precision,
                round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) + 0.0 AS recall
         FROM (SELECT f.lang, threshold,
-                     count_if(exp(avg_logprob) > threshold AND quality = 1) AS tp,
-                     count_if(exp(avg_logprob) > threshold AND quality <> 1) AS fp,
-                     count_if(exp(avg_logprob) <= threshold AND quality = 1) AS fn
-              FROM finite f JOIN labels l ON f.text_id = 'd' || l.doc_id
+                     count_if(likelihood > threshold AND quality = 1) AS tp,
+                     count_if(likelihood > threshold AND quality <> 1) AS fp,
+                     count_if(likelihood <= threshold AND quality = 1) AS fn
+              FROM (SELECT *, coalesce(1 / perplexity, 0.0) AS likelihood FROM text_stats) f JOIN labels l ON f.text_id = 'd' || l.doc_id
               CROSS JOIN (SELECT unnest([0.0005::DOUBLE, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05]) AS threshold)
               GROUP BY f.lang, threshold)""",
 }

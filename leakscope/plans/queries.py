@@ -454,49 +454,76 @@ def progressive_perplexity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def compare_perplexities(spark: SparkSession, sf: str) -> DataFrame:
-    scored = inputs.scored_texts(spark, sf).where(~F.col("is_infinite"))
+    scored = inputs.scored_texts(spark, sf)
     rounded = scored.withColumn("perplexity", r("perplexity", 4))
-    return logprobs.compare_perplexities(rounded, "text_id").withColumn(
-        "avg_perplexity", r("avg_perplexity", 3)
+    highest = F.col("highest_perplexity")
+    return logprobs.compare_perplexities(rounded, "text_id").withColumns(
+        {
+            "avg_perplexity": r("avg_perplexity", 3),
+            "highest_perplexity": F.when(highest < float("inf"), highest),
+        }
     )
 
 
 @query
 def rank_by_perplexity(spark: SparkSession, sf: str) -> DataFrame:
-    scored = inputs.scored_texts(spark, sf, "known", "random").where(~F.col("is_infinite"))
+    scored = inputs.scored_texts(spark, sf, "known", "random")
     return logprobs.rank_by_perplexity(scored, "text_id").select(
-        "text_id", "category", r("perplexity", 4).alias("perplexity"), "token_count"
+        "text_id",
+        "category",
+        r(logprobs.finite("perplexity"), 4).alias("perplexity"),
+        "token_count",
+        "is_infinite",
     )
 
 
 @query
 def perplexity_contrast(spark: SparkSession, sf: str) -> DataFrame:
-    scored = inputs.scored_texts(spark, sf, "known", "random").where(~F.col("is_infinite"))
+    scored = inputs.scored_texts(spark, sf, "known", "random")
     contrast = logprobs.perplexity_contrast(scored)
-    return contrast.select(*[r(c, 3).alias(c) for c in contrast.columns])
+    return contrast.select(*[c if c.endswith("infinite") else r(c, 3).alias(c) for c in contrast.columns])
 
 
 @query
 def perplexity_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    scored = inputs.scored_texts(spark, sf).where(~F.col("is_infinite"))
+    scored = inputs.scored_texts(spark, sf)
     named = scored.withColumn("category", F.concat_ws(":", "category", F.nullif("lang", F.lit(""))))
     return logprobs.perplexity_by_category(named).select(
         "category",
         "texts",
+        "infinite",
         r("avg_perplexity", 3).alias("avg_perplexity"),
         r("avg_logprob").alias("avg_logprob"),
         "token_count",
     )
 
 
+def _judged(judged: DataFrame) -> DataFrame:
+    return judged.select(
+        "text_id",
+        r(logprobs.finite("compared")).alias("compared"),
+        "is_memorized",
+        r(logprobs.finite("confidence"), 4).alias("confidence"),
+    )
+
+
 @query
 def perplexity_ratio_verdict(spark: SparkSession, sf: str) -> DataFrame:
     scored = stored(inputs.scored_texts(spark, sf, "known", "unseen"), "scored-texts")
-    scored = scored.where(~F.col("is_infinite"))
     references = scored.where(F.col("category") == "unseen")
     known = scored.where(F.col("category") == "known")
-    return logprobs.ratio_verdict(known, references, threshold=0.5).select(
-        "text_id", r("compared").alias("compared"), "is_memorized", r("confidence", 4).alias("confidence")
+    return _judged(logprobs.ratio_verdict(known, references, threshold=0.5))
+
+
+@query
+def perplexity_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """The absolute mode: perplexity itself against the threshold."""
+    judged = logprobs.ratio_verdict(inputs.scored_texts(spark, sf, "known"))
+    return judged.select(
+        "text_id",
+        r(logprobs.finite("compared"), 4).alias("compared"),
+        "is_memorized",
+        r(logprobs.finite("confidence")).alias("confidence"),
     )
 
 
@@ -557,6 +584,8 @@ def contrast_significance(spark: SparkSession, sf: str) -> DataFrame:
     return tested.select(
         "n_left",
         "n_right",
+        "infinite_left",
+        "infinite_right",
         r("mean_left").alias("mean_left"),
         r("mean_right").alias("mean_right"),
         r("t_value", 3).alias("t_value"),
@@ -895,11 +924,11 @@ def score_by_duplication(spark: SparkSession, sf: str) -> DataFrame:
 
 @planned_once
 def _likelihoods(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, likelihood): inverse perplexity of each document."""
-    scored = inputs.scored_texts(spark, sf, "corpus").where(~F.col("is_infinite"))
+    """(doc_id, likelihood): inverse perplexity of each document, 0.0 for an infinite one."""
+    scored = inputs.scored_texts(spark, sf, "corpus")
     return scored.select(
         F.substring("text_id", 2, 20).cast("bigint").alias("doc_id"),
-        F.exp("avg_logprob").alias("likelihood"),
+        (1 / F.col("perplexity")).alias("likelihood"),
         "avg_logprob",
         "token_count",
         "lang",
