@@ -1,40 +1,36 @@
-"""The one Python kernel: sequence-matcher ratios, which no SQL function gives."""
+"""Similarity of two texts by the character pairs they share."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leakscope import config
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two texts; equal pairs of a batch are scored once."""
-    known: dict[tuple[str, str], float] = {}
-    scores = []
-    for pair in zip(left, right):
-        if pair[0] is None or pair[1] is None:
-            scores.append(None)
-            continue
-        if pair not in known:
-            known[pair] = difflib.SequenceMatcher(None, pair[0], pair[1]).ratio()
-        scores.append(known[pair])
-    return pd.Series(scores, dtype="float64")
-
-
-@F.pandas_udf(T.IntegerType())
-def closest_option(options: pd.Series, answer: pd.Series) -> pd.Series:
-    """Index of the option closest to the answer, null below the cutoff or if options are null."""
-    found = []
-    for candidates, text in zip(options, answer):
-        if candidates is None or text is None:
-            found.append(None)
-            continue
-        candidates = list(candidates)
-        best = difflib.get_close_matches(text, candidates, n=1, cutoff=config.ANSWER_MATCH_CUTOFF)
-        found.append(candidates.index(best[0]) if best else None)
-    return pd.Series(found, dtype="Int32")
+def character_pairs(text: Column) -> Column:
+    """Distinct pairs of neighbouring characters; empty for shorter texts."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
+    pairs = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(2))))
+    return F.when(F.length(text) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def pair_similarity(left: Column, right: Column) -> Column:
+    """Dice share of the common pairs; texts without pairs are alike if equal. Null if one is null.
+
+    Linear in the texts and evaluated in the JVM.
+    """
+    a, b = character_pairs(left), character_pairs(right)
+    total = F.size(a) + F.size(b)
+    share = F.try_divide(2.0 * F.size(F.array_intersect(a, b)), total.cast("double"))
+    equal = F.when(left == right, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(left.isNull() | right.isNull(), F.lit(None)).when(total > 0, share).otherwise(equal)
+
+
+def closest_option(options: Column, answer: Column, cutoff: float = config.ANSWER_MATCH_CUTOFF) -> Column:
+    """Index of the first option most like the answer, null below the cutoff."""
+    scored = F.transform(
+        options, lambda o, i: F.struct(F.coalesce(pair_similarity(o, answer), F.lit(-1.0)).alias("score"), (-i).alias("minus"))
+    )
+    best = F.array_max(scored)
+    return F.when(best["score"] >= cutoff, -best["minus"])

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope import config
@@ -122,8 +122,7 @@ def nearest_vectors(
     query; the partial lists are then merged. Similarities are compared at six
     decimals, ties go to the smaller id.
     """
-    query_blocks = _block_count(queries, block_rows)
-    reference_blocks = _block_count(references, block_rows)
+    query_blocks, reference_blocks = _block_count(queries, block_rows), _block_count(references, block_rows)
     left = _replicated(queries, "qb", query_blocks, "rb", reference_blocks)
     right = _replicated(references, "rb", reference_blocks, "qb", query_blocks)
 
@@ -139,16 +138,17 @@ def nearest_vectors(
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_count(vectors: DataFrame, block_rows: int) -> int:
-    return max(1, -(-vectors.count() // block_rows))
+def _block_count(vectors: DataFrame, block_rows: int) -> Column:
+    """A scalar subquery, so that building the plan runs no job."""
+    return vectors.agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1)).cast("int")).scalar()
 
 
-def _replicated(vectors: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
+def _replicated(vectors: DataFrame, own: str, blocks: Column, other: str, copies: Column) -> DataFrame:
     return vectors.select(
         "vec_id",
         as_doubles(F.col("embedding")).alias("embedding"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias(own),
-        F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other),
+        F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias(own),
+        F.explode(F.sequence(F.lit(0), copies - 1)).alias(other),
     )
 
 
@@ -165,6 +165,7 @@ def _cell_top(q: pd.DataFrame, r: pd.DataFrame, k: int, exclude_same_id: bool) -
     r = r.sort_values("vec_id")
     query_ids, ids = q["vec_id"].to_numpy(), r["vec_id"].to_numpy()
     scores = np.round(_unit_matrix(q["embedding"]) @ _unit_matrix(r["embedding"]).T, 6)
+    scores[np.isnan(scores)] = -np.inf  # a vector with NaN is nobody's neighbour
     if exclude_same_id:
         scores[query_ids[:, None] == ids[None, :]] = -np.inf
     parts = list(_top_rows(query_ids, ids, scores, min(k, len(ids))))

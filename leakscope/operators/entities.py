@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope import config
-from leakscope.functions.text import WORD, cased_tokens, explode_rows
+from leakscope.functions.text import explode_rows
 from leakscope.session import stored
 
 WORDS_AND_GAPS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
@@ -60,41 +60,40 @@ def entity_score(hits: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def entity_occurrences(entities: DataFrame, corpus: DataFrame, text: str, words: int = 1) -> DataFrame:
-    """Whole-word occurrences of entities made of ``words`` words, case-sensitive.
+def entity_occurrences(entities: DataFrame, corpus: DataFrame, text: str) -> DataFrame:
+    """Whole-word occurrences of entities of any number of words, case-sensitive.
 
-    A text is cut into words and the gaps between them; an entity of w words is
-    a run of 2w - 1 pieces, so counting is an equality join.
+    A text is cut into words and the gaps between them; an entity is a run of such
+    pieces, so counting is an equality join. Only runs of lengths that entities have
+    are made. All runs are counted before the join, combined per task, so a frequent
+    one costs a row per task.
     """
-    span = 2 * words - 1
-    stored = corpus.select(
-        F.regexp_extract_all(F.col(text), F.lit(WORDS_AND_GAPS), F.lit(0)).alias("_pieces")
+    listed = entities.select("entity").distinct()
+    spans = listed.agg(
+        F.array_sort(F.collect_set(F.size(F.regexp_extract_all("entity", F.lit(WORDS_AND_GAPS), F.lit(0)))))
+    ).scalar()
+    stored_pieces = corpus.select(
+        F.regexp_extract_all(F.col(text), F.lit(WORDS_AND_GAPS), F.lit(0)).alias("_pieces"), spans.alias("_spans")
     )
-    last = F.size("_pieces") - span + 1
-    runs = F.when(
-        last >= 1,
+    fitting = F.filter("_spans", lambda n: (n > 0) & (n <= F.size("_pieces")))
+    runs = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-            lambda i: F.array_join(F.slice(F.col("_pieces"), i, span), ""),
-        ),
-    )
-    exploded = stored.select(F.explode_outer(runs if words > 1 else F.col("_pieces")).alias("entity"))
-    listed = entities.select("entity").distinct()
-    return (
-        exploded.where(F.col("entity").isNotNull())
-        .join(listed, "entity", "left_semi")
-        .groupBy("entity")
-        .agg(F.count("*").alias("occurrences"))
+            fitting,
+            lambda n: F.when(n == 1, F.col("_pieces")).otherwise(
+                F.transform(
+                    F.sequence(F.lit(1), F.size("_pieces") - n + 1),
+                    lambda i: F.array_join(F.slice(F.col("_pieces"), i, n), ""),
+                )
+            ),
+        )
     )
+    counted = explode_rows(stored_pieces, runs, "entity").groupBy("entity").agg(F.count("*").alias("occurrences"))
+    return counted.join(listed, "entity", "left_semi")
 
 
-def entity_rarity(
-    entities: DataFrame, corpus: DataFrame, text: str, words: tuple[int, ...] = (1,)
-) -> DataFrame:
+def entity_rarity(entities: DataFrame, corpus: DataFrame, text: str) -> DataFrame:
     """-ln(max(occurrences, 1) / words of the corpus) per entity."""
-    counts = entity_occurrences(entities, corpus, text, words[0])
-    for count in words[1:]:
-        counts = counts.unionByName(entity_occurrences(entities, corpus, text, count))
+    counts = entity_occurrences(entities, corpus, text)
     total = corpus.agg(F.sum(F.regexp_count(F.col(text), F.lit(r"\S+")).cast("bigint"))).scalar()
     seen = F.coalesce("occurrences", F.lit(0))
     return (
@@ -113,20 +112,25 @@ def texts_with_entities(
 ) -> DataFrame:
     """Texts that contain at least one listed entity as a substring.
 
-    The longest word of an entity must lie within one word of the text. So the
-    distinct words of the corpus, cut into their substrings, meet the entity
-    words in an equality join; texts holding such a word are then checked
-    against the whole entity. No text is compared with every entity.
+    The longest word of an entity must lie within one word of the text; one without
+    words must lie within a gap between words. So the distinct words and gaps of the
+    corpus, cut into their substrings, meet the entity words in an equality join;
+    texts holding such a word are then checked against the whole entity. No text is
+    compared with every entity. An empty entity names nothing.
     """
-    parts = F.regexp_extract_all(F.col("entity"), F.lit(WORD), F.lit(0))
-    longest_word = F.reduce(
+    parts = F.regexp_extract_all(F.col("entity"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    longest = F.reduce(
         parts,
         F.lit(""),
         lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best),
     )
+    longest_word = F.when(longest == "", F.col("entity")).otherwise(longest)
     keyed = entities.select("entity").distinct().withColumn("part", longest_word)
     words = explode_rows(
-        texts.select(text_id, F.array_distinct(cased_tokens(F.col(text))).alias("_w")),
+        texts.select(
+            text_id,
+            F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORDS_AND_GAPS), F.lit(0))).alias("_w"),
+        ),
         F.col("_w"),
         "word",
         text_id,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope import config
-from leakscope.functions.similarity import sequence_ratio
+from leakscope.functions.similarity import pair_similarity
 from leakscope.operators.scaling import running_sums
 
 
@@ -37,7 +37,7 @@ def continuation_logprob(
 
 def similarity_logprob(df: DataFrame, continuation: str, generated: str, alias: str) -> DataFrame:
     """Stand-in log-probability from the similarity of expected and generated text."""
-    ratio = sequence_ratio(F.lower(F.col(continuation)), F.lower(F.col(generated)))
+    ratio = pair_similarity(F.lower(F.col(continuation)), F.lower(F.col(generated)))
     return df.withColumn("_ratio", ratio).withColumn(
         alias, F.ln(F.greatest("_ratio", F.lit(config.MIN_SIMILARITY)))
     ).drop("_ratio")
@@ -138,9 +138,13 @@ def progressive_perplexity(tokens: DataFrame, seq_id: str, with_prefix: bool = F
     return rows
 
 
+def is_endless() -> Column:
+    return F.col("perplexity") == float("inf")
+
+
 def finite(value: str) -> Column:
     """The value of texts of finite perplexity, null for the others."""
-    return F.when(~F.col("is_infinite"), F.col(value))
+    return F.when(~is_endless(), F.col(value))
 
 
 def rank_by_perplexity(scored: DataFrame, text_id: str) -> DataFrame:
@@ -157,7 +161,7 @@ def compare_perplexities(scored: DataFrame, text_id: str) -> DataFrame:
     rank = F.struct("perplexity", text_id)
     summary = scored.agg(
         F.count("*").alias("texts"),
-        F.count_if("is_infinite").alias("infinite"),
+        F.count_if(is_endless()).alias("infinite"),
         F.min(rank).alias("_lowest"),
         F.max(rank).alias("_highest"),
         F.coalesce(F.avg(finite("perplexity")), F.lit(0.0)).alias("avg_perplexity"),
@@ -184,7 +188,7 @@ def perplexity_contrast(scored: DataFrame, known: str = "known", random: str = "
         value = F.when(of_class, finite("perplexity"))
         for function, short in ((F.avg, "avg"), (F.min, "min"), (F.max, "max")):
             columns.append(F.coalesce(function(value), F.lit(0.0)).alias(f"{name}_{short}"))
-        columns.append(F.count_if(of_class & F.col("is_infinite")).alias(f"{name}_infinite"))
+        columns.append(F.count_if(of_class & is_endless()).alias(f"{name}_infinite"))
     ratio = F.when(F.col("known_avg") > 0, F.col("random_avg") / F.col("known_avg"))
     return scored.agg(*columns).withColumn("contrast_ratio", F.coalesce(ratio, F.lit(0.0)))
 
@@ -193,7 +197,7 @@ def perplexity_by_category(scored: DataFrame) -> DataFrame:
     """Texts and tokens of each category; averages leave out what ``infinite`` counts."""
     return scored.groupBy("category").agg(
         F.count("*").alias("texts"),
-        F.count_if("is_infinite").alias("infinite"),
+        F.count_if(is_endless()).alias("infinite"),
         F.avg(finite("perplexity")).alias("avg_perplexity"),
         F.avg(finite("avg_logprob")).alias("avg_logprob"),
         F.sum("token_count").alias("token_count"),
@@ -335,7 +339,7 @@ def contrast_significance(scored: DataFrame, left: str, right: str) -> DataFrame
         value = F.when(of_class, -finite("avg_logprob"))
         columns += [
             F.count(value).alias(f"n_{name}"),
-            F.count_if(of_class & F.col("is_infinite")).alias(f"infinite_{name}"),
+            F.count_if(of_class & is_endless()).alias(f"infinite_{name}"),
             F.avg(value).alias(f"mean_{name}"),
             F.var_samp(value).alias(f"var_{name}"),
         ]

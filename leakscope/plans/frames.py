@@ -1,4 +1,4 @@
-"""Plans of given and derived tables, each built once per session."""
+"""Plans of given and derived tables, each built once per call of a query."""
 
 from __future__ import annotations
 
@@ -14,10 +14,11 @@ _plans: weakref.WeakKeyDictionary[SparkSession, dict] = weakref.WeakKeyDictionar
 
 
 def planned_once(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Build the plan of a derived table once per session and arguments.
+    """Build the plan of a derived table once per call of a query.
 
-    Only the lazy plan is kept, no data: naming a table twice in a query then
-    costs no second round of plan building, and Spark sees equal subplans.
+    Naming a table twice in a query then costs no second round of plan building,
+    and Spark sees equal subplans. The next call starts anew (:func:`forget`), so
+    that a table written on the way never outlives a change of the input.
     """
 
     @functools.wraps(build)
@@ -31,10 +32,16 @@ def planned_once(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return planned
 
 
-# Tables with long texts and the unique key they may be spread by.
+def forget(spark: SparkSession) -> None:
+    """Drop the plans of earlier calls; each registered query does so first."""
+    _plans.pop(spark, None)
+
+
+# Tables with long texts and the unique key they are spread by in sessions that ask for it.
 SPREAD_BY = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
 
 
 @planned_once
 def read_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tables.read_table(spark, sf, name, *SPREAD_BY.get(name, ()))
+    spread_by = SPREAD_BY.get(name, ()) if spark.conf.get("leakscope.spread", "false") == "true" else ()
+    return tables.read_table(spark, sf, name, *spread_by)

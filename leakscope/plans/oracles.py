@@ -86,6 +86,18 @@ def _rule(token: str) -> str:
     )
 
 
+def _pairs(text: str) -> str:
+    return f"list_distinct([substr({text}, i, 2) for i in range(1, length({text}))])"
+
+
+def _pair_similarity(a: str, b: str) -> str:
+    x, y = _pairs(a), _pairs(b)
+    return (
+        f"CASE WHEN len({x}) + len({y}) > 0 THEN 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) "
+        f"ELSE ({a} = {b})::INTEGER END"
+    )
+
+
 def _ws(text: str) -> str:
     return f"regexp_extract_all(lower({text}), '\\S+')"
 
@@ -466,6 +478,11 @@ def _trial_prompt(shown: str) -> str:
     return _prompt("CASE WHEN kind = 'reordered' THEN question ELSE rephrased END", shown)
 
 
+SIMILAR = f"""
+    SELECT item_id, o, {_pair_similarity("a", "b")} AS similarity
+    FROM (SELECT item_id, o, lower(option) AS a, lower(completion) AS b
+          FROM option_rows JOIN completions USING (item_id) WHERE error IS NULL)"""
+
 STATEMENTS: dict[str, str] = {
     "load_questions": """
         SELECT id, question, options[2] AS option_b, answer, split
@@ -583,6 +600,18 @@ STATEMENTS: dict[str, str] = {
               FROM (SELECT *, sum(length(token)) OVER (PARTITION BY response_id ORDER BY pos) AS ends
                     FROM legacy_tokens))
         GROUP BY response_id""",
+    "similarity_logprob": f"""
+        SELECT item_id, o AS option_idx, round(ln(greatest(similarity, 0.01)), 6) + 0.0 AS sim_logprob
+        FROM ({SIMILAR})""",
+    "option_logprobs": f"""
+        SELECT item_id, o AS option_idx, round(coalesce(model, sim, -10.0), 6) + 0.0 AS logprob,
+               CASE WHEN model IS NOT NULL THEN 'logprob' WHEN sim IS NOT NULL THEN 'similarity'
+                    ELSE 'default' END AS source
+        FROM (SELECT r.item_id, r.o, CASE WHEN {_pick(3, "r.item_id", "'path'")} > 0 THEN s.logprob END AS model,
+                     ln(greatest(similarity, 0.01)) AS sim
+              FROM option_rows r
+              LEFT JOIN option_scores s ON s.item_id = r.item_id AND s.option_idx = r.o
+              LEFT JOIN ({SIMILAR}) m ON m.item_id = r.item_id AND m.o = r.o)""",
     "option_perplexity": """
         SELECT item_id, round(correct_logprob, 6) + 0.0 AS correct_logprob,
                round(other_logprob, 6) + 0.0 AS other_logprob,

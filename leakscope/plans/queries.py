@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ from leakscope.operators import (
 from leakscope.plans import inputs
 from leakscope.session import shared_folder, stored
 from leakscope.sources import questions, responses, results
-from leakscope.plans.frames import planned_once, read_table
+from leakscope.plans.frames import forget, planned_once, read_table
 from leakscope.sources.tables import read_tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +39,12 @@ SWEEP = [0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05]
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    @functools.wraps(function)
+    def called(spark: SparkSession, sf: str) -> DataFrame:
+        forget(spark)
+        return function(spark, sf)
+
+    QUERIES[function.__name__] = called
     return function
 
 

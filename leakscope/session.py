@@ -19,6 +19,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("leakscope.spread", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -11,9 +11,6 @@ from leakscope.functions.similarity import closest_option
 from leakscope.functions.text import letter_index, strip
 from leakscope.operators.prompts import multiple_choice_prompt
 
-# Largest sample a single top-n step gathers; larger ones are cut by digest range.
-TOP_N_ROWS = 100_000
-
 
 def read_questions(spark: SparkSession, path: str, split: str = "train", fmt: str = "parquet") -> DataFrame:
     """Records of one split; a table partitioned by ``split`` is pruned to it."""
@@ -47,17 +44,11 @@ def letter_answer_index(answer: Column) -> Column:
 
 
 def answer_index(df: DataFrame, options: str, answer: str, alias: str, closest: bool = True) -> DataFrame:
-    """Resolve answer texts to option indexes, -1 where nothing is close enough.
-
-    Only rows without an equal option carry their texts into the Python kernel.
-    """
+    """Resolve answer texts to option indexes, -1 where nothing is close enough."""
     exact = exact_answer_index(F.col(options), F.col(answer))
     staged = df.withColumn(alias, exact)
     if closest:
-        open_row = F.col(alias).isNull()
-        guess = closest_option(
-            F.when(open_row, F.col(options)), F.when(open_row, F.col(answer))
-        )
+        guess = closest_option(F.col(options), F.col(answer))
         staged = staged.withColumn(alias, F.coalesce(F.col(alias), guess))
     return staged.withColumn(alias, F.coalesce(F.col(alias), F.lit(-1)))
 
@@ -91,26 +82,26 @@ def preprocess_questions(raw: DataFrame, closest: bool = True) -> DataFrame:
 def seeded_sample(df: DataFrame, rows: int, key: str, seed: int = 42) -> DataFrame:
     """``rows`` rows without replacement in md5 order of (seed, key); all if fewer.
 
-    Small samples are one top-n step. For large ones a histogram over the first
-    four hex digits finds the digest range that is taken whole, and only the
-    last bucket of that range is sorted.
+    The key is unique. A histogram over the first four hex digits, at most 65,536
+    counts in one row, finds the digest range that is taken whole; only the keys of
+    the bucket at its edge are ranked. The rows follow by a join on the key.
     """
-    keyed = df.withColumn("_order", hash_key(seed, F.col(key)))
-    if rows <= TOP_N_ROWS:
-        return keyed.orderBy("_order").limit(rows).drop("_order")
-    bucket = F.substring("_order", 1, 4)
-    counts = keyed.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows"))
-    running = F.sum("_rows").over(Window.orderBy("_bucket"))
-    edges = counts.select("_bucket", "_rows", running.alias("_upto"))
-    whole = edges.where(F.col("_upto") <= rows).agg(
-        F.coalesce(F.max("_bucket"), F.lit("")).alias("last"),
-        F.coalesce(F.max("_upto"), F.lit(0)).alias("taken"),
-    )
-    limits = whole.select(F.struct("last", "taken")).scalar()
-    marked = keyed.withColumn("_limits", limits).withColumn("_bucket", bucket)
-    inside = marked.where(F.col("_bucket") <= F.col("_limits.last"))
-    edge_bucket = edges.where(F.col("_upto") > rows).agg(F.min("_bucket")).scalar()
-    edge = marked.where(F.col("_bucket") == edge_bucket)
-    ranked = edge.withColumn("_rank", F.row_number().over(Window.orderBy("_order")))
-    rest = ranked.where(F.col("_rank") + F.col("_limits.taken") <= rows).drop("_rank")
-    return inside.unionByName(rest).drop("_order", "_limits", "_bucket")
+    keys = df.select(key, hash_key(seed, F.col(key)).alias("_order"))
+    keys = keys.withColumn("_bucket", F.substring("_order", 1, 4))
+    counts = keys.groupBy("_bucket").agg(F.count("*").alias("n"))
+    listed = counts.agg(F.array_sort(F.collect_list(F.struct(F.col("_bucket").alias("bucket"), "n"))).alias("h"))
+    start = F.struct(F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("string").alias("edge"))
+
+    def step(state: Column, item: Column) -> Column:
+        fits = state["edge"].isNull() & (state["taken"] + item["n"] <= rows)
+        taken = F.when(fits, state["taken"] + item["n"]).otherwise(state["taken"])
+        edge = F.when(fits | state["edge"].isNotNull(), state["edge"]).otherwise(item["bucket"])
+        return F.struct(taken.alias("taken"), edge.alias("edge"))
+
+    cut = listed.select(F.aggregate("h", start, step)).scalar()
+    marked = keys.withColumn("_cut", cut)
+    inside = marked.where(F.col("_cut.edge").isNull() | (F.col("_bucket") < F.col("_cut.edge")))
+    in_bucket = Window.partitionBy("_bucket").orderBy("_order", key)
+    edge = marked.where(F.col("_bucket") == F.col("_cut.edge")).withColumn("_rank", F.row_number().over(in_bucket))
+    rest = edge.where(F.col("_rank") + F.col("_cut.taken") <= rows)
+    return df.join(inside.select(key).union(rest.select(key)), key, "left_semi")

@@ -11,14 +11,10 @@ def read_table(spark: SparkSession, folder: str, name: str, *spread_by: str) ->
 
 
 def spread(table: DataFrame, *keys: str) -> DataFrame:
-    """Give a table of few files, as a single row group cannot be split, to all cores.
+    """Shuffle a table by a unique key, for files of one row group that cannot be split.
 
-    Only a table with fewer partitions than the cluster has cores is shuffled;
-    the partition count is left to adaptive execution, which sizes it by bytes.
+    The caller decides; tables of many files need it as little as they can afford it.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
-        return table
     return table.repartition(*keys)
 
 

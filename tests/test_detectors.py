@@ -124,7 +124,7 @@ def test_entity_scores_and_rarity(spark):
         [(1, "Paris, Paris and New York!"), (2, "Parisian New  York"), (3, "bronze ozone")],
         "doc_id bigint, text string",
     )
-    rows = {r["entity"]: r["occurrences"] for r in entities.entity_rarity(listed, corpus, "text", words=(1, 2)).collect()}
+    rows = {r["entity"]: r["occurrences"] for r in entities.entity_rarity(listed, corpus, "text").collect()}
     assert rows == {"Paris": 2, "New York": 1, "Oz": 0}
     named = entities.texts_with_entities(corpus, listed, "doc_id", "text")
     assert sorted(r["doc_id"] for r in named.collect()) == [1, 2]
@@ -207,4 +207,15 @@ def test_every_query_has_a_name_and_no_oracle_is_orphaned():
     from leakscope.plans.oracles import ORACLES
 
     assert set(ORACLES) <= set(queries.QUERIES)
-    assert set(queries.QUERIES) - set(ORACLES) == {"similarity_logprob", "option_logprobs", "membership_scores"}
+    assert set(queries.QUERIES) - set(ORACLES) == {"membership_scores"}
+
+
+def test_entities_of_signs_and_several_words(spark):
+    listed = spark.createDataFrame([("AT&T",), ("&&",), ("New York",), ("",)], "entity string")
+    corpus = spark.createDataFrame(
+        [(1, "AT&T, AT&T and New York"), (2, "a && b"), (3, "a&&&b New-York")], "doc_id bigint, text string"
+    )
+    rows = {r["entity"]: r["occurrences"] for r in entities.entity_rarity(listed, corpus, "text").collect()}
+    assert rows["AT&T"] == 2 and rows["New York"] == 1
+    named = entities.texts_with_entities(corpus, listed.where("entity = '&&'"), "doc_id", "text")
+    assert sorted(r["doc_id"] for r in named.collect()) == [2, 3]

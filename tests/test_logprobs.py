@@ -121,12 +121,12 @@ def test_similarity_logprob_has_a_floor(spark):
     assert got == pytest.approx([0.0, math.log(0.01)])
 
 
-def test_rule_logprobs_ignore_case_and_blanks(spark):
-    table = spark.createDataFrame([(" The",), ("Paris",), ("xyz",)], "t string")
+def test_rule_logprobs_ignore_case(spark):
+    table = spark.createDataFrame([("The",), (" the",), (" ",), ("Paris",), ("xyz",)], "t string")
     got = table.select(
         corpus_lm.rule_logprob(F.col("t")), corpus_lm.rule_logprob_by_class(F.col("t"))
     ).collect()
-    assert [tuple(r) for r in got] == [(-1.0, -1.5), (-2.0, -2.75), (-2.0, -4.75)]
+    assert [tuple(r) for r in got] == [(-1.0, -1.5), (-2.0, -1.5), (-1.0, -4.75), (-2.0, -2.75), (-2.0, -4.75)]
 
 
 def brute_logprob(corpus, prev, token):
@@ -156,3 +156,39 @@ def test_bigram_model_against_brute_force(spark):
     assert len(got) == sum(max(len(t.split()) - 1, 0) for t, _ in both)
     for r in got:
         assert r["logprob"] == pytest.approx(brute_logprob(corpus, r["prev"], r["token"]))
+
+
+def scored(spark, rows):
+    columns = "text_id string, category string, avg_logprob double, token_count int, is_infinite boolean, perplexity double"
+    return spark.createDataFrame([(i, c, -math.log(p) if p else 0.0, 3, p is None, p or math.inf) for i, c, p in rows], columns)
+
+
+def test_infinite_texts_stay(spark):
+    table = scored(spark, [("a", "known", 2.0), ("b", "known", None), ("c", "random", 4.0), ("d", "random", 8.0)])
+    summary = logprobs.compare_perplexities(table, "text_id").first()
+    assert (summary.texts, summary.infinite, summary.lowest_id, summary.highest_id) == (4, 1, "a", "b")
+    assert summary.avg_perplexity == pytest.approx(14 / 3)
+    assert [r.text_id for r in logprobs.rank_by_perplexity(table, "text_id").collect()] == ["a", "c", "d", "b"]
+    contrast = logprobs.perplexity_contrast(table).first()
+    assert (contrast.known_avg, contrast.known_infinite, contrast.contrast_ratio) == (2.0, 1, 3.0)
+    by = {r.category: (r.texts, r.infinite, r.avg_perplexity) for r in logprobs.perplexity_by_category(table).collect()}
+    assert by == {"known": (2, 1, 2.0), "random": (2, 0, 6.0)}
+    judged = {r.text_id: r.is_memorized for r in logprobs.ratio_verdict(table, threshold=5.0).collect()}
+    assert judged == {"a": True, "b": False, "c": True, "d": False}
+    outliers = {r.text_id: (r.z_score, r.is_outlier) for r in logprobs.perplexity_outliers(table, "random").collect()}
+    assert outliers["b"] == (None, False) and len(outliers) == 4
+
+
+def test_significance_of_classes_that_do_not_vary(spark):
+    table = scored(spark, [("a", "x", 2.0), ("b", "x", 2.0), ("c", "y", 4.0), ("d", "y", 4.0), ("e", "y", None)])
+    r = logprobs.contrast_significance(table, "x", "y").first()
+    assert (r.n_left, r.n_right, r.infinite_right, r.t_value, r.degrees) == (2, 2, 1, None, None)
+
+
+def test_temperature_zero_keeps_the_likeliest(spark):
+    table = spark.createDataFrame(
+        [("s", 0, [("a", -1.0), ("b", -0.5), ("c", -0.5)]), ("s", 1, None)],
+        "id string, pos int, top_logprobs array<struct<token: string, logprob: double>>",
+    )
+    kept = logprobs.temperature_top_p(table, "id", 0.0, 0.9).collect()
+    assert [(r.alternative, r.probability, r.nucleus_probability) for r in kept] == [("b", 1.0, 1.0)]

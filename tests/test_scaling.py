@@ -101,3 +101,10 @@ def test_dedup_keeps_the_first_of_each_group(spark):
     texts = [(3, "a b"), (1, "A  b "), (2, "c")]
     kept = dedup.exact_dedup(spark.createDataFrame(texts, "doc_id bigint, text string"), "doc_id", "text")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
+def test_a_vector_with_nan_takes_no_place(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(6)] + [(9, [float("nan"), 1.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = nearest_vectors(table.where("vec_id < 6"), table, k=2, exclude_same_id=True, block_rows=16).collect()
+    assert len(found) == 12 and 9 not in {r["neighbour_id"] for r in found}

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from leakscope.plans.queries import QUERIES
 from leakscope.session import shared_folder, stored
 
 
@@ -34,3 +36,13 @@ def test_a_cluster_without_shared_folder_is_refused():
 
 def test_stored_tables_come_back_whole(spark):
     assert stored(spark.range(10), "numbers").count() == 10
+
+
+def test_a_query_sees_changed_input(spark, tmp_path):
+    items = spark.createDataFrame([(0, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    documents = items.select(F.col("item_id").alias("doc_id"), "text", F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["corpus_contamination"](spark, str(tmp_path)).count() == 1
+    documents.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["corpus_contamination"](spark, str(tmp_path)).count() == 0

@@ -1,11 +1,11 @@
-import difflib
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from leakscope import schemas
-from leakscope.functions.similarity import sequence_ratio
+from leakscope.functions.similarity import pair_similarity
 from leakscope.operators import tabular
 from leakscope.sources import questions, responses, results, tables
 
@@ -20,6 +20,8 @@ OPTIONS = "options array<string>, answer string"
         (["Missense mutation", "Silent mutation"], "Missense mutatio", 0),
         (["alpha", "beta"], "zzzzzz", -1),
         (["x", "x"], "x", 0),
+        (["missense", "nonsense"], "nonsens change", -1),
+        (["missense", "nonsense"], "nonsensical", 1),
     ],
 )
 def test_answer_index_cascade(spark, options, answer, expected):
@@ -54,12 +56,11 @@ def test_split_is_pruned_when_partitioned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in train._jdf.queryExecution().toString()
 
 
-def test_large_sample_equals_the_first_rows_in_digest_order(spark, monkeypatch):
+def test_sample_takes_the_first_rows_in_digest_order(spark):
     rows = spark.range(5000).withColumnRenamed("id", "k")
-    small = {r["k"] for r in questions.seeded_sample(rows, 700, "k").collect()}
-    monkeypatch.setattr(questions, "TOP_N_ROWS", 10)
-    large = [r["k"] for r in questions.seeded_sample(rows, 700, "k").collect()]
-    assert len(large) == 700 and set(large) == small
+    order = sorted(range(5000), key=lambda k: hashlib.md5(f"42|{k}".encode()).hexdigest())
+    for n in (0, 1, 700, 5000):
+        assert {r["k"] for r in questions.seeded_sample(rows, n, "k").collect()} == set(order[:n])
     assert questions.seeded_sample(rows, 9000, "k").count() == 5000
 
 
@@ -108,11 +109,17 @@ def test_chat_rows_keep_alternatives(spark):
     assert row["top_logprobs"][0]["bytes"] == [32]
 
 
-def test_sequence_ratio_is_difflib(spark):
-    pairs = [("actin polymerization", "protein phosphorylation"), ("abc", "abd"), ("", "")]
+def test_pair_similarity_against_brute_force(spark):
+    def brute(a, b):
+        if a is None or b is None:
+            return None
+        x, y = ({t[i : i + 2] for i in range(len(t) - 1)} for t in (a, b))
+        return 2 * len(x & y) / (len(x) + len(y)) if x or y else float(a == b)
+
+    pairs = [("actin polymerization", "protein phosphorylation"), ("abc", "abd"), ("", ""), ("é", "e"), ("é", "é"), ("a", "ab"), (None, "a"), ("aaaa", "aa")]
     rows = spark.createDataFrame(pairs, "a string, b string")
-    got = [r[0] for r in rows.select(sequence_ratio("a", "b")).collect()]
-    assert got == pytest.approx([difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs])
+    got = [r[0] for r in rows.select(pair_similarity(F.col("a"), F.col("b"))).collect()]
+    assert got == pytest.approx([brute(a, b) for a, b in pairs])
 
 
 def test_result_file_of_one_document_is_read(spark, tmp_path):
