@@ -504,8 +504,17 @@ STATEMENTS: dict[str, str] = {
                    THEN round(d.score, 6) + 0.0 END AS memorization_score,
                CASE WHEN error IS NULL AND d.flag THEN 'true' WHEN error IS NULL THEN 'false'
                     ELSE 'none' END AS is_memorized,
-               round(v.score, 6) + 0.0 AS aggregate_score, v.flag AS verdict
+               round(v.score, 6) + 0.0 AS aggregate_score, v.flag AS verdict,
+               CASE method WHEN 'perplexity' THEN 1.5::DOUBLE WHEN 'ngram' THEN 0.3::DOUBLE
+                           WHEN 'embedding' THEN 0.35::DOUBLE ELSE 0.7::DOUBLE END AS threshold,
+               'example-model' AS model, (SELECT count(*) FROM mcq) AS num_examples, 4::BIGINT AS n_methods
         FROM detections d JOIN verdicts v ON v.item_id = d.item_id""",
+    "chat_logprob_requests": """
+        SELECT r.item_id, o AS part,
+               json_object('model', 'example-model', 'messages', json_array(json_object(
+                   'role', 'user', 'content', question || option)), 'max_tokens', 1,
+                   'temperature', 0.0::DOUBLE, 'logprobs', true, 'top_logprobs', 5)::VARCHAR AS body
+        FROM option_rows r JOIN mcq m ON m.item_id = r.item_id""",
     "request_table": f"""
         SELECT r.item_id, 'perplexity' AS method, o AS part,
                json_object('model', 'example-model', 'prompt', question || option,
@@ -548,7 +557,11 @@ STATEMENTS: dict[str, str] = {
         SELECT method, count(*) AS items, count(score) FILTER (error IS NULL) AS scored,
                count_if(flag AND error IS NULL) AS memorized
         FROM detections WHERE method IN ('ngram', 'consistency') GROUP BY method""",
-    "detection_errors": "SELECT item_id, method, error FROM detections WHERE error IS NOT NULL",
+    "detection_errors": """
+        SELECT m.item_id, m.method, CASE WHEN score IS NULL AND error IS NULL THEN 'no result' ELSE error END AS error
+        FROM (SELECT item_id, unnest(['perplexity', 'ngram', 'embedding', 'consistency']) AS method FROM mcq) m
+        LEFT JOIN detections d ON d.item_id = m.item_id AND d.method = m.method
+        WHERE error IS NOT NULL OR score IS NULL""",
     "text_preview": """
         SELECT doc_id, CASE WHEN length(text) > 30 THEN substr(text, 1, 30) || '...' ELSE text END AS preview
         FROM documents""",
@@ -856,6 +869,21 @@ STATEMENTS: dict[str, str] = {
         FROM (SELECT text_key, count(*) AS n, sum(coalesce(leak_score, 0.0)) AS s
               FROM copies LEFT JOIN leaks USING (doc_id) GROUP BY text_key)
         GROUP BY 1""",
+    "calibrated_verdict": """
+        SELECT ltrim(text_id, 'd')::BIGINT AS doc_id, t.lang, best AS threshold,
+               coalesce(coalesce(1 / perplexity, 0.0) > best, false) AS is_memorized
+        FROM text_stats t LEFT JOIN (
+            SELECT lang, arg_max(threshold, struct_pack(f := round(2 * tp / (2 * tp + fp + fn), 9), t := -threshold)) AS best
+            FROM (SELECT f.lang, threshold,
+                         count_if(likelihood > threshold AND quality = 1) AS tp,
+                         count_if(likelihood > threshold AND quality <> 1) AS fp,
+                         count_if(likelihood <= threshold AND quality = 1) AS fn
+                  FROM (SELECT *, coalesce(1 / perplexity, 0.0) AS likelihood FROM text_stats) f
+                  JOIN labels l ON f.text_id = 'd' || l.doc_id
+                  CROSS JOIN (SELECT unnest([0.0005::DOUBLE, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05]) AS threshold)
+                  GROUP BY f.lang, threshold)
+            GROUP BY lang) b ON b.lang = t.lang
+        WHERE t.category = 'corpus'""",
     "threshold_sweep": """
         SELECT lang, threshold, tp AS true_positives, fp AS false_positives, fn AS false_negatives,
                round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) + 0.0 AS precision,

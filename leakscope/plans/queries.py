@@ -68,7 +68,10 @@ def _named(flag: str) -> Column:
 
 @query
 def load_questions(spark: SparkSession, sf: str) -> DataFrame:
-    records = questions.select_split(inputs.raw_questions(spark, sf), "train")
+    """Records written by split and read back for one of them."""
+    path = shared_folder(spark, "questions")
+    inputs.raw_questions(spark, sf).write.partitionBy("split").json(path)
+    records = questions.read_questions(spark, path, "train", "json")
     return records.select("id", "question", F.col("options.B").alias("option_b"), "answer", "split")
 
 
@@ -126,16 +129,28 @@ def results_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
     results.write_run(documents, metadata, path)
     back = results.flatten_documents(results.read_run(spark, path))
-    return back.select(
+    run = results.read_metadata(spark, path).select(F.struct("model", "num_examples", F.size("methods").alias("n"))).scalar()
+    return back.withColumn("_run", run).select(
         "id",
         "method",
         r("memorization_score").alias("memorization_score"),
         _named("is_memorized"),
         r("aggregate_score").alias("aggregate_score"),
         "verdict",
+        "threshold",
+        F.col("_run.model").alias("model"),
+        F.col("_run.num_examples").alias("num_examples"),
+        big("_run.n").alias("n_methods"),
     )
 
 
+@query
+def chat_logprob_requests(spark: SparkSession, sf: str) -> DataFrame:
+    items = inputs.mcq(spark, sf).select("item_id", "question", F.posexplode("options").alias("part", "option"))
+    body = prompts.chat_logprob_body(MODEL, F.concat("question", "option"))
+    return items.select("item_id", big("part").alias("part"), body.alias("body"))
+
+
 @query
 def request_table(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.request_table(inputs.mcq(spark, sf), MODEL).select(
@@ -245,7 +260,9 @@ def selected_methods(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def detection_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return verdict.detection_errors(detections(spark, sf))
+    """Also the items that a method gave no result for."""
+    every = verdict.complete_detections(inputs.mcq(spark, sf), detections(spark, sf), METHODS)
+    return verdict.detection_errors(every)
 
 
 @query
@@ -956,6 +973,19 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def calibrated_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Each language by its own threshold: the one of best F1, the lowest if several are."""
+    likelihoods = _likelihoods(spark, sf)
+    labelled = likelihoods.join(read_table(spark, sf, "labels"), "doc_id")
+    swept = verdict.threshold_sweep(labelled, "likelihood", "quality", SWEEP, group="lang")
+    hits = 2 * F.col("true_positives")
+    f1 = F.round(hits / (hits + F.col("false_positives") + F.col("false_negatives")), 9)
+    best = swept.groupBy("lang").agg(F.max_by("threshold", F.struct(f1, -F.col("threshold"))).alias("threshold"))
+    judged = verdict.calibrated_verdict(likelihoods, best, "lang", "likelihood")
+    return judged.select("doc_id", "lang", "threshold", "is_memorized")
+
+
 @query
 def membership_scores(spark: SparkSession, sf: str) -> DataFrame:
     leaks = contamination.strongest_leak(_contaminated(spark, sf))

@@ -50,6 +50,7 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
         "method",
         F.col("_d.memorization_score").alias("memorization_score"),
         F.col("_d.is_memorized").alias("is_memorized"),
+        F.col("_d.threshold").alias("threshold"),
         F.col("_d.error").alias("error"),
         "aggregate_score",
         "verdict",
@@ -78,6 +79,10 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RESULT_DOCUMENT).json(f"{path}/results")
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.RUN_METADATA).json(f"{path}/metadata")
+
+
 def read_result_file(spark: SparkSession, path: str) -> DataFrame:
     """A single-document result file: {"metadata": ..., "results": [...]}."""
     fields = ", ".join(
