@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakscope.llm.common import once, sealed, text_or_empty
+from leakscope.llm.common import once, probably_in, sealed, text_or_empty
 
 # Shorter lines carry too little to be called copies.
 MIN_CHARS = 30
@@ -49,20 +49,16 @@ def _half_keys() -> list[Column]:
 
 
 def _near_firsts(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """h1, h2 of lines with an earlier line one edit away, and that line's order."""
-    halves = firsts.select("h1", "h2", "order", F.explode("halves").alias("half"))
+    """h1 and order of lines with an earlier line one edit away, and that line's order."""
+    halves = firsts.select("h1", "order", F.explode("halves").alias("half"))
     shared = once(halves.groupBy("half").count().where("count > 1").select("half"), "halves")
-    suspects = once(
-        halves.join(shared, "half").select("h1", "h2", "order").distinct(), "suspects"
-    )
-    texts = once(
-        lines.select("h1", "h2", "line").join(suspects, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("h1", "h2", "order", "line"),
-        "suspect-lines",
-    )
+    suspects = once(halves.join(shared, "half").select("h1", "order").distinct(), "suspects")
+    candidates = lines.select("h1", "order", "line").where(probably_in(suspects, "h1")(F.col("h1")))
+    texts = once(candidates.join(suspects, ["h1", "order"]).dropDuplicates(["h1", "order"]), "suspect-lines")
     chars = texts.select(
-        "h1", "h2", "order", F.length("line").alias("chars"), F.posexplode(F.split("line", "")).alias("at", "char")
+        "h1", "order", F.length("line").alias("chars"), F.posexplode(F.split("line", "")).alias("at", "char")
     ).where("at < chars")
-    line = Window.partitionBy("h1", "h2")
+    line = Window.partitionBy("h1", "order")
     before = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def masked(*parts) -> Column:
@@ -70,7 +66,7 @@ def _near_firsts(lines: DataFrame, firsts: DataFrame) -> DataFrame:
 
     from_start, from_end = masked("char", "at"), masked("char", F.col("chars") - F.col("at"))
     summed = chars.select(
-        "h1", "h2", "order", "chars", "at", from_start.alias("own"), from_end.alias("own_end")
+        "h1", "order", "chars", "at", from_start.alias("own"), from_end.alias("own_end")
     ).select(
         "*",
         F.sum("own").over(before).alias("head"),
@@ -86,15 +82,15 @@ def _near_firsts(lines: DataFrame, firsts: DataFrame) -> DataFrame:
         variant(chars_, at, F.col("head") - F.col("own"), F.col("tail") + F.col("own_end")),
         F.when(at == chars_ - 1, variant(chars_, chars_, F.col("head"), nothing)),
     )
-    keyed = summed.select("h1", "h2", "order", F.explode(F.array_compact(variants)).alias("v")).select(
-        "h1", "h2", "order", F.xxhash64("v.length", "v.head").alias("left"), F.xxhash64("v.at", "v.tail").alias("right")
+    keyed = summed.select("h1", "order", F.explode(F.array_compact(variants)).alias("v")).select(
+        "h1", "order", F.xxhash64("v.length", "v.head").alias("left"), F.xxhash64("v.at", "v.tail").alias("right")
     )
     earliest = keyed.withColumn("first", F.min("order").over(Window.partitionBy("left", "right")))
-    near = earliest.where(F.col("first") < F.col("order")).groupBy("h1", "h2", "order").agg(F.min("first").alias("first"))
-    pairs = near.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(
+    near = earliest.where(F.col("first") < F.col("order")).groupBy("h1", "order").agg(F.min("first").alias("first"))
+    pairs = near.join(texts, ["h1", "order"]).join(
         texts.select(F.col("order").alias("first"), F.col("line").alias("first_line")), "first"
     )
-    return pairs.where(F.levenshtein("line", "first_line", 1) == 1).select("h1", "h2", "first")
+    return pairs.where(F.levenshtein("line", "first_line", 1) == 1).select("h1", F.col("order").alias("exact"), "first").distinct()
 
 
 def line_copies(
@@ -126,7 +122,7 @@ def line_copies(
     )
     known = firsts.select("h1", "h2", F.col("order").alias("exact"), "n")
     if max_edits:
-        known = known.join(_near_firsts(lines, firsts), ["h1", "h2"], "left")
+        known = known.join(_near_firsts(lines, firsts), ["h1", "exact"], "left")
     else:
         known = known.withColumn("first", F.lit(None).cast("decimal(38,0)"))
     known = once(known.where("n > 1 OR first IS NOT NULL"), "known-lines")
@@ -176,8 +172,8 @@ def deduplicate(
         F.count(F.when(F.col("kind") == "exact", 1)).alias("n_exact"),
         F.count(F.when(F.col("kind") == "near", 1)).alias("n_near"),
     )
-    rows = sealed(docs, doc=F.col(doc_id).cast("bigint"), text=text_or_empty(text))
-    joined = rows.join(by_doc, "doc", "left").withColumn("lines", F.split("text", "\n"))
+    rows = sealed(docs, doc=F.col(doc_id).cast("bigint")).join(by_doc, "doc", "left")
+    joined = rows.withColumn("text", text_or_empty(F.col("row")[text])).withColumn("lines", F.split("text", "\n"))
     mostly_copied = F.coalesce(F.col("foreign_chars") > F.lit(most_copied) * F.length("text"), F.lit(False))
     cut = F.when(mostly_copied, F.col("own")).otherwise(F.concat("own", "foreign"))
     marked = joined.withColumn("cut", F.coalesce(cut, F.array().cast("array<string>"))).withColumn(
