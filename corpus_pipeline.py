@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscope.llm import decontamination, jaccard_join, line_dedup, packing, quality_rules
+from leakscope.llm import decontamination, jaccard_join, line_dedup, quality_rules
 from leakscope.llm.common import once
-from leakscope.llm.queries import table, tokenizer_path
+from leakscope.llm.queries import packed, table
 
 # A text made up of other documents' lines for more than this share is left whole
 # for the near-duplicate stage, which could not recognise its remains.
@@ -45,7 +45,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents in sequences whose lengths are powers of two."""
-    return packing.pack(docs, tokenizer_path())
+    return packed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

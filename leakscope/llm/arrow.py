@@ -25,13 +25,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def picked(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """values[start : start + length] of each pair, one after the other."""
-    ends = np.cumsum(lengths)
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return values[shift + np.arange(len(shift))]
-
-
 def list_bounds(column: pa.ListArray) -> np.ndarray:
     """Offsets of a list column into its flattened values, from 0."""
     offsets = column.offsets.to_numpy()

@@ -2,82 +2,55 @@
 
 from __future__ import annotations
 
+import base64
 import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.llm.arrow import list_bounds, picked, small_slices
+from leakscope.llm.arrow import small_slices
 from leakscope.llm.common import text_or_empty
 
 MAX_LENGTH = 2048
 END_ID = 1
-#: Chunks a worker remembers before it starts anew; bounds memory, not results.
-CACHED_CHUNKS = 300_000
-# A blank beside other white space or at an end of the text.
-_ODD_BLANK = r"(?:^|[\s\p{Z}\x{1c}-\x{1f}\x{85}]) | (?:[\s\p{Z}\x{1c}-\x{1f}\x{85}]|$)"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
 
 class Coder:
-    """Token ids of many texts by a byte-level BPE of the tokenizers library.
+    """Token ids of texts by a byte-level BPE of the tokenizers library.
 
-    Its pre-tokenizer always begins a new word at a blank between two characters
-    that are no white space, so such chunks can be encoded by themselves and each
-    different one only once. Texts with other blanks are encoded whole.
+    With a file of the same vocabulary as ranks the merges run in tiktoken, which
+    cuts words by the same pattern, gives the same ids and takes a quarter of the
+    time. It knows no added tokens, so texts that hold one go the first way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def chunks(self, texts: list[str]) -> list[bytes]:
-        new = [x for x in texts if x not in self.known]
-        if len(self.known) + len(new) > CACHED_CHUNKS:
-            self.known.clear()
-            new = texts
-        self.known.update(zip(new, self.whole(new)))
-        return [self.known[x] for x in texts]
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        odd = pc.match_substring_regex(texts, _ODD_BLANK).to_numpy(zero_copy_only=False)
-        out: list = [None] * len(texts)
-        places = np.nonzero(odd)[0]
-        for place, ids in zip(places.tolist(), self.whole(texts.take(pa.array(places)).to_pylist())):
-            out[place] = np.frombuffer(ids, dtype="<u4")
-        places = np.nonzero(~odd)[0]
-        if len(places):
-            parts = pc.split_pattern(texts.take(pa.array(places)), " ")
-            bounds = list_bounds(parts)
-            coded = parts.flatten().dictionary_encode()
-            codes = coded.indices.to_numpy().astype(np.int64)
-            count = len(coded.dictionary)
-            codes[bounds[:-1]] += count  # the first chunk of a text has no blank before it
-            used, codes = np.unique(codes, return_inverse=True)
-            words = coded.dictionary.to_pylist()
-            ids = self.chunks([" " + words[u] if u < count else words[u - count] for u in used.tolist()])
-            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            starts = np.cumsum(lengths) - lengths
-            flat = picked(np.frombuffer(b"".join(ids), dtype="<u4"), starts[codes], lengths[codes])
-            ends = np.concatenate([[0], np.cumsum(lengths[codes])])[bounds]
-            for place, a, b in zip(places.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
-                out[place] = flat[a:b]
-        return out
+        self.whole = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as file:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or any(x in text for x in self.added):
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, dtype="<u4")
 
 
 @functools.lru_cache(maxsize=2)
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(*files: str | None) -> Coder:
+    return Coder(*files)
 
 
 def piece_lengths(total: int, max_length: int = MAX_LENGTH) -> list[int]:
@@ -86,14 +59,14 @@ def piece_lengths(total: int, max_length: int = MAX_LENGTH) -> list[int]:
     return [max_length] * (total // max_length) + [1 << k for k in range(max_length.bit_length(), -1, -1) if rest >> k & 1]
 
 
-def _pieces(path: str, end_id: int, max_length: int):
+def _pieces(files: tuple, end_id: int, max_length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(path).encode
+        encode = coder(*files).encode
         end = np.array([end_id], dtype="<u4")
         for batch in small_slices(batches):
             docs, starts, lengths, totals, ids = [], [], [], [], []
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
-                tokens, at = np.concatenate([tokens, end]), 0
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                tokens, at = np.concatenate([encode(text), end]), 0
                 for length in piece_lengths(len(tokens), max_length):
                     docs.append(doc)
                     starts.append(at)
@@ -113,6 +86,8 @@ def pack(
     text: str = "text",
     end_id: int = END_ID,
     max_length: int = MAX_LENGTH,
+    ranks: str | None = None,
+    pattern: str | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
@@ -123,14 +98,16 @@ def pack(
     padded. A batch takes sequences of one length: :func:`write_buckets` keeps
     them apart.
 
-    A null or empty text is its end id alone. Rows without an id and repeated rows
+    ``tokenizer`` is a file of the tokenizers library; ``ranks`` and ``pattern`` may
+    give the same vocabulary to the faster encoder, see :class:`Coder`. All machines
+    must find the files. A null or empty text is its end id alone. Rows without an id and repeated rows
     are packed like others, each on its own. An empty table gives no rows.
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"))
     schema = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
-    pieces = texts.mapInArrow(_pieces(tokenizer, end_id, max_length), schema)
+    pieces = texts.mapInArrow(_pieces((tokenizer, ranks, pattern), end_id, max_length), schema)
     return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
 

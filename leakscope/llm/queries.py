@@ -42,9 +42,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The documents packed with the 50k byte-level vocabulary."""
+    import public_tokenizers
+
+    return packing.pack(
+        docs, tokenizer_path(), ranks=tokenizer_path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN
+    )
+
+
 @query
 def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf, "documents"), tokenizer_path())
+    pieces = packed(table(spark, sf, "documents"))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import cases
 import numpy as np
-import pyarrow as pa
+import public_tokenizers
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -21,19 +21,31 @@ def test_lengths_are_powers_of_two_that_add_up(total, most):
     assert rest == sorted(set(rest), reverse=True)
 
 
-def test_chunks_give_the_tokenizer_s_own_ids():
-    whole, coder = Tokenizer.from_file(tokenizer_path()), packing.Coder(tokenizer_path())
+FILES = (tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def test_both_encoders_give_equal_ids():
+    whole, coder = Tokenizer.from_file(FILES[0]), packing.Coder(*FILES)
     r = random.Random(3)
-    parts = [*"ab1 .,'\n\t  é€   　\x1c\x85!ß😀", "'s", "<|endoftext|>", "  ", " a", "the "]
+    parts = [*"ab1 .,'\n\t  é€  　 \x1c\x85!ß😀", "'s", "<|endoftext|>", "  ", " a", "the "]
     texts = ["", " ", *("".join(r.choices(parts, k=r.randint(0, 40))) for _ in range(3000))]
-    for text, ids in zip(texts, coder.encode(pa.array(texts))):
-        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in texts:
+        assert coder.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_every_code_point_is_cut_alike():
+    # Words are cut by the class of each character, so every one is tried in each place.
+    whole, coder = Tokenizer.from_file(FILES[0]), packing.Coder(*FILES)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 64):
+        text = "".join(f"a{c}a 1{c}1 .{c}. {c} \n{c}{c}" for c in points[at : at + 64])
+        assert coder.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, at
 
 
 def test_every_id_lies_in_one_piece(spark):
     whole = Tokenizer.from_file(tokenizer_path())
     rows = [(i, t) for i, (_, t) in enumerate(cases.awkward())] + [(None, "no id")]
-    found = packing.pack(cases.documents(spark, rows), tokenizer_path()).collect()
+    found = packing.pack(cases.documents(spark, rows), *FILES[:1], ranks=FILES[1], pattern=FILES[2]).collect()
     pieces = defaultdict(list)
     for r in found:
         pieces[r.doc_id].append(r)
