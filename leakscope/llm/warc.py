@@ -142,16 +142,20 @@ def write_archives(
     records.write.option("lineSep", _END.decode()).option("compression", "gzip").mode("overwrite").text(path)
 
 
-_PARSED = "record_id string, origin string, type string, segment int, total bigint, page_id bigint, url string, digest string, refers_to bigint, body binary, fault string"
+_RECORD = "page_id bigint, url string, record_type string, payload_digest string, refers_to bigint, payload binary, fault string"
+_PARSED = f"{_RECORD}, origin string, segment int, total bigint, body binary"
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [pa.field(name, _ARROW[kind]) for name, kind in (part.split() for part in schema.split(", "))]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields)], schema=pa.schema(fields))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
-    names = [part.split()[0] for part in _PARSED.split(", ")]
     for batch in small_slices(batches):
-        rows = [_parse(raw) for raw in batch.column("raw").to_pylist()]
-        columns = zip(*rows) if rows else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+        yield _batch([_parse(raw) for raw in batch.column("raw").to_pylist()], _PARSED)
 
 
 def _number(text: str | None) -> int | None:
@@ -173,43 +177,46 @@ def _parse(raw: bytes) -> tuple:
     record, kind = fields.get("warc-record-id"), fields.get("warc-type")
     digest = (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None
     refers = _number((fields.get("warc-refers-to") or "").removeprefix("<urn:page:").removesuffix(">"))
+    named = (_number(fields.get("warc-page-id")), fields.get("warc-target-uri"), kind, digest, refers)
+    segment = _number(fields.get("warc-segment-number"))
+    if segment is None and kind != "continuation":
+        payload, fault = _payload(kind, digest, body, fault)
+        return (*named, payload, fault, None, None, None, None)
     origin = fields.get("warc-segment-origin-id") if kind == "continuation" else record
-    return (
-        record, origin, kind, _number(fields.get("warc-segment-number")), _number(fields.get("warc-segment-total-length")),
-        _number(fields.get("warc-page-id")), fields.get("warc-target-uri"), digest, refers, body, fault,
-    )
+    return (*named, None, fault, origin, segment or 0, _number(fields.get("warc-segment-total-length")), body)
+
+
+def _payload(kind: str | None, digest: str | None, block: bytes, fault: str | None) -> tuple[bytes | None, str | None]:
+    """The payload of a whole block, without HTTP head and framing, and what is wrong with it."""
+    if fault is None and kind not in ("response", "revisit"):
+        fault = "no origin"
+    if fault is not None or kind == "revisit":
+        return None, fault
+    head, _, body = block.partition(_END)
+    try:
+        payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+    except ValueError:
+        return None, "chunks"
+    if digest and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        return None, "digest"
+    return payload, None
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Payloads of whole blocks: the segments in order, without HTTP head and framing."""
+    """Payloads of records whose segments were grouped."""
     for batch in small_slices(batches):
-        out: list[list] = [[], [], [], [], [], [], []]
+        rows = []
         for row in batch.to_pylist():
-            payload, fault = None, row["fault"]
-            segments = sorted(row["segments"], key=lambda s: (s["segment"] or 1))
-            numbers = [s["segment"] or 1 for s in segments]
+            segments, fault = sorted(row["segments"], key=lambda s: s["segment"]), row["fault"]
             block = b"".join(s["body"] for s in segments)
             total = next((s["total"] for s in segments if s["total"] is not None), None)
-            if fault is None and numbers != list(range(1, len(numbers) + 1)):
+            if fault is None and [s["segment"] for s in segments] != list(range(1, len(segments) + 1)):
                 fault = "segments missing"
-            if fault is None and (len(segments) > 1 or segments[0]["segment"]) and total != len(block):
+            if fault is None and total != len(block):
                 fault = "total length"
-            if fault is None and row["type"] == "response":
-                head, _, body = block.partition(_END)
-                try:
-                    payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                except ValueError:
-                    fault = "chunks"
-                if fault is None and row["digest"] and base64.b32encode(hashlib.sha1(payload).digest()).decode() != row["digest"]:
-                    fault = "digest"
-            if fault is None and row["type"] not in ("response", "revisit"):
-                fault = "no origin"
-            for column, x in zip(out, (row["page_id"], row["url"], row["type"], row["digest"], row["refers_to"], payload, fault)):
-                column.append(x)
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x, k) for x, k in zip(out, kinds)], ["page_id", "url", "record_type", "payload_digest", "refers_to", "payload", "fault"]
-        )
+            payload, fault = _payload(row["record_type"], row["payload_digest"], block, fault)
+            rows.append((*(row[c] for c in ("page_id", "url", "record_type", "payload_digest", "refers_to")), payload, fault))
+        yield _batch(rows, _RECORD)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -224,17 +231,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", _BREAK.decode()).text(path).select(F.col("value").cast("binary").alias("raw"))
     records = raw.mapInArrow(_parsed, _PARSED)
-    part = F.struct("segment", "total", "body")
-    whole = records.where("segment IS NULL AND coalesce(type, '') <> 'continuation'").select(
-        "page_id", "url", "type", "digest", "refers_to", F.array(part).alias("segments"), "fault"
-    )
-    first = {c: F.first(c, ignorenulls=True).alias(c) for c in ("page_id", "url", "digest", "refers_to")}
-    kind = F.max(F.when(F.col("type") != "continuation", F.col("type"))).alias("type")
+    whole = records.where("segment IS NULL").select("page_id", "url", "record_type", "payload_digest", "refers_to", "payload", "fault")
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("page_id", "url", "payload_digest", "refers_to")]
+    kind = F.max(F.when(F.col("record_type") != "continuation", F.col("record_type"))).alias("record_type")
     cut = (
-        records.where("segment IS NOT NULL OR coalesce(type, '') = 'continuation'")
+        records.where("segment IS NOT NULL")
         .groupBy("origin")
-        .agg(*first.values(), kind, F.collect_list(part).alias("segments"), F.max("fault").alias("fault"))
-        .select(whole.columns)
+        .agg(*first, kind, F.collect_list(F.struct("segment", "total", "body")).alias("segments"), F.max("fault").alias("fault"))
     )
-    schema = "page_id bigint, url string, record_type string, payload_digest string, refers_to bigint, payload binary, fault string"
-    return whole.union(cut).mapInArrow(_joined, schema)
+    return whole.union(cut.mapInArrow(_joined, _RECORD))
