@@ -18,24 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakscope.llm.common import components, once, sealed, space_words, text_or_empty
+from leakscope.llm.common import components, once, probably_in, sealed, space_words, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TOKENS = 128
 # Drawn tokens that two sets at the threshold share per level, on average.
-SHARED_DRAWS = 2.0
+# Above one, so that a pair may stay together to any depth; so low that sets with
+# less than about half in common thin out from level to level.
+SHARED_DRAWS = 1.5
 # Recall of pairs just at the threshold; that of closer pairs is higher.
 RECALL = 0.9999
-# Sets of a path that are compared at once.
-BUCKET = 64
+# Sets of a path that are compared at once. Smaller ones would split groups of like
+# sets again and again, as these share most of what is drawn.
+BUCKET = 512
 # Share of equal tokens from which a pair is looked at exactly: five standard
 # deviations of the estimate below the threshold, for 128 tokens.
 NEAR = 0.62
-# With the head of a crowded path: from LINKED on two sets become candidates,
-# from SETTLED on a set needs no further search on that path, as a set within
-# 0.2 of it is within 0.4 of the head and so linked too.
-LINKED, SETTLED = 0.45, 0.8
+# With the head of a crowded path sets become candidates from LINKED on. Those need
+# no pairs with each other, only with sets that are not linked: a set that is closer
+# to the head than REACH above the closest of these is within 0.2 of none of them.
+# REACH is 0.2 and over three deviations of the estimates.
+LINKED, REACH = 0.45, 0.36
 # Paths left after so many splits are compared whole, whatever their size.
 LEVELS = 12
 BLOCK_SETS = 512
@@ -180,8 +184,8 @@ def _with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, head = (_binary_rows(batch.column(c), np.uint32) for c in ("sketch", "head_sketch"))
             alike = (own == head).mean(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("path", "tid", "head")), pa.array(alike >= LINKED), pa.array(alike >= SETTLED)],
-                ["path", "tid", "head", "linked", "settled"],
+                [*(batch.column(c) for c in ("path", "tid", "head")), pa.array(alike)],
+                ["path", "tid", "head", "alike"],
             )
 
 
@@ -202,6 +206,19 @@ def _roots(count: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
     return [top(x) for x in range(count)]
 
 
+def _linked(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's group after the pairs a, b are joined."""
+    while len(a):
+        low, high = np.minimum(roots[a], roots[b]), np.maximum(roots[a], roots[b])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(roots, high[apart], low[apart])
+        while (roots[roots] != roots).any():
+            roots = roots[roots]
+    return roots
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of equal keys of a sorted partition, one or more whole runs at a time."""
     held: list[pa.RecordBatch] = []
@@ -228,19 +245,16 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         table = table.combine_chunks()
         paths, tid = table["path"].to_numpy(), table["tid"].to_numpy()
         low = _binary_rows(table["low"], np.uint8)
-        found_a, found_b = [], []
+        roots = np.arange(len(paths))
         for step in range(1, len(paths)):
             rows = np.nonzero(paths[:-step] == paths[step:])[0]
             if not len(rows):
                 break
+            rows = rows[roots[rows] != roots[rows + step]]  # already in one group: nothing to learn
             # Lowest bytes agree by chance in one of 256 cases.
-            alike = (low[rows] == low[rows + step]).mean(axis=1)
-            rows = rows[alike >= NEAR]
-            found_a.append(rows)
-            found_b.append(rows + step)
-        if found_a:
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            roots = np.array(_roots(len(paths), zip(a.tolist(), b.tolist())))
+            rows = rows[(low[rows] == low[rows + step]).mean(axis=1) >= NEAR]
+            roots = _linked(roots, rows, rows + step)
+        if (roots != np.arange(len(paths))).any():
             rows = np.nonzero(roots != np.arange(len(paths)))[0]
             x, y = tid[rows], tid[roots[rows]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -255,32 +269,33 @@ def _candidates(texts: DataFrame, recall: float, threshold: float) -> DataFrame:
     for level in range(1, LEVELS + 1):
         head = F.min_by("tid", F.xxhash64("path", "tid")).alias("head")
         sized = once(paths.groupBy("path").agg(F.count("*").alias("n"), head).where("n > 1"), "path-sizes")
-        live, last = paths.join(sized, "path"), level == LEVELS
+        live, last = once(paths.join(sized, "path"), "live-paths"), level == LEVELS
         is_leaf = F.lit(True) if last else F.col("n") <= BUCKET
         leaves.append(live.where(is_leaf).select("path", "tid"))
-        crowded = sized.where(~is_leaf)
-        if last or crowded.isEmpty():
+        crowded = live.where(~is_leaf).select("path", "tid", "head")
+        if crowded.isEmpty():
             break
+        if level == 1:  # later levels have only sets of these
+            sketches = once(sketches.join(crowded.select("tid").distinct(), "tid"), "crowded-sketches")
         head_sketches = sketches.select(F.col("tid").alias("head"), F.col("sketch").alias("head_sketch"))
-        heads = once(crowded.join(head_sketches, "head").select("path", "head_sketch"), "heads")
+        heads = once(crowded.select("path", "head").distinct().join(head_sketches, "head").select("path", "head_sketch"), "heads")
         compared = once(
-            live.where(~is_leaf)
-            .select("path", "tid", "head")
-            .join(sketches, "tid")
+            crowded.join(sketches, "tid")
             .join(heads, "path")
-            .mapInArrow(_with_head, "path bigint, tid bigint, head bigint, linked boolean, settled boolean"),
+            .mapInArrow(_with_head, "path bigint, tid bigint, head bigint, alike double"),
             "with-head",
         )
         edges.append(
-            compared.where("linked AND tid <> head").select(
+            compared.where((F.col("alike") >= LINKED) & (F.col("tid") != F.col("head"))).select(
                 F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")
             )
         )
-        # Sets linked to one head are candidates already; a path is open while it holds another.
-        still_open = once(compared.where("NOT linked").select("path").distinct(), "open-paths")
+        others = compared.where(F.col("alike") < LINKED)
+        limits = once(others.groupBy("path").agg((F.max("alike") + REACH).alias("limit")), "path-limits")
+        within = (compared["path"] == limits["path"]) & (compared["alike"] <= limits["limit"])
         paths = once(
-            compared.where("NOT settled")
-            .join(still_open, "path", "left_semi")
+            compared.join(limits, within)
+            .select(compared["path"], "tid")
             .join(sketches, "tid")
             .mapInArrow(_next_paths(chance), "path bigint, tid bigint"),
             "paths",
@@ -420,8 +435,9 @@ def near_duplicates(
     members = once(
         candidates.withColumnRenamed("node", "tid").join(texts.select("tid", "k1", "k2", "size"), "tid"), "members"
     )
+    candidate = probably_in(members, "tid")
     sets = (
-        hashed.join(members.select(F.col("tid").alias("doc"), "k1", "k2"), "doc")
+        hashed.where(candidate(F.col("doc"))).join(members.select(F.col("tid").alias("doc"), "k1", "k2"), "doc")
         .mapInArrow(_sets(shingle), "tid bigint, shingles binary")
         .dropDuplicates(["tid"])
     )
