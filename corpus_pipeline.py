@@ -8,13 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.llm import decontamination, jaccard_join, line_dedup, quality_rules
-from leakscope.llm.common import once
+from leakscope.llm.common import SPACES, once
 from leakscope.llm.queries import packed, table
 
-# A text made up of other documents' lines for more than this share is left whole
-# for the near-duplicate stage, which could not recognise its remains.
-MOST_COPIED = 0.5
-
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule."""
@@ -22,15 +18,15 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier one has."""
-    cut = line_dedup.deduplicate(docs, most_copied=MOST_COPIED)
+    """Documents without lines that an earlier one has; those that held nothing else are left out."""
+    cut = line_dedup.deduplicate(docs)
     changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
     is_cut = F.col("n_exact") + F.col("n_near") > 0
     columns = [
         F.when(is_cut, changed[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c)
         for c in docs.columns
     ]
-    return cut.select(*columns)
+    return cut.where(~is_cut | (F.length(F.btrim("kept_text", F.lit(SPACES))) > 0)).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import cases
+import corpus_pipeline
 import pytest
 
 from leakscope.llm import line_dedup
@@ -72,3 +73,14 @@ def test_awkward_rows(spark):
     assert line_dedup.deduplicate(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         line_dedup.line_copies(docs, max_edits=2)
+
+
+def test_pipeline_stage_cuts_copies_from_every_text(spark):
+    shared = [f"shared passage number {i} that several of the documents hold" for i in "abcdefg"]
+    own = [f"{w} is all that this document has of its own, and it stays" for w in ("one", "two and more", "three, later")]
+    rows = [(1, "\n".join(shared)), (2, "\n".join([*shared[:5], own[0]])), (3, "\n".join([own[1], *shared])), (4, "\n".join(shared[2:])), (5, own[2]), (6, "")]
+    docs = cases.documents(spark, rows)
+    copied = brute(rows, line_dedup.MIN_CHARS)
+    left = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in copied) for d, t in rows}
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_copied_lines(spark, docs, "").collect()}
+    assert got == {d: left[d] for d, t in rows if left[d] or not t} and set(got) == {1, 2, 3, 5, 6}
