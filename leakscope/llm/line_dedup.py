@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakscope.llm.common import once, probably_in, sealed, text_or_empty
+from leakscope.llm.common import SPACES, once, probably_in, sealed, text_or_empty
 
-# Shorter lines carry too little to be called copies.
-MIN_CHARS = 30
+# Exact copies count from one character on.
+MIN_CHARS = 1
+# In shorter lines one edit makes another line, not a near copy.
+NEAR_CHARS = 8
 _PLACES = 2**32
 _MASK = 2**40 - 1
 
@@ -25,7 +27,8 @@ def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame
     split = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.split(text_or_empty(text), "\n").alias("lines"))
     lines = split.where("doc IS NOT NULL").select("doc", F.posexplode_outer("lines").alias("position", "line"))
     order = F.col("doc").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col("position")
-    return lines.where(F.length("line") >= min_chars).select(
+    is_blank = F.length(F.btrim("line", F.lit(SPACES))) == 0
+    return lines.where((F.length("line") >= min_chars) & ~is_blank).select(
         "doc",
         "position",
         "line",
@@ -94,7 +97,12 @@ def _near_firsts(lines: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def line_copies(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_chars: int = MIN_CHARS,
+    max_edits: int = 1,
+    near_chars: int = NEAR_CHARS,
 ) -> DataFrame:
     """Lines that copy an earlier one: doc, position, chars, h1, kind, first_doc, first_position.
 
@@ -105,7 +113,8 @@ def line_copies(
     leaves near copies out; larger bounds are refused, as a neighbourhood grows
     with the power of the bound.
 
-    Lines under ``min_chars`` code points are never copies. Rows without an id
+    Blank lines and lines under ``min_chars`` code points are never copies, and lines
+    under ``near_chars`` neither are nor make near ones. Rows without an id
     have no place in the order: their lines neither are nor make copies. Rows
     that share an id count as one document whose lines at the same position are
     not earlier than one another. Null texts are empty; an empty table gives no
@@ -115,7 +124,7 @@ def line_copies(
         raise ValueError("max_edits must be 0 or 1")
     lines = _lines(docs, doc_id, text, min_chars)
     firsts = once(
-        lines.select("h1", "h2", "order", F.array(*_half_keys()).alias("halves"), "doc")
+        lines.select("h1", "h2", "order", F.when(F.length("line") >= near_chars, F.array(*_half_keys())).alias("halves"), "doc")
         .groupBy("h1", "h2")
         .agg(F.min("order").alias("order"), F.count("*").alias("n"), F.first("halves").alias("halves")),
         "first-lines",
@@ -153,6 +162,7 @@ def deduplicate(
     min_chars: int = MIN_CHARS,
     max_edits: int = 1,
     most_copied: float = 1.0,
+    near_chars: int = NEAR_CHARS,
 ) -> DataFrame:
     """``row`` of each document, its ``kept_text`` and what was cut from it.
 
@@ -162,7 +172,7 @@ def deduplicate(
     or a revision as a whole, and its remains would hide that. Order and form of
     the other lines stay as they are. See :func:`line_copies` for what a copy is.
     """
-    copies = line_copies(docs, doc_id, text, min_chars, max_edits)
+    copies = line_copies(docs, doc_id, text, min_chars, max_edits, near_chars)
     foreign = F.col("first_doc") != F.col("doc")
     mark = F.concat_ws(":", "position", "h1")
     by_doc = copies.groupBy("doc").agg(

@@ -80,7 +80,17 @@ def test_pipeline_stage_cuts_copies_from_every_text(spark):
     own = [f"{w} is all that this document has of its own, and it stays" for w in ("one", "two and more", "three, later")]
     rows = [(1, "\n".join(shared)), (2, "\n".join([*shared[:5], own[0]])), (3, "\n".join([own[1], *shared])), (4, "\n".join(shared[2:])), (5, own[2]), (6, "")]
     docs = cases.documents(spark, rows)
-    copied = brute(rows, line_dedup.MIN_CHARS)
+    copied = brute(rows, 30)
     left = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in copied) for d, t in rows}
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_copied_lines(spark, docs, "").collect()}
     assert got == {d: left[d] for d, t in rows if left[d] or not t} and set(got) == {1, 2, 3, 5, 6}
+
+
+def test_short_lines_are_exact_copies_only(spark):
+    licence, short = "Licensed under CC BY-NC 4.0.", "Of."
+    rows = [(1, f"{licence}\n{short}\n\n \t"), (2, f"{licence}\n{short}\nOn.\n\n \t"), (3, f"{licence[:-1]}\nOn.\n12345678"), (4, "1234567\n12345679")]
+    found = line_dedup.line_copies(cases.documents(spark, rows)).collect()
+    got = {(r.doc, r.position): (r.kind, r.first_doc, r.first_position) for r in found}
+    assert got == {
+        (2, 0): ("exact", 1, 0), (2, 1): ("exact", 1, 1), (3, 0): ("near", 1, 0), (3, 1): ("exact", 2, 2), (4, 1): ("near", 3, 2)
+    }
