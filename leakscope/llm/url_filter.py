@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -11,8 +12,19 @@ from pyspark.sql import functions as F
 from leakscope.llm.common import once
 
 DAMPING = 0.85
-MOST_ROUNDS = 30
 TOLERANCE = 1e-6
+
+
+def rounds_to_tolerance(damping: float) -> int:
+    """Rounds after which no more than the tolerance can move.
+
+    A round hands scores on and shrinks any difference by the damping at least; the
+    first one moves at most twice the damped score.
+    """
+    return math.ceil(math.log(TOLERANCE / 2) / math.log(damping))
+
+
+MOST_ROUNDS = rounds_to_tolerance(DAMPING)
 # A host is blocked from this share of distrust in all it received.
 BLOCK_SHARE = 0.75
 
@@ -88,7 +100,7 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> Data
     )
     scores = seeds.select("kind", "host", F.col("seed").alias("score"))
     whole = seeds.groupBy("kind").agg(F.sum("seed").alias("whole"))
-    for _ in range(MOST_ROUNDS):
+    for _ in range(rounds_to_tolerance(damping)):
         moved = (
             scores.withColumnRenamed("host", "giver")
             .join(ways, ["kind", "giver"])

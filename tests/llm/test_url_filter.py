@@ -85,3 +85,11 @@ def test_empty_table(spark):
 def test_rules_are_parsed():
     assert u.parse_rule("block com/de/") == u.UrlRule("block", "com", "/de/")
     assert u.parse_rule("allow org/").text == "org/"
+
+
+def test_hosts_far_from_a_seed_are_reached(spark):
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(34)], "src string, dst string, weight bigint")
+    seeds = spark.createDataFrame([("h0", 1, 0)], "host string, trust bigint, distrust bigint")
+    trust = {r.host: r.trust for r in u.spread(links, seeds).collect()}
+    first = (1 - u.DAMPING) / (1 - u.DAMPING**35)
+    assert trust == pytest.approx({f"h{i}": first * u.DAMPING**i for i in range(35)}, abs=1e-4) and trust["h34"] > 0
