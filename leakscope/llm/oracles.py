@@ -127,3 +127,32 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes, {_BASE32} AS payloa
        CASE WHEN page_id < largest THEN largest END AS refers_to, NULL::VARCHAR AS fault
 FROM placed
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+ORACLES["op11_lexical_search"] = f"""
+WITH asked AS (
+    SELECT item_id, term, count(*) AS often
+    FROM (SELECT item_id, unnest({_TERMS}) AS term
+          FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark WHERE item_id IS NOT NULL))
+    GROUP BY ALL
+), split AS (
+    SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents
+), facts AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM split
+), counted AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM split)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weighted AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, facts GROUP BY term, n_docs
+), sized AS (
+    SELECT r, doc_id, 100 - 25 + ((25 * len(terms) * n_docs) // n_terms) AS m FROM split, facts
+), scored AS (
+    SELECT item_id, r, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM asked JOIN counted USING (term) JOIN weighted USING (term) JOIN sized USING (r)
+    WHERE doc_id IS NOT NULL GROUP BY item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""

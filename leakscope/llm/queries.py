@@ -11,13 +11,16 @@ from leakscope.llm import (
     chat,
     decontamination,
     jaccard_join,
+    lexical_search,
     line_dedup,
     packing,
     quality_classifier,
     quality_rules,
     token_counts,
+    token_files,
     url_filter,
     warc,
+    whitening,
 )
 from leakscope.llm.common import LAST_ID, once, text_or_empty
 from leakscope.session import shared_folder
@@ -184,3 +187,23 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "kept",
         F.array_join("broken", " ").alias("broken"),
     )
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf, "embeddings"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@query
+def op13_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, sf, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    rows = token_files.read_token_files(spark, path)
+    digests = once(rows.select("part", "place", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-digests")
+    return token_files.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
