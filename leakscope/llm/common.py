@@ -42,6 +42,16 @@ def sealed(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in columns.items()])
 
 
+def only(table: DataFrame, condition: Column, columns: list) -> DataFrame:
+    """The columns of the rows where the condition holds.
+
+    Both are worked out once, in the rows' own projection. A filter would be pushed
+    below that, and would repeat its expressions, even inside the lambdas that use them.
+    """
+    row = F.struct(condition.alias("holds"), F.struct(*columns).alias("row"))
+    return table.select(F.explode(F.filter(F.array(row), lambda r: r["holds"])).alias("found")).select("found.row.*")
+
+
 def either(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

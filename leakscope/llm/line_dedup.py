@@ -16,7 +16,7 @@ from leakscope.llm.common import SPACES, once, probably_in, sealed, text_or_empt
 
 # Exact copies count from one character on.
 MIN_CHARS = 1
-# In shorter lines one edit makes another line, not a near copy.
+# In shorter lines one edit makes another line, not a near copy (parameter near_chars).
 NEAR_CHARS = 8
 _PLACES = 2**32
 _MASK = 2**40 - 1
@@ -38,39 +38,51 @@ def _lines(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame
     )
 
 
-def _half_keys() -> list[Column]:
+def _half_keys() -> dict[str, Column]:
     """Keys of which two lines within one edit share one.
 
     With the longer line cut in the middle, one edit leaves one half as it is.
     """
-    keys = []
-    for longer in (F.length("line"), F.length("line") + 1):
+    keys = {}
+    for more in (0, 1):
+        longer = F.length("line") + more
         head = F.floor(longer / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("head"), longer, F.left("line", head)))
-        keys.append(F.xxhash64(F.lit("tail"), longer, F.right("line", longer - head)))
+        keys[f"head{more}"] = F.xxhash64(F.lit("head"), longer, F.left("line", head))
+        keys[f"tail{more}"] = F.xxhash64(F.lit("tail"), longer, F.right("line", longer - head))
     return keys
 
 
+_HALVES = ("head0", "tail0", "head1", "tail1")
+
+
+def _suspects(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """number, order, h1 and line of first lines that share a half with another.
+
+    Numbers rise with the order; lines of one order have numbers of their own.
+    """
+    halves = firsts.where("head0 IS NOT NULL").select("h1", "order", F.explode(F.array(*_HALVES)).alias("half"))
+    shared = once(halves.groupBy("half").count().where("count > 1").select("half"), "halves")
+    found = halves.where(probably_in(shared, "half")(F.col("half"))).join(shared, "half")
+    suspects = once(found.select("h1", "order", F.xxhash64("h1", "order").alias("key")).distinct(), "suspects")
+    candidates = lines.select("h1", "order", "line").where(probably_in(suspects, "key")(F.xxhash64("h1", "order")))
+    texts = candidates.join(suspects.select("h1", "order"), ["h1", "order"]).dropDuplicates(["h1", "order"])
+    return once(texts.orderBy("order", "h1").withColumn("number", F.monotonically_increasing_id()), "suspect-lines")
+
+
 def _near_firsts(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """h1 and order of lines with an earlier line one edit away, and that line's order."""
-    halves = firsts.select("h1", "order", F.explode("halves").alias("half"))
-    shared = once(halves.groupBy("half").count().where("count > 1").select("half"), "halves")
-    suspects = once(halves.join(shared, "half").select("h1", "order").distinct(), "suspects")
-    candidates = lines.select("h1", "order", "line").where(probably_in(suspects, "h1")(F.col("h1")))
-    texts = once(candidates.join(suspects, ["h1", "order"]).dropDuplicates(["h1", "order"]), "suspect-lines")
+    texts = _suspects(lines, firsts)
     chars = texts.select(
-        "h1", "order", F.length("line").alias("chars"), F.posexplode(F.split("line", "")).alias("at", "char")
+        "number", F.length("line").alias("chars"), F.posexplode(F.split("line", "")).alias("at", "char")
     ).where("at < chars")
-    line = Window.partitionBy("h1", "order")
+    line = Window.partitionBy("number")
     before = line.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def masked(*parts) -> Column:
         return F.xxhash64(*parts).bitwiseAND(F.lit(_MASK))
 
     from_start, from_end = masked("char", "at"), masked("char", F.col("chars") - F.col("at"))
-    summed = chars.select(
-        "h1", "order", "chars", "at", from_start.alias("own"), from_end.alias("own_end")
-    ).select(
+    summed = chars.select("number", "chars", "at", from_start.alias("own"), from_end.alias("own_end")).select(
         "*",
         F.sum("own").over(before).alias("head"),
         (F.sum("own_end").over(line) - F.sum("own_end").over(before)).alias("tail"),
@@ -85,15 +97,15 @@ def _near_firsts(lines: DataFrame, firsts: DataFrame) -> DataFrame:
         variant(chars_, at, F.col("head") - F.col("own"), F.col("tail") + F.col("own_end")),
         F.when(at == chars_ - 1, variant(chars_, chars_, F.col("head"), nothing)),
     )
-    keyed = summed.select("h1", "order", F.explode(F.array_compact(variants)).alias("v")).select(
-        "h1", "order", F.xxhash64("v.length", "v.head").alias("left"), F.xxhash64("v.at", "v.tail").alias("right")
-    )
-    earliest = keyed.withColumn("first", F.min("order").over(Window.partitionBy("left", "right")))
-    near = earliest.where(F.col("first") < F.col("order")).groupBy("h1", "order").agg(F.min("first").alias("first"))
-    pairs = near.join(texts, ["h1", "order"]).join(
-        texts.select(F.col("order").alias("first"), F.col("line").alias("first_line")), "first"
+    keyed = summed.select("number", F.explode(F.array_compact(variants)).alias("v")).select(
+        "number", F.xxhash64("v.length", "v.head").alias("left"), F.xxhash64("v.at", "v.tail").alias("right")
     )
-    return pairs.where(F.levenshtein("line", "first_line", 1) == 1).select("h1", F.col("order").alias("exact"), "first").distinct()
+    earliest = keyed.withColumn("first", F.min("number").over(Window.partitionBy("left", "right")))
+    near = earliest.where(F.col("first") < F.col("number")).groupBy("number").agg(F.min("first").alias("first"))
+    origin = texts.select(F.col("number").alias("first"), F.col("order").alias("first_order"), F.col("line").alias("first_line"))
+    pairs = near.join(texts, "number").join(origin, "first")
+    earlier = (F.col("first_order") < F.col("order")) & (F.levenshtein("line", "first_line", 1) == 1)
+    return pairs.where(earlier).select("h1", F.col("order").alias("exact"), F.col("first_order").alias("first")).distinct()
 
 
 def line_copies(
@@ -124,9 +136,9 @@ def line_copies(
         raise ValueError("max_edits must be 0 or 1")
     lines = _lines(docs, doc_id, text, min_chars)
     firsts = once(
-        lines.select("h1", "h2", "order", F.when(F.length("line") >= near_chars, F.array(*_half_keys())).alias("halves"), "doc")
+        lines.select("h1", "h2", "order", *[F.when(F.length("line") >= near_chars, key).alias(name) for name, key in _half_keys().items()])
         .groupBy("h1", "h2")
-        .agg(F.min("order").alias("order"), F.count("*").alias("n"), F.first("halves").alias("halves")),
+        .agg(F.min("order").alias("order"), F.count("*").alias("n"), *[F.max(name).alias(name) for name in _HALVES]),
         "first-lines",
     )
     known = firsts.select("h1", "h2", F.col("order").alias("exact"), "n")

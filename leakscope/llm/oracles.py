@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leakscope.llm import line_dedup, quality_rules
+from leakscope.llm import quality_rules
 
 ORACLES: dict[str, str] = {}
 
@@ -56,21 +56,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-ORACLES["op7_line_dedup"] = f"""
+ORACLES["op7_line_dedup"] = r"""
 WITH split AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
            generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
     FROM documents
-), long_lines AS (
-    SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS place FROM split WHERE length(line) >= {line_dedup.MIN_CHARS}
+), real_lines AS (
+    SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS place FROM split
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), firsts AS (
-    SELECT line, min(place) AS place FROM long_lines GROUP BY line
+    SELECT line, min(place) AS place FROM real_lines GROUP BY line
 ), variants AS (
     SELECT place, sha256(left(line, i) || chr(1) || substr(line, i + 2)) AS variant
-    FROM firsts, LATERAL (SELECT unnest(range(0, length(line))) AS i)
+    FROM firsts, LATERAL (SELECT unnest(range(0, length(line))) AS i) WHERE length(line) >= 8
     UNION ALL
     SELECT place, sha256(left(line, i) || chr(1) || substr(line, i + 1)) AS variant
-    FROM firsts, LATERAL (SELECT unnest(range(0, length(line) + 1)) AS i)
+    FROM firsts, LATERAL (SELECT unnest(range(0, length(line) + 1)) AS i) WHERE length(line) >= 8
 ), earliest AS (
     SELECT variant, min(place) AS place FROM variants GROUP BY variant HAVING count(DISTINCT place) > 1
 ), near AS (
@@ -80,7 +81,7 @@ WITH split AS (
            l.place > f.place AS is_exact,
            l.place = f.place AND n.place IS NOT NULL AS is_near
     FROM split s
-    LEFT JOIN long_lines l ON s.doc_id = l.doc_id AND s.pos = l.pos
+    LEFT JOIN real_lines l ON s.doc_id = l.doc_id AND s.pos = l.pos
     LEFT JOIN firsts f ON l.line = f.line
     LEFT JOIN near n ON f.place = n.place
 )

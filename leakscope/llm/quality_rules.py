@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.llm.common import SPACES, either, let, sealed, space_words, text_or_empty
+from leakscope.llm.common import SPACES, either, let, only, sealed, space_words, text_or_empty
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -163,4 +163,4 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The documents that break no rule, with all their columns."""
-    return judge(docs, rules, text).where("kept").select("row.*")
+    return only(judge(docs, rules, text), F.col("kept"), [F.col("row")]).select("row.*")

@@ -94,3 +94,11 @@ def test_short_lines_are_exact_copies_only(spark):
     assert got == {
         (2, 0): ("exact", 1, 0), (2, 1): ("exact", 1, 1), (3, 0): ("near", 1, 0), (3, 1): ("exact", 2, 2), (4, 1): ("near", 3, 2)
     }
+
+
+def test_near_copies_of_any_length_by_parameter(spark):
+    rows = [*ROWS, (20, "a\nb\nab\n \n" + "y" * 3000), (21, "y" * 1500 + "z" + "y" * 1500)]
+    found = line_dedup.line_copies(cases.documents(spark, rows), near_chars=1)
+    got = {(r.doc, r.position): (r.kind, (r.first_doc, r.first_position)) for r in found.collect()}
+    kept = [(d, t.replace("\n \n", "\n\n") if t else t) for d, t in rows]  # blank lines are no copies
+    assert got == brute(kept, 1)

@@ -55,3 +55,9 @@ def test_empty_table_and_repeated_rows(spark):
 def test_no_python_and_no_shuffle_in_the_plan(spark):
     plan = quality_rules.judge(cases.documents(spark, [(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_keeping_works_nothing_out_twice(spark):
+    docs = cases.documents(spark, [(1, "a")])
+    plans = [t._jdf.queryExecution().optimizedPlan().toString() for t in (quality_rules.judge(docs), quality_rules.keep(docs))]
+    assert plans[1].count("split(") <= plans[0].count("split(") and "Filter" not in plans[1].replace("filter", "")
