@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscope.llm import decontamination, jaccard_join, line_dedup, quality_rules
-from leakscope.llm.common import SPACES, once
+from leakscope.llm.common import SPACES, once, only
 from leakscope.llm.queries import packed, table
 
 
@@ -26,7 +26,7 @@ def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         F.when(is_cut, changed[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c)
         for c in docs.columns
     ]
-    return cut.where(~is_cut | (F.length(F.btrim("kept_text", F.lit(SPACES))) > 0)).select(*columns)
+    return only(cut, ~is_cut | (F.length(F.btrim("kept_text", F.lit(SPACES))) > 0), columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
