@@ -28,8 +28,8 @@ END_ID = 2
 BLOCK_IDS = 4096
 #: A shard is closed at the document that brings it to so many ids.
 SHARD_IDS = 4_000_000
-#: Words whose ids a task remembers.
-KNOWN_WORDS = 300_000
+#: Words whose ids a worker remembers, and as many that it last set aside.
+KNOWN_WORDS = 700_000
 
 _MAGIC = b"IDBITS01"
 _HEADER = struct.Struct("<8sIIIIQQ")
@@ -131,23 +131,31 @@ class WordCoder:
 
         self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def vocabulary(self) -> int:
         return self.whole.get_vocab_size(with_added_tokens=True)
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
-        for word, found in zip(words, self.whole.encode_batch(words, add_special_tokens=False)):
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of different words; those in use stay remembered."""
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.older = {}, self.known
+        missing = []
+        for word in words:
+            if word not in self.known:
+                if word in self.older:
+                    self.known[word] = self.older[word]
+                else:
+                    missing.append(word)
+        for word, found in zip(missing, self.whole.encode_batch(missing, add_special_tokens=False)):
             self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        return [self.known[word] for word in words]
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text begins in them (one bound more than texts)."""
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self._learn([w for w in words if w not in self.known])
-        found = [self.known[w] for w in words]
+        found = self._ids(coded.dictionary.to_pylist())
         sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
         flat, begins = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
         order = coded.indices.to_numpy()

@@ -63,6 +63,18 @@ def test_words_have_the_ids_of_whole_texts(texts):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == whole(text)[:-1]
 
 
+def test_words_are_forgotten_and_learnt_again(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 5)
+    coder = token_files.WordCoder(PATH)
+    for k in range(40):
+        texts = [f"word{k} word{k // 3} the same words again {j}" for j in range(4)]
+        ids, bounds = coder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [whole(t)[:-1] for t in texts]
+        assert len(coder.known) < 30
+
+
 def read(spark, path):
     rows = token_files.read_token_files(spark, path).cache()
     return sorted(token_files.with_starts(rows).collect(), key=lambda r: r.start)
