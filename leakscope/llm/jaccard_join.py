@@ -15,10 +15,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscope.llm.common import components, once, probably_in, sealed, space_words, text_or_empty
+from leakscope.llm.arrow import mixed
+from leakscope.llm.common import components, either, once, probably_in, sealed, space_words, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -31,16 +32,19 @@ SHARED_DRAWS = 1.5
 RECALL = 0.9999
 # Sets of a path that are compared at once. Smaller ones would split groups of like
 # sets again and again, as these share most of what is drawn.
-BUCKET = 512
+BUCKET = 2048
 # Share of equal tokens from which a pair is looked at exactly: five standard
 # deviations of the estimate below the threshold, for 128 tokens.
 NEAR = 0.62
-# With the head of a crowded path sets become candidates from LINKED on. Those need
-# no pairs with each other, only with sets that are not linked: a set that is closer
-# to the head than REACH above the closest of these is within 0.2 of none of them.
-# REACH is 0.2 and over three deviations of the estimates.
-LINKED, REACH = 0.45, 0.36
-# Paths left after so many splits are compared whole, whatever their size.
+# With a head of a crowded path sets become candidates from some likeness on, at most
+# LINKED. Those need no pairs with each other, only with sets that are not linked to
+# that head: a set that is closer to it than REACH above the closest of these is within
+# 0.2 of none of them. REACH is 0.2 and over three deviations of the estimates. Each
+# head takes the likeness, not below LOOSE, by which the fewest sets go further, and a
+# set goes further only if all HEADS of its path let it.
+LINKED, LOOSE, REACH, HEADS = 0.45, 0.2, 0.36, 4
+# Crowded paths left after so many splits are candidate groups as a whole; those are
+# compared in bounded blocks.
 LEVELS = 12
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 2_000_000
@@ -48,13 +52,6 @@ BLOCK_SHINGLES = 2_000_000
 _U = np.uint64
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers (the finisher of splitmix64)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the word shingles; a shorter text is one shingle."""
     words = words.view(np.uint64)
@@ -63,11 +60,11 @@ def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
         return words[:0]
     total = np.full(len(words) - size + 1, size, dtype=np.uint64)
     for k in range(size):
-        total = _mixed(total * _U(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k])
+        total = mixed(total * _U(0x9E3779B97F4A7C15) + words[k : len(words) - size + 1 + k])
     return np.unique(total)
 
 
-_FACTORS = _mixed(np.arange(1, 2 * TOKENS + 1, dtype=np.uint64))
+_FACTORS = mixed(np.arange(1, 2 * TOKENS + 1, dtype=np.uint64))
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -107,7 +104,7 @@ def _sketched(shingle: int):
             for words in _lists(batch.column("words")):
                 found = shingle_set(words, shingle)
                 place = np.arange(1, len(found) + 1, dtype=np.uint64)
-                keys.append([_fold(found, place), _fold(_mixed(found), place)])
+                keys.append([_fold(found, place), _fold(mixed(found), place)])
                 sizes.append(len(found))
                 drawn = sketch(found)
                 sketches.append(drawn.tobytes())
@@ -139,7 +136,7 @@ def _sets(shingle: int):
 
 
 def _fold(values: np.ndarray, place: np.ndarray) -> np.uint64:
-    return np.bitwise_xor.reduce(_mixed(values + place * _U(0x9E3779B97F4A7C15)), initial=_U(len(values)))
+    return np.bitwise_xor.reduce(mixed(values + place * _U(0x9E3779B97F4A7C15)), initial=_U(len(values)))
 
 
 def _word_hashes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -150,16 +147,16 @@ def _word_hashes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _drawn(nodes: np.ndarray, sketches: np.ndarray, chance: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and child paths of the tokens drawn at each row's node."""
     places = np.arange(sketches.shape[1], dtype=np.uint64) << _U(32)
-    draws = _mixed(_mixed(places[None, :] | sketches.astype(np.uint64)) ^ nodes[:, None])
+    draws = mixed(mixed(places[None, :] | sketches.astype(np.uint64)) ^ nodes[:, None])
     rows, columns = np.nonzero(draws < _U(int(chance * 2**64)))
-    return rows, _mixed(draws[rows, columns] + _U(1))
+    return rows, mixed(draws[rows, columns] + _U(1))
 
 
 def _first_paths(runs: int, chance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sketches, tid = _binary_rows(batch.column("sketch"), np.uint32), batch.column("tid").to_numpy()
-            for root in _mixed(np.arange(1, runs + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95)):
+            for root in mixed(np.arange(1, runs + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95)):
                 rows, paths = _drawn(np.full(len(tid), root), sketches, chance)
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(tid[rows])], ["path", "tid"])
 
@@ -177,15 +174,15 @@ def _next_paths(chance: float):
     return run
 
 
-def _with_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set of a crowded path against the path's head."""
+def _with_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many tokens each set of a crowded path shares with each of the path's heads."""
     for batch in batches:
         if len(batch):
-            own, head = (_binary_rows(batch.column(c), np.uint32) for c in ("sketch", "head_sketch"))
-            alike = (own == head).mean(axis=1)
+            own = _binary_rows(batch.column("sketch"), np.uint32)
+            steps = [(own == _binary_rows(batch.column(f"sketch{k}"), np.uint32)).sum(axis=1) for k in range(HEADS)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("path", "tid", "head")), pa.array(alike)],
-                ["path", "tid", "head", "alike"],
+                [batch.column("path"), batch.column("tid"), *(pa.array(x, pa.int32()) for x in steps)],
+                ["path", "tid", *(f"step{k}" for k in range(HEADS))],
             )
 
 
@@ -260,6 +257,43 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
+def _limits(compared: DataFrame) -> DataFrame:
+    """Each crowded path's cuts and limits, one for each of its heads.
+
+    Sets from cut on are linked to the head. The others go further, and so do linked
+    ones up to limit. Of all cuts from LOOSE to LINKED, in steps of one token, the one
+    that lets fewest go is taken.
+    """
+    counted = reduce(
+        DataFrame.union,
+        [
+            compared.groupBy("path", F.lit(k).alias("of_head"), F.col(f"step{k}").alias("step")).agg(F.count("*").alias("n"))
+            for k in range(HEADS)
+        ],
+    )
+    reach, loose, linked = math.ceil(REACH * TOKENS), math.ceil(LOOSE * TOKENS), math.ceil(LINKED * TOKENS)
+    steps = F.array_sort(F.collect_list(F.struct("step", "n")))
+    heads = counted.groupBy("path", "of_head").agg(steps.alias("steps"))  # at most a row per token
+
+    def going(cut: Column) -> Column:
+        below = F.filter("steps", lambda s: s["step"] < cut)
+        top = F.array_max(F.transform(below, lambda s: s["step"]))
+        within = F.filter("steps", lambda s: s["step"] <= top + reach)
+        n = F.aggregate(within, F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
+        return F.struct(F.when(top.isNull(), 0).otherwise(n).alias("n"), (-cut).alias("cut"), (top + reach).alias("limit"))
+
+    best = once(heads.select("path", "of_head", F.array_min(F.transform(F.sequence(F.lit(loose), F.lit(linked)), going)).alias("best")), "limits")
+    of = {k: F.col("of_head") == k for k in range(HEADS)}
+    return best.groupBy("path").agg(
+        *[F.max(F.when(of[k], -F.col("best.cut"))).alias(f"cut{k}") for k in range(HEADS)],
+        *[F.max(F.when(of[k], F.col("best.limit"))).alias(f"limit{k}") for k in range(HEADS)],
+    )
+
+
+def _to_head(k: int) -> tuple[Column, Column]:
+    return F.least("tid", f"head{k}").alias("a"), F.greatest("tid", f"head{k}").alias("b")
+
+
 def _candidates(texts: DataFrame, recall: float, threshold: float) -> DataFrame:
     """Edges a, b that put every pair, up to the recall, into one connected group."""
     chance = min(1.0, SHARED_DRAWS / (threshold * TOKENS))
@@ -267,35 +301,38 @@ def _candidates(texts: DataFrame, recall: float, threshold: float) -> DataFrame:
     paths = once(sketches.mapInArrow(_first_paths(runs_for(recall), chance), "path bigint, tid bigint"), "paths")
     edges, leaves = [], []
     for level in range(1, LEVELS + 1):
-        head = F.min_by("tid", F.xxhash64("path", "tid")).alias("head")
-        sized = once(paths.groupBy("path").agg(F.count("*").alias("n"), head).where("n > 1"), "path-sizes")
-        live, last = once(paths.join(sized, "path"), "live-paths"), level == LEVELS
-        is_leaf = F.lit(True) if last else F.col("n") <= BUCKET
-        leaves.append(live.where(is_leaf).select("path", "tid"))
-        crowded = live.where(~is_leaf).select("path", "tid", "head")
+        heads = [F.min_by("tid", F.xxhash64("path", F.lit(k), "tid")).alias(f"head{k}") for k in range(HEADS)]
+        sized = once(paths.groupBy("path").agg(F.count("*").alias("n"), *heads).where("n > 1"), "path-sizes")
+        live = once(paths.join(sized, "path"), "live-paths")
+        leaves.append(live.where(F.col("n") <= BUCKET).select("path", "tid"))
+        crowded = live.where(F.col("n") > BUCKET)
         if crowded.isEmpty():
             break
+        if level == LEVELS:
+            edges.append(crowded.where("tid <> head0").select(*_to_head(0)))
+            break
         if level == 1:  # later levels have only sets of these
             sketches = once(sketches.join(crowded.select("tid").distinct(), "tid"), "crowded-sketches")
-        head_sketches = sketches.select(F.col("tid").alias("head"), F.col("sketch").alias("head_sketch"))
-        heads = once(crowded.select("path", "head").distinct().join(head_sketches, "head").select("path", "head_sketch"), "heads")
+        known = sized.where(F.col("n") > BUCKET).drop("n")
+        for k in range(HEADS):
+            known = known.join(sketches.select(F.col("tid").alias(f"head{k}"), F.col("sketch").alias(f"sketch{k}")), f"head{k}")
+        known = once(known, "heads")
+        schema = "path bigint, tid bigint, " + ", ".join(f"step{k} int" for k in range(HEADS))
         compared = once(
-            crowded.join(sketches, "tid")
-            .join(heads, "path")
-            .mapInArrow(_with_head, "path bigint, tid bigint, head bigint, alike double"),
-            "with-head",
-        )
-        edges.append(
-            compared.where((F.col("alike") >= LINKED) & (F.col("tid") != F.col("head"))).select(
-                F.least("tid", "head").alias("a"), F.greatest("tid", "head").alias("b")
-            )
+            crowded.select("path", "tid")
+            .join(sketches, "tid")
+            .join(known.select("path", *[f"sketch{k}" for k in range(HEADS)]), "path")
+            .mapInArrow(_with_heads, schema),
+            "with-heads",
         )
-        others = compared.where(F.col("alike") < LINKED)
-        limits = once(others.groupBy("path").agg((F.max("alike") + REACH).alias("limit")), "path-limits")
-        within = (compared["path"] == limits["path"]) & (compared["alike"] <= limits["limit"])
+        limits = _limits(compared).join(known.select("path", *[f"head{k}" for k in range(HEADS)]), "path")
+        placed = once(compared.join(limits, "path"), "placed")
+        linked = [F.col(f"step{k}") >= F.col(f"cut{k}") for k in range(HEADS)]
+        edges += [placed.where(linked[k] & (F.col("tid") != F.col(f"head{k}"))).select(*_to_head(k)) for k in range(HEADS)]
+        done = [linked[k] & (F.col(f"step{k}") > F.coalesce(f"limit{k}", F.lit(-1))) for k in range(HEADS)]
         paths = once(
-            compared.join(limits, within)
-            .select(compared["path"], "tid")
+            placed.where(~either(done))
+            .select("path", "tid")
             .join(sketches, "tid")
             .mapInArrow(_next_paths(chance), "path bigint, tid bigint"),
             "paths",
@@ -469,11 +506,20 @@ def near_duplicates(
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The documents without those that link to a smaller id, with all their columns.
 
-    Of rows that share an id one stays; rows without an id all stay.
+    Of rows that share an id and a text one stays, with the smallest row digest;
+    different texts under one id all stay or all go. Rows without an id all stay.
     """
     found = near_duplicates(docs, doc_id, text, **parameters)
     kept = found.where("class_id = doc_id").select(F.col("doc_id").alias("doc"))
     rows = sealed(docs, doc=F.col(doc_id).cast("bigint"))
-    of_id = Window.partitionBy("doc").orderBy("doc")
-    named = rows.join(kept, "doc").withColumn("n", F.row_number().over(of_id)).where("n = 1")
-    return named.select("row.*").union(rows.where("doc IS NULL").select("row.*"))
+    body = text_or_empty(F.col("row")[text])
+    named = rows.join(kept, "doc").withColumns({"h1": F.xxhash64(body), "h2": F.xxhash64(F.lit(1), body)})
+    repeated = named.groupBy("doc", "h1", "h2").agg(F.min(_row_digest(docs)).alias("digest"), F.count("*").alias("n")).where("n > 1")
+    marked = named.join(repeated.drop("n"), ["doc", "h1", "h2"], "left")
+    single = marked.where("digest IS NULL").select("row.*")
+    several = marked.where(F.col("digest") == _row_digest(docs)).dropDuplicates(["doc", "h1", "h2"]).select("row.*")
+    return single.union(several).union(rows.where("doc IS NULL").select("row.*"))
+
+
+def _row_digest(docs: DataFrame) -> Column:
+    return F.xxhash64(F.to_json("row"))
