@@ -21,11 +21,15 @@ def rule_logprob(token: Column) -> Column:
 
 
 def rule_logprob_by_class(token: Column) -> Column:
-    """Three classes of words, each at the midpoint of its range."""
-    word = F.lower(F.trim(token))
+    """Three classes of words, each at the midpoint of its range.
+
+    The token without the white space around it is compared as it is written, so a
+    capital makes another word.
+    """
+    word = F.btrim(token, F.lit(" \t\n\x0b\f\r"))
     return (
-        F.when(word.isin(*map(str.lower, config.FREQUENT_WORDS)), F.lit(sum(config.FREQUENT_RANGE) / 2))
-        .when(word.isin(*map(str.lower, config.FACT_WORDS)), F.lit(sum(config.FACT_RANGE) / 2))
+        F.when(word.isin(*config.FREQUENT_WORDS), F.lit(sum(config.FREQUENT_RANGE) / 2))
+        .when(word.isin(*config.FACT_WORDS), F.lit(sum(config.FACT_RANGE) / 2))
         .otherwise(F.lit(sum(config.OTHER_RANGE) / 2))
     )
 

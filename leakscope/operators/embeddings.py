@@ -43,14 +43,14 @@ def cosine_pairs(pairs: DataFrame, vectors: DataFrame, left: str, right: str) ->
 
 
 def embedding_verdict(
-    similarities: DataFrame, threshold: float = config.EMBEDDING_THRESHOLD
+    similarities: DataFrame, threshold: float = config.EMBEDDING_THRESHOLD, keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Largest similarity over an item's references; an item without any gives 0.0.
+    """Largest similarity of an output over its item's references; without any 0.0.
 
-    ``similarities``: (item_id, similarity), null where an item has no reference.
+    ``similarities``: (item_id, keys, similarity), null where there is no reference.
     """
     return (
-        similarities.groupBy("item_id")
+        similarities.groupBy("item_id", *keys)
         .agg(
             F.count("similarity").alias("references"),
             F.coalesce(F.max("similarity"), F.lit(0.0)).alias("memorization_score"),
@@ -97,15 +97,18 @@ def text_vectors(
     )
 
 
-def sparse_similarity(left: DataFrame, right: DataFrame, key: str, ref: str) -> DataFrame:
-    """Cosine of unit sparse vectors for outputs and their own references.
+def sparse_similarity(
+    left: DataFrame, right: DataFrame, key: str, ref: str, outputs: tuple[str, ...] = ()
+) -> DataFrame:
+    """Cosine of unit sparse vectors for outputs and their item's references.
 
-    ``left``: (key, term, weight); ``right``: (key, ref, term, weight). The key
-    is part of the join, so common terms do not pair up across items.
+    ``left``: (key, outputs, term, weight), where the outputs' columns tell those of a
+    key apart; ``right``: (key, ref, term, weight). The key is part of the join, so
+    common terms do not pair up across items.
     """
     other = right.withColumnRenamed("weight", "_w")
     product = F.sum(F.col("weight") * F.col("_w"))
-    return left.join(other, [key, "term"]).groupBy(key, ref).agg(product.alias("similarity"))
+    return left.join(other, [key, "term"]).groupBy(key, *outputs, ref).agg(product.alias("similarity"))
 
 
 def nearest_vectors(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope import config
-from leakscope.functions.similarity import pair_similarity
+from leakscope.functions.similarity import character_pairs, pair_similarity, share_of_pairs
 from leakscope.operators.scaling import running_sums
 
 
@@ -38,9 +38,29 @@ def continuation_logprob(
 def similarity_logprob(df: DataFrame, continuation: str, generated: str, alias: str) -> DataFrame:
     """Stand-in log-probability from the similarity of expected and generated text."""
     ratio = pair_similarity(F.lower(F.col(continuation)), F.lower(F.col(generated)))
-    return df.withColumn("_ratio", ratio).withColumn(
-        alias, F.ln(F.greatest("_ratio", F.lit(config.MIN_SIMILARITY)))
-    ).drop("_ratio")
+    return df.withColumn("_ratio", ratio).withColumn(alias, floored_log(F.col("_ratio"))).drop("_ratio")
+
+
+def output_similarities(options: DataFrame, outputs: DataFrame, keys: tuple[str, ...] = ("response_id",)) -> DataFrame:
+    """similarity of each output with each option of its item, beside both their keys.
+
+    ``options``: (item_id, option_idx, option); ``outputs``: (item_id, keys,
+    completion). The character pairs of either side are worked out once per row,
+    before the join repeats it.
+    """
+
+    def paired(table: DataFrame, text: str, name: str, *columns: str) -> DataFrame:
+        lowered = F.lower(F.col(text))
+        return table.select("item_id", *columns, lowered.alias(name), character_pairs(lowered).alias(f"{name}_pairs"))
+
+    met = paired(outputs, "completion", "said", *keys).join(paired(options, "option", "asked", "option_idx"), "item_id")
+    share = share_of_pairs(F.col("said_pairs"), F.col("asked_pairs"), F.col("said") == F.col("asked"))
+    return met.select("item_id", *keys, "option_idx", share.alias("similarity"))
+
+
+def floored_log(similarity: Column) -> Column:
+    """A similarity as a log-probability, never below that of the least similarity."""
+    return F.ln(F.greatest(similarity, F.lit(config.MIN_SIMILARITY)))
 
 
 def option_logprobs(df: DataFrame) -> DataFrame:

@@ -21,14 +21,16 @@ def ngram_overlap(
     references: DataFrame,
     text: str = "completion",
     sizes: tuple[int, ...] = config.NGRAM_SIZES,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Overlap of each output with each of its references, per n-gram size.
+    """Overlap of each output with each of its item's references, per n-gram size.
 
-    ``outputs``: (item_id, text); ``references``: (item_id, ref_idx, reference).
-    Both sides are tokenised once, before the sizes multiply the rows. A
-    reference too short for an n-gram keeps a row with a null ratio.
+    ``outputs``: (item_id, keys, text), where the keys tell the outputs of an item
+    apart; ``references``: (item_id, ref_idx, reference). Both sides are tokenised
+    once, before the sizes multiply the rows. A reference too short for an n-gram
+    keeps a row with a null ratio.
     """
-    left = _gram_sets(outputs.select("item_id", F.col(text).alias("_text")), "_found", sizes)
+    left = _gram_sets(outputs.select("item_id", *keys, F.col(text).alias("_text")), "_found", sizes)
     right = _gram_sets(
         references.select("item_id", "ref_idx", F.col("reference").alias("_text")),
         "_reference",
@@ -47,8 +49,8 @@ def ngram_overlap(
     )
     rows = (
         left.join(right, "item_id")
-        .select("item_id", "ref_idx", F.explode(per_size).alias("_o"))
-        .select("item_id", "ref_idx", "_o.*")
+        .select("item_id", *keys, "ref_idx", F.explode(per_size).alias("_o"))
+        .select("item_id", *keys, "ref_idx", "_o.*")
     )
     return rows.withColumn(
         "overlap_ratio",
@@ -62,19 +64,21 @@ def _gram_sets(texts: DataFrame, prefix: str, sizes: tuple[int, ...]) -> DataFra
     return tokens.withColumns(sets).drop("_text", "_tokens")
 
 
-def ngram_by_size(overlaps: DataFrame) -> DataFrame:
-    """Largest ratio over the references of an item, per n-gram size."""
-    return overlaps.groupBy("item_id", "n").agg(
+def ngram_by_size(overlaps: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Largest ratio of an output over the references of its item, per n-gram size."""
+    return overlaps.groupBy("item_id", *keys, "n").agg(
         F.max("output_count").alias("output_count"),
         F.count("overlap_ratio").alias("references"),
         F.coalesce(F.max("overlap_ratio"), F.lit(0.0)).alias("max_overlap_ratio"),
     )
 
 
-def ngram_verdict(by_size: DataFrame, threshold: float = config.NGRAM_THRESHOLD) -> DataFrame:
-    """Largest ratio over all sizes, memorized above the threshold."""
+def ngram_verdict(
+    by_size: DataFrame, threshold: float = config.NGRAM_THRESHOLD, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Largest ratio of an output over all sizes, memorized above the threshold."""
     return (
-        by_size.groupBy("item_id")
+        by_size.groupBy("item_id", *keys)
         .agg(F.max("max_overlap_ratio").alias("memorization_score"))
         .withColumn("is_memorized", F.col("memorization_score") > threshold)
         .withColumn("threshold", F.lit(threshold))

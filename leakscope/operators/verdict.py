@@ -15,6 +15,7 @@ Detector = Callable[[], DataFrame]
 
 DETECTION_COLUMNS = (
     "item_id",
+    "response_id",
     "method",
     "memorization_score",
     "is_memorized",
@@ -24,11 +25,18 @@ DETECTION_COLUMNS = (
 
 
 def as_detections(scored: DataFrame, method: str) -> DataFrame:
-    """A detector's rows in the common shape; an error voids score and verdict."""
-    error = F.col("error") if "error" in scored.columns else F.lit(None).cast("string")
+    """A detector's rows in the common shape; an error voids score and verdict.
+
+    A detector that judges each output of an item by itself names it in response_id;
+    the others judge the item as a whole and leave it null.
+    """
+    nothing = F.lit(None).cast("string")
+    error = F.col("error") if "error" in scored.columns else nothing
+    response = F.col("response_id").cast("string") if "response_id" in scored.columns else nothing
     usable = error.isNull()
     return scored.select(
         F.col("item_id").cast("bigint").alias("item_id"),
+        response.alias("response_id"),
         F.lit(method).alias("method"),
         F.when(usable, F.col("memorization_score")).alias("memorization_score"),
         F.when(usable, F.col("is_memorized")).alias("is_memorized"),
@@ -53,9 +61,11 @@ def run_methods(detectors: dict[str, Detector], methods: list[str]) -> DataFrame
 
 
 def complete_detections(items: DataFrame, detections: DataFrame, methods: list[str]) -> DataFrame:
-    """A row for every (item, method); pairs a detector left out become errors."""
+    """A row or more for every (item, method); pairs a detector left out become errors."""
     names = F.array(*[F.lit(m) for m in methods])
     pairs = items.select("item_id", F.explode(names).alias("method"))
+    if "response_id" not in detections.columns:
+        detections = detections.withColumn("response_id", F.lit(None).cast("string"))
     joined = pairs.join(detections, ["item_id", "method"], "left")
     missing = F.col("memorization_score").isNull() & F.col("error").isNull()
     return joined.withColumn(
@@ -64,15 +74,42 @@ def complete_detections(items: DataFrame, detections: DataFrame, methods: list[s
 
 
 def detection_errors(detections: DataFrame) -> DataFrame:
-    return detections.where(F.col("error").isNotNull()).select("item_id", "method", "error")
+    return detections.where(F.col("error").isNotNull()).select("item_id", "response_id", "method", "error")
 
 
-def aggregate_verdict(items: DataFrame, detections: DataFrame) -> DataFrame:
-    """Mean score, and memorized if at least half of the working detectors say so."""
+def _half() -> Column:
+    """At least half of the verdicts that are there say so; null if none is."""
     votes = F.count("is_memorized")
-    combined = detections.groupBy("item_id").agg(
-        F.avg("memorization_score").alias("aggregate_score"),
-        ((F.count_if("is_memorized") * 2 >= votes) & (votes > 0)).alias("is_memorized"),
+    return F.when(votes > 0, F.count_if("is_memorized") * 2 >= votes)
+
+
+def method_verdicts(detections: DataFrame) -> DataFrame:
+    """One row per (item, method): the vote of a method over an item's outputs.
+
+    The score is the mean of the working outputs, the verdict is that of at least
+    half of them. ``outputs`` counts the judged ones, failed ones included, and
+    ``failed`` those with an error; the method has an error, its smallest, only if
+    all of them failed. Counts and sums are combined per task before the shuffle, so
+    an item may have any number of outputs.
+    """
+    return detections.groupBy("item_id", "method").agg(
+        F.avg("memorization_score").alias("memorization_score"),
+        _half().alias("is_memorized"),
+        F.max("threshold").alias("threshold"),
+        F.when(F.count("error") == F.count("*"), F.min("error")).alias("error"),
+        F.count("*").alias("outputs"),
+        F.count("error").alias("failed"),
+    )
+
+
+def aggregate_verdict(items: DataFrame, per_method: DataFrame) -> DataFrame:
+    """Mean score, and memorized if at least half of the working detectors say so.
+
+    ``per_method`` has a row per (item, method), as :func:`method_verdicts` gives, so
+    a method with many outputs has one vote.
+    """
+    combined = per_method.groupBy("item_id").agg(
+        F.avg("memorization_score").alias("aggregate_score"), _half().alias("is_memorized")
     )
     return (
         items.select("item_id")

@@ -102,21 +102,25 @@ def raw_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @planned_once
 def completion_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """One completion response per question; a third leak the answer, some are unusable."""
-    turns = read_table(spark, sf, "conversations")
-    first_replies = (
-        turns.where(F.col("role") == "assistant")
-        .groupBy("conv_id")
-        .agg(F.min_by("text", "turn").alias("reply"))
-    )
-    items = mcq(spark, sf).withColumn(
-        "conv_id", F.pmod(F.col("item_id"), size_by_id(turns, "conv_id"))
+    """One completion response per assistant turn; a third leak the answer, some are unusable.
+
+    A conversation answers the question ``conv_id`` modulo their number, so a question
+    has many outputs, told apart by response_id. A leak stands before the turn's text.
+    """
+    turns = read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    count = size_by_id(read_table(spark, sf, "benchmark"), "item_id")
+    said = turns.select(
+        F.pmod(F.col("conv_id"), count).alias("item_id"),
+        F.concat_ws("-", "conv_id", "turn").alias("response_id"),
+        F.coalesce("text", F.lit("")).alias("reply"),
     )
     words = F.split("continuation", " ")
     first_half = F.array_join(F.slice(words, 1, F.floor(F.size(words) / 2).cast("int")), " ")
     leak = F.concat(F.lit("Answer "), index_letter(F.col("correct_idx")), F.lit(". "), first_half)
-    text = F.when(F.col("item_id") % 3 == 0, leak).otherwise(F.coalesce("reply", F.lit("")))
-    kind = pick(8, F.col("item_id"), "completion")
+    leaks = mcq(spark, sf).select("item_id", leak.alias("leak"))
+    leaked = pick(3, F.col("response_id"), "leak") == 0
+    text = F.when(leaked, F.concat("leak", F.lit(" "), "reply")).otherwise(F.col("reply"))
+    kind = pick(8, F.col("item_id"), F.col("response_id"), "completion")
     message = F.struct(F.struct(F.col("_text").alias("content")).alias("message"))
     body = (
         F.when(kind == 0, '{"choices": []}')
@@ -124,8 +128,7 @@ def completion_bodies(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == 2, "{bad json")
         .otherwise(F.to_json(F.struct(F.array(message).alias("choices"))))
     )
-    joined = items.join(first_replies, "conv_id", "left").withColumn("_text", text)
-    return joined.select("item_id", body.alias("body"))
+    return said.join(leaks, "item_id").withColumn("_text", text).select("item_id", "response_id", body.alias("body"))
 
 
 @planned_once

@@ -146,47 +146,48 @@ FRAGMENTS: dict[str, str] = {
                  ELSE 'test' END AS split
         FROM mcq""",
     # completions
-    "first_replies": """
-        SELECT conv_id, arg_min(text, turn) AS reply FROM conversations
-        WHERE role = 'assistant' GROUP BY conv_id""",
+    "turns_of_items": """
+        SELECT conv_id % (SELECT max(item_id) + 1 FROM benchmark) AS item_id,
+               conv_id || '-' || turn AS response_id, coalesce(text, '') AS reply
+        FROM conversations WHERE role = 'assistant'""",
     "completions": f"""
-        SELECT item_id,
+        SELECT item_id, response_id,
             CASE WHEN kind IN (0, 2) THEN NULL WHEN kind = 1 THEN '' ELSE said END AS completion,
             CASE WHEN kind = 0 THEN 'no_choices' WHEN kind = 2 THEN 'malformed' END AS error
         FROM (
-            SELECT m.item_id, {_pick(8, "m.item_id", "'completion'")} AS kind,
-                CASE WHEN m.item_id % 3 = 0
+            SELECT t.item_id, response_id, {_pick(8, "t.item_id", "response_id", "'completion'")} AS kind,
+                CASE WHEN {_pick(3, "response_id", "'leak'")} = 0
                      THEN 'Answer ' || {_letter("correct_idx")} || '. ' ||
                           array_to_string(string_split(continuation, ' ')
-                              [1:len(string_split(continuation, ' ')) // 2], ' ')
-                     ELSE coalesce(reply, '') END AS said
-            FROM mcq m LEFT JOIN first_replies f
-              ON f.conv_id = m.item_id % (SELECT max(conv_id) + 1 FROM conversations))""",
+                              [1:len(string_split(continuation, ' ')) // 2], ' ') || ' ' || reply
+                     ELSE reply END AS said
+            FROM turns_of_items t JOIN mcq m ON m.item_id = t.item_id)""",
     "own_refs": """
         SELECT item_id, 0 AS ref_idx, question AS reference FROM mcq
         UNION ALL SELECT item_id, o + 1, option FROM option_rows""",
     "gram_overlaps": f"""
-        SELECT item_id, ref_idx, n, len(found) AS output_count, len(reference) AS ref_count,
+        SELECT item_id, response_id, ref_idx, n, len(found) AS output_count, len(reference) AS ref_count,
                len(list_intersect(found, reference)) AS overlap_count,
                CASE WHEN len(reference) > 0
                     THEN len(list_intersect(found, reference))::DOUBLE / len(reference) END AS ratio
         FROM (
-            SELECT c.item_id, ref_idx, n,
+            SELECT c.item_id, response_id, ref_idx, n,
                    list_distinct([array_to_string(f[i:i + n - 1], ' ')
                        for i in range(1, len(f) - n + 2)]) AS found,
                    list_distinct([array_to_string(g[i:i + n - 1], ' ')
                        for i in range(1, len(g) - n + 2)]) AS reference
-            FROM (SELECT item_id, regexp_extract_all(lower(completion), '{WORD}') AS f
+            FROM (SELECT item_id, response_id, regexp_extract_all(lower(completion), '{WORD}') AS f
                   FROM completions WHERE error IS NULL) c
             JOIN (SELECT item_id, ref_idx, regexp_extract_all(lower(reference), '{WORD}') AS g
                   FROM own_refs) USING (item_id)
             CROSS JOIN (VALUES (2), (3), (4)) sizes(n))""",
     "by_size": """
-        SELECT item_id, n, max(output_count) AS output_count, count(ratio) AS refs,
+        SELECT item_id, response_id, n, max(output_count) AS output_count, count(ratio) AS refs,
                coalesce(max(ratio), 0.0) AS best
-        FROM gram_overlaps GROUP BY item_id, n""",
+        FROM gram_overlaps GROUP BY item_id, response_id, n""",
     "ngram_scores": """
-        SELECT item_id, max(best) AS score, max(best) > 0.3 AS flag FROM by_size GROUP BY item_id""",
+        SELECT item_id, response_id, max(best) AS score, max(best) > 0.3 AS flag
+        FROM by_size GROUP BY item_id, response_id""",
     # contamination
     "item_words": f"SELECT item_id, regexp_extract_all(lower(text), '{WORD}') AS t FROM benchmark",
     "item_grams": _gram_rows("item_id", "item_words", 8),
@@ -346,18 +347,24 @@ FRAGMENTS: dict[str, str] = {
         FROM consistent""",
     # combination
     "detections": """
-        SELECT item_id, 'perplexity' AS method, score, score > 1.5 AS flag, NULL AS error
+        SELECT item_id, NULL::VARCHAR AS response_id, 'perplexity' AS method, score, score > 1.5 AS flag, NULL AS error
         FROM option_verdicts
-        UNION ALL SELECT item_id, 'ngram', score, flag, error
-        FROM completions LEFT JOIN ngram_scores USING (item_id)
-        UNION ALL SELECT item_id, 'embedding', score, score > 0.35,
+        UNION ALL SELECT item_id, response_id, 'ngram', score, flag, error
+        FROM completions LEFT JOIN ngram_scores USING (item_id, response_id)
+        UNION ALL SELECT item_id, NULL, 'embedding', score, score > 0.35,
             CASE WHEN score IS NULL THEN 'no vector' END
         FROM mcq LEFT JOIN vector_scores USING (item_id)
-        UNION ALL SELECT item_id, 'consistency', score, flag, NULL FROM consistency_scores""",
+        UNION ALL SELECT item_id, NULL, 'consistency', score, flag, NULL FROM consistency_scores""",
+    "method_votes": """
+        SELECT item_id, method, avg(score) AS score,
+               CASE WHEN count(flag) > 0 THEN count_if(flag) * 2 >= count(flag) END AS flag,
+               CASE WHEN count(error) = count(*) THEN min(error) END AS error,
+               count(*) AS outputs, count(error) AS failed
+        FROM detections GROUP BY item_id, method""",
     "verdicts": """
         SELECT m.item_id, m.question, coalesce(avg(score), 0.0) AS score,
                count_if(flag) * 2 >= count(flag) AND count(flag) > 0 AS flag
-        FROM mcq m LEFT JOIN detections d ON d.item_id = m.item_id
+        FROM mcq m LEFT JOIN method_votes d ON d.item_id = m.item_id
         GROUP BY m.item_id, m.question""",
     # entities
     "cased": f"SELECT doc_id, regexp_extract_all(text, '{WORD}') AS t FROM documents",
@@ -479,8 +486,8 @@ def _trial_prompt(shown: str) -> str:
 
 
 SIMILAR = f"""
-    SELECT item_id, o, {_pair_similarity("a", "b")} AS similarity
-    FROM (SELECT item_id, o, lower(option) AS a, lower(completion) AS b
+    SELECT item_id, response_id, o, {_pair_similarity("a", "b")} AS similarity
+    FROM (SELECT item_id, response_id, o, lower(option) AS a, lower(completion) AS b
           FROM option_rows JOIN completions USING (item_id) WHERE error IS NULL)"""
 
 STATEMENTS: dict[str, str] = {
@@ -496,19 +503,20 @@ STATEMENTS: dict[str, str] = {
         SELECT 'q' || d.item_id AS id, method, CASE WHEN error IS NULL
                    THEN round(d.score, 6) + 0.0 END AS memorization_score,
                CASE WHEN error IS NULL AND d.flag THEN 'true' WHEN error IS NULL THEN 'false'
-                    ELSE 'none' END AS is_memorized, error,
+                    ELSE 'none' END AS is_memorized, error, outputs, failed,
                round(v.score, 6) + 0.0 AS aggregate_score, v.flag AS verdict
-        FROM detections d JOIN verdicts v ON v.item_id = d.item_id""",
+        FROM method_votes d JOIN verdicts v ON v.item_id = d.item_id""",
     "results_roundtrip": """
         SELECT 'q' || d.item_id AS id, method, CASE WHEN error IS NULL
                    THEN round(d.score, 6) + 0.0 END AS memorization_score,
                CASE WHEN error IS NULL AND d.flag THEN 'true' WHEN error IS NULL THEN 'false'
                     ELSE 'none' END AS is_memorized,
+               CASE WHEN error IS NULL THEN round(d.score, 6) + 0.0 END AS rescored, outputs, failed,
                round(v.score, 6) + 0.0 AS aggregate_score, v.flag AS verdict,
                CASE method WHEN 'perplexity' THEN 1.5::DOUBLE WHEN 'ngram' THEN 0.3::DOUBLE
                            WHEN 'embedding' THEN 0.35::DOUBLE ELSE 0.7::DOUBLE END AS threshold,
                'example-model' AS model, (SELECT count(*) FROM mcq) AS num_examples, 4::BIGINT AS n_methods
-        FROM detections d JOIN verdicts v ON v.item_id = d.item_id""",
+        FROM method_votes d JOIN verdicts v ON v.item_id = d.item_id""",
     "chat_logprob_requests": """
         SELECT r.item_id, o AS part,
                json_object('model', 'example-model', 'messages', json_array(json_object(
@@ -531,7 +539,7 @@ STATEMENTS: dict[str, str] = {
             {_chat_json(_prompt("question", "options"), 0.1, 50)} FROM mcq
         UNION ALL SELECT item_id, 'consistency', trial,
             {_chat_json(_trial_prompt("options_shown"), 0.1, 50)} FROM shown""",
-    "parse_completions": "SELECT item_id, completion, error FROM completions",
+    "parse_completions": "SELECT item_id, response_id, completion, error FROM completions",
     "parse_logprobs_legacy": "SELECT response_id, pos, token, logprob FROM legacy_tokens",
     "parse_logprobs_chat": """
         SELECT response_id, pos, token, logprob, 3::BIGINT AS alternatives FROM chat_tokens""",
@@ -554,11 +562,11 @@ STATEMENTS: dict[str, str] = {
     "seeded_sample": """
         SELECT doc_id, lang, n_chars FROM documents ORDER BY md5('42|' || doc_id) LIMIT 100""",
     "selected_methods": """
-        SELECT method, count(*) AS items, count(score) FILTER (error IS NULL) AS scored,
+        SELECT method, count(DISTINCT item_id) AS items, count(*) AS outputs, count(score) FILTER (error IS NULL) AS scored,
                count_if(flag AND error IS NULL) AS memorized
         FROM detections WHERE method IN ('ngram', 'consistency') GROUP BY method""",
     "detection_errors": """
-        SELECT m.item_id, m.method, CASE WHEN score IS NULL AND error IS NULL THEN 'no result' ELSE error END AS error
+        SELECT m.item_id, response_id, m.method, CASE WHEN score IS NULL AND error IS NULL THEN 'no result' ELSE error END AS error
         FROM (SELECT item_id, unnest(['perplexity', 'ngram', 'embedding', 'consistency']) AS method FROM mcq) m
         LEFT JOIN detections d ON d.item_id = m.item_id AND d.method = m.method
         WHERE error IS NOT NULL OR score IS NULL""",
@@ -577,15 +585,15 @@ STATEMENTS: dict[str, str] = {
             f"GROUP BY doc_id) USING (doc_id)" for n in (2, 3, 4)
         )}""",
     "ngram_overlap": """
-        SELECT item_id, ref_idx, n::BIGINT AS n, overlap_count, ref_count,
+        SELECT item_id, response_id, ref_idx, n::BIGINT AS n, overlap_count, ref_count,
                round(ratio, 6) + 0.0 AS overlap_ratio
         FROM gram_overlaps""",
     "ngram_by_size": """
-        SELECT item_id, n::BIGINT AS n, output_count, refs AS "references",
+        SELECT item_id, response_id, n::BIGINT AS n, output_count, refs AS "references",
                round(best, 6) + 0.0 AS max_overlap_ratio
         FROM by_size""",
     "ngram_verdict": """
-        SELECT item_id, round(score, 6) + 0.0 AS memorization_score, flag AS is_memorized
+        SELECT item_id, response_id, round(score, 6) + 0.0 AS memorization_score, flag AS is_memorized
         FROM ngram_scores""",
     "corpus_contamination": """
         SELECT item_id, doc_id, overlap_count, ref_count, round(containment, 6) + 0.0 AS containment
@@ -614,7 +622,7 @@ STATEMENTS: dict[str, str] = {
                     FROM legacy_tokens))
         GROUP BY response_id""",
     "similarity_logprob": f"""
-        SELECT item_id, o AS option_idx, round(ln(greatest(similarity, 0.01)), 6) + 0.0 AS sim_logprob
+        SELECT item_id, response_id, o AS option_idx, round(ln(greatest(similarity, 0.01)), 6) + 0.0 AS sim_logprob
         FROM ({SIMILAR})""",
     "option_logprobs": f"""
         SELECT item_id, o AS option_idx, round(coalesce(model, sim, -10.0), 6) + 0.0 AS logprob,
@@ -624,7 +632,8 @@ STATEMENTS: dict[str, str] = {
                      ln(greatest(similarity, 0.01)) AS sim
               FROM option_rows r
               LEFT JOIN option_scores s ON s.item_id = r.item_id AND s.option_idx = r.o
-              LEFT JOIN ({SIMILAR}) m ON m.item_id = r.item_id AND m.o = r.o)""",
+              LEFT JOIN (SELECT item_id, o, max(similarity) AS similarity FROM ({SIMILAR}) GROUP BY item_id, o) m
+                ON m.item_id = r.item_id AND m.o = r.o)""",
     "option_perplexity": """
         SELECT item_id, round(correct_logprob, 6) + 0.0 AS correct_logprob,
                round(other_logprob, 6) + 0.0 AS other_logprob,
@@ -637,8 +646,8 @@ STATEMENTS: dict[str, str] = {
         FROM legacy_tokens GROUP BY response_id""",
     "rule_logprobs": f"""
         SELECT response_id, i - 1 AS pos, {_rule("pieces[i]")} AS logprob,
-               CASE WHEN lower(trim(pieces[i])) IN {_in([w.lower() for w in config.FREQUENT_WORDS])} THEN -1.5::DOUBLE
-                    WHEN lower(trim(pieces[i])) IN {_in([w.lower() for w in config.FACT_WORDS])} THEN -2.75::DOUBLE
+               CASE WHEN regexp_replace(pieces[i], '^\\s+|\\s+$', '', 'g') IN ('the', 'a', 'is', 'of', 'and', 'in', 'to', 'that') THEN -1.5::DOUBLE
+                    WHEN regexp_replace(pieces[i], '^\\s+|\\s+$', '', 'g') IN ('Paris', 'France', 'capital', 'London', 'Berlin') THEN -2.75::DOUBLE
                     ELSE -4.75::DOUBLE END AS class_logprob
         FROM replies, unnest(range(1, len(pieces) + 1)) r(i)""",
     "progressive_perplexity": """
@@ -741,30 +750,32 @@ STATEMENTS: dict[str, str] = {
               FROM doc_terms JOIN idf USING (term))
         WHERE len > 0""",
     "text_similarity_verdict": f"""
-        SELECT item_id, round(max(similarity), 6) + 0.0 AS memorization_score,
+        SELECT item_id, response_id, round(max(similarity), 6) + 0.0 AS memorization_score,
                max(similarity) > 0.35 AS is_memorized
         FROM (
-            SELECT item_id, o,
+            SELECT p.item_id, response_id, p.o,
                    coalesce(sum(x.raw * y.raw) / nullif(any_value(x.len) * any_value(y.len), 0), 0.0)
                        AS similarity
-            FROM (SELECT item_id, o FROM option_rows
-                  JOIN completions USING (item_id) WHERE error IS NULL)
+            FROM (SELECT item_id, response_id, o FROM option_rows
+                  JOIN completions USING (item_id) WHERE error IS NULL) p
             LEFT JOIN (
                 SELECT item_id, o, term, raw, sqrt(sum(raw ** 2) OVER (PARTITION BY item_id, o)) AS len
                 FROM (SELECT item_id, o, term,
                              count(*) * coalesce(any_value(idf), ln((SELECT count(*) FROM documents) + 1)) AS raw
                       FROM (SELECT item_id, o, unnest(regexp_extract_all(lower(option), '{WORD}')) AS term
                             FROM option_rows)
-                      LEFT JOIN idf USING (term) GROUP BY item_id, o, term)) y USING (item_id, o)
+                      LEFT JOIN idf USING (term) GROUP BY item_id, o, term)) y
+              ON y.item_id = p.item_id AND y.o = p.o
             LEFT JOIN (
-                SELECT item_id, term, raw, sqrt(sum(raw ** 2) OVER (PARTITION BY item_id)) AS len
-                FROM (SELECT item_id, term,
+                SELECT response_id, term, raw, sqrt(sum(raw ** 2) OVER (PARTITION BY response_id)) AS len
+                FROM (SELECT response_id, term,
                              count(*) * coalesce(any_value(idf), ln((SELECT count(*) FROM documents) + 1)) AS raw
-                      FROM (SELECT item_id, unnest(regexp_extract_all(lower(completion), '{WORD}')) AS term
+                      FROM (SELECT response_id, unnest(regexp_extract_all(lower(completion), '{WORD}')) AS term
                             FROM completions WHERE error IS NULL)
-                      LEFT JOIN idf USING (term) GROUP BY item_id, term)) x USING (item_id, term)
-            GROUP BY item_id, o)
-        GROUP BY item_id""",
+                      LEFT JOIN idf USING (term) GROUP BY response_id, term)) x
+              USING (response_id, term)
+            GROUP BY p.item_id, response_id, p.o)
+        GROUP BY item_id, response_id""",
     "nearest_training_vectors": """
         SELECT vec_id, rank, neighbour_id, similarity, similarity > 0.35 AS is_unusual
         FROM (SELECT *, row_number() OVER (PARTITION BY vec_id
@@ -818,7 +829,7 @@ STATEMENTS: dict[str, str] = {
         SELECT item_id, count(c) AS fired, round(coalesce(avg(c), 0.0), 6) + 0.0 AS confidence,
                coalesce(avg(c), 0.0) > 0.5 AS is_memorized
         FROM (SELECT item_id, CASE WHEN flag AND error IS NULL THEN least(score, 1.0) END AS c
-              FROM detections)
+              FROM method_votes)
         GROUP BY item_id""",
     "entity_probes": "SELECT entity, template, prompt FROM probes",
     "entity_hits": "SELECT entity, template, completion, is_correct FROM probe_hits",

@@ -35,6 +35,8 @@ QUERIES: dict[str, Query] = {}
 MODEL = "example-model"
 VECTOR_THRESHOLD = 0.35
 METHODS = ["perplexity", "ngram", "embedding", "consistency"]
+# What tells the outputs of an item apart.
+OUTPUT = ("response_id",)
 SWEEP = [0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05]
 
 
@@ -100,11 +102,16 @@ def _items_with_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@planned_once
+def _stored_detections(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(detections(spark, sf), "detections")
+
+
 @planned_once
 def _documents_of_run(spark: SparkSession, sf: str) -> DataFrame:
-    found = stored(detections(spark, sf), "detections")
-    verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), found)
-    return results.result_documents(_items_with_records(spark, sf), found, verdicts)
+    per_method = stored(verdict.method_verdicts(_stored_detections(spark, sf)), "method-verdicts")
+    verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), per_method)
+    return results.result_documents(_items_with_records(spark, sf), per_method, verdicts)
 
 
 @query
@@ -115,6 +122,8 @@ def result_documents(spark: SparkSession, sf: str) -> DataFrame:
         r("memorization_score").alias("memorization_score"),
         _named("is_memorized"),
         "error",
+        "outputs",
+        "failed",
         r("aggregate_score").alias("aggregate_score"),
         "verdict",
     )
@@ -128,16 +137,23 @@ def results_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         inputs.mcq(spark, sf), MODEL, "train", METHODS, "2026-01-01T00:00:00"
     )
     results.write_run(documents, metadata, path)
-    back = results.flatten_documents(results.read_run(spark, path))
+    results.write_detections(_stored_detections(spark, sf), path)
+    again = verdict.method_verdicts(results.read_detections(spark, path)).select(
+        F.concat(F.lit("q"), F.col("item_id")).alias("id"), "method", F.col("memorization_score").alias("rescored")
+    )
+    back = results.flatten_documents(results.read_run(spark, path)).join(again, ["id", "method"], "left")
     run = results.read_metadata(spark, path).select(F.struct("model", "num_examples", F.size("methods").alias("n"))).scalar()
     return back.withColumn("_run", run).select(
         "id",
         "method",
         r("memorization_score").alias("memorization_score"),
+        r("rescored").alias("rescored"),
         _named("is_memorized"),
         r("aggregate_score").alias("aggregate_score"),
         "verdict",
         "threshold",
+        "outputs",
+        "failed",
         F.col("_run.model").alias("model"),
         F.col("_run.num_examples").alias("num_examples"),
         big("_run.n").alias("n_methods"),
@@ -160,7 +176,7 @@ def request_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parse_completions(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.completions(spark, sf).select("item_id", "completion", "error")
+    return inputs.completions(spark, sf).select("item_id", "response_id", "completion", "error")
 
 
 @query
@@ -252,7 +268,8 @@ def seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
 def selected_methods(spark: SparkSession, sf: str) -> DataFrame:
     found = verdict.run_methods(detectors(spark, sf), ["ngram", "consistency"])
     return found.groupBy("method").agg(
-        F.count("*").alias("items"),
+        F.count_distinct("item_id").alias("items"),
+        F.count("*").alias("outputs"),
         F.count("memorization_score").alias("scored"),
         F.count_if("is_memorized").alias("memorized"),
     )
@@ -300,13 +317,14 @@ def ngram_sets(spark: SparkSession, sf: str) -> DataFrame:
 @planned_once
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
     usable = inputs.completions(spark, sf).where(F.col("error").isNull())
-    return ngrams.ngram_overlap(usable, ngrams.own_references(inputs.mcq(spark, sf)))
+    return ngrams.ngram_overlap(usable, ngrams.own_references(inputs.mcq(spark, sf)), keys=OUTPUT)
 
 
 @query
 def ngram_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return _overlaps(spark, sf).select(
         "item_id",
+        "response_id",
         big("ref_idx").alias("ref_idx"),
         big("n").alias("n"),
         big("overlap_count").alias("overlap_count"),
@@ -317,8 +335,9 @@ def ngram_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ngram_by_size(spark: SparkSession, sf: str) -> DataFrame:
-    return ngrams.ngram_by_size(_overlaps(spark, sf)).select(
+    return ngrams.ngram_by_size(_overlaps(spark, sf), OUTPUT).select(
         "item_id",
+        "response_id",
         big("n").alias("n"),
         big("output_count").alias("output_count"),
         "references",
@@ -328,15 +347,15 @@ def ngram_by_size(spark: SparkSession, sf: str) -> DataFrame:
 
 @planned_once
 def _ngram_detections(spark: SparkSession, sf: str) -> DataFrame:
-    scored = ngrams.ngram_verdict(ngrams.ngram_by_size(_overlaps(spark, sf)))
-    errors = inputs.completions(spark, sf).select("item_id", "error")
-    return errors.join(scored, "item_id", "left")
+    scored = ngrams.ngram_verdict(ngrams.ngram_by_size(_overlaps(spark, sf), OUTPUT), keys=OUTPUT)
+    errors = inputs.completions(spark, sf).select("item_id", "response_id", "error")
+    return errors.join(scored, ["item_id", "response_id"], "left")
 
 
 @query
 def ngram_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    scored = ngrams.ngram_verdict(ngrams.ngram_by_size(_overlaps(spark, sf)))
-    return scored.select("item_id", r("memorization_score").alias("memorization_score"), "is_memorized")
+    scored = ngrams.ngram_verdict(ngrams.ngram_by_size(_overlaps(spark, sf), OUTPUT), keys=OUTPUT)
+    return scored.select("item_id", "response_id", r("memorization_score").alias("memorization_score"), "is_memorized")
 
 
 @planned_once
@@ -392,28 +411,34 @@ def continuation_logprob(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def similarity_logprob(spark: SparkSession, sf: str) -> DataFrame:
+@planned_once
+def _output_similarities(spark: SparkSession, sf: str) -> DataFrame:
     usable = inputs.completions(spark, sf).where(F.col("error").isNull())
     options = inputs.mcq(spark, sf).select("item_id", F.posexplode("options").alias("option_idx", "option"))
-    scored = logprobs.similarity_logprob(
-        options.join(usable, "item_id"), "option", "completion", "sim_logprob"
+    return logprobs.output_similarities(options, usable, OUTPUT)
+
+
+@query
+def similarity_logprob(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _output_similarities(spark, sf)
+    return scored.select(
+        "item_id", "response_id", "option_idx", r(logprobs.floored_log(F.col("similarity"))).alias("sim_logprob")
     )
-    return scored.select("item_id", "option_idx", r("sim_logprob").alias("sim_logprob"))
 
 
 @query
 def option_logprobs(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores come from the model, else from similarity, else from the default."""
+    """Scores come from the model, else from the most similar output, else from the default."""
     options = inputs.mcq(spark, sf).select(
         "item_id", F.posexplode("options").alias("option_idx", "option")
     )
     kind = inputs.pick(3, F.col("item_id"), "path")
     scores = inputs.option_scores(spark, sf).select("item_id", "option_idx", "logprob")
-    replied = inputs.completions(spark, sf).where(F.col("error").isNull())
-    joined = options.join(scores, ["item_id", "option_idx"], "left").join(replied, "item_id", "left")
-    similar = logprobs.similarity_logprob(joined, "option", "completion", "sim_logprob")
-    supplied = similar.withColumn("logprob", F.when(kind > 0, F.col("logprob")))
+    best = _output_similarities(spark, sf).groupBy("item_id", "option_idx").agg(F.max("similarity").alias("best"))
+    joined = options.join(scores, ["item_id", "option_idx"], "left").join(best, ["item_id", "option_idx"], "left")
+    supplied = joined.withColumns(
+        {"logprob": F.when(kind > 0, F.col("logprob")), "sim_logprob": logprobs.floored_log(F.col("best"))}
+    )
     return logprobs.option_logprobs(supplied).select(
         "item_id", "option_idx", r("logprob").alias("logprob"), "source"
     )
@@ -647,18 +672,20 @@ def text_similarity_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """Completions against their options as TF-IDF vectors."""
     said = inputs.completions(spark, sf).where(F.col("error").isNull())
     options = inputs.mcq(spark, sf).select("item_id", F.posexplode("options").alias("ref_idx", "text"))
-    left = embeddings.text_vectors(said, "item_id", "completion", read_table(spark, sf, "documents"))
+    left = embeddings.text_vectors(said, "response_id", "completion", read_table(spark, sf, "documents"))
     keyed = options.withColumn("ref_id", F.col("item_id") * 4 + F.col("ref_idx"))
     right = embeddings.text_vectors(keyed, "ref_id", "text", read_table(spark, sf, "documents"))
+    own = said.select("item_id", "response_id")
+    placed = left.join(own, "response_id")
     pairs = embeddings.sparse_similarity(
-        left, right.withColumn("item_id", F.floor(F.col("ref_id") / 4)), "item_id", "ref_id"
+        placed, right.withColumn("item_id", F.floor(F.col("ref_id") / 4)), "item_id", "ref_id", OUTPUT
     )
-    complete = keyed.join(said.select("item_id"), "item_id", "left_semi").select("item_id", "ref_id")
-    filled = complete.join(pairs, ["item_id", "ref_id"], "left").withColumn(
+    complete = own.join(keyed.select("item_id", "ref_id"), "item_id")
+    filled = complete.join(pairs, ["item_id", "response_id", "ref_id"], "left").withColumn(
         "similarity", F.coalesce("similarity", F.lit(0.0))
     )
-    return embeddings.embedding_verdict(filled, VECTOR_THRESHOLD).select(
-        "item_id", r("memorization_score").alias("memorization_score"), "is_memorized"
+    return embeddings.embedding_verdict(filled, VECTOR_THRESHOLD, OUTPUT).select(
+        "item_id", "response_id", r("memorization_score").alias("memorization_score"), "is_memorized"
     )
 
 
@@ -773,16 +800,21 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
     return verdict.run_methods(detectors(spark, sf), ["all"])
 
 
+@planned_once
+def _method_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return verdict.method_verdicts(detections(spark, sf))
+
+
 @query
 def aggregate_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), detections(spark, sf))
+    verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), _method_verdicts(spark, sf))
     return verdicts.select("item_id", r("aggregate_score").alias("aggregate_score"), "is_memorized")
 
 
 @query
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     items = inputs.mcq(spark, sf)
-    summary = verdict.run_summary(items, verdict.aggregate_verdict(items, detections(spark, sf)))
+    summary = verdict.run_summary(items, verdict.aggregate_verdict(items, _method_verdicts(spark, sf)))
     return summary.withColumn("memorized_score", r("memorized_score")).withColumn(
         "other_score", r("other_score")
     )
@@ -790,14 +822,14 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), detections(spark, sf))
+    verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), _method_verdicts(spark, sf))
     return verdict.score_histogram(stored(verdicts, "verdicts")).select(big("bin").alias("bin"), "items")
 
 
 @query
 def combined_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """A detector's score, held to one, is its confidence."""
-    judged = detections(spark, sf).withColumn("confidence", F.least("memorization_score", F.lit(1.0)))
+    judged = _method_verdicts(spark, sf).withColumn("confidence", F.least("memorization_score", F.lit(1.0)))
     return verdict.combined_confidence(judged).select(
         "item_id", "fired", r("confidence").alias("confidence"), "is_memorized"
     )

@@ -19,13 +19,13 @@ CHAT_LOGPROB_RESPONSE = (
 )
 
 DETECTIONS = (
-    "item_id bigint, method string, memorization_score double, "
+    "item_id bigint, response_id string, method string, memorization_score double, "
     "is_memorized boolean, threshold double, error string"
 )
 
 DETECTION_DETAIL = (
     "struct<method: string, memorization_score: double, is_memorized: boolean, "
-    "threshold: double, error: string>"
+    "threshold: double, error: string, outputs: bigint, failed: bigint>"
 )
 
 RESULT_DOCUMENT = (

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from leakscope import schemas
 
 
-def result_documents(items: DataFrame, detections: DataFrame, verdicts: DataFrame) -> DataFrame:
+def result_documents(items: DataFrame, per_method: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One nested document per item.
 
     ``items`` has item_id, id, question, options and correct_answer. An item has
-    one detection per method, so its map holds a handful of entries.
+    one verdict per method, so its map holds a handful of entries; the detections
+    of single outputs are any number and go to a table of their own
+    (:func:`write_detections`).
     """
     detail = F.struct(
-        "method", "memorization_score", "is_memorized", "threshold", "error"
+        "method", "memorization_score", "is_memorized", "threshold", "error", "outputs", "failed"
     )
-    per_item = detections.groupBy("item_id").agg(
+    per_item = per_method.groupBy("item_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("method"), detail))).alias(
             "detection_results"
         )
@@ -52,6 +54,8 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
         F.col("_d.is_memorized").alias("is_memorized"),
         F.col("_d.threshold").alias("threshold"),
         F.col("_d.error").alias("error"),
+        F.col("_d.outputs").alias("outputs"),
+        F.col("_d.failed").alias("failed"),
         "aggregate_score",
         "verdict",
     )
@@ -75,6 +79,15 @@ def write_run(documents: DataFrame, metadata: DataFrame, path: str) -> None:
     metadata.write.mode("errorifexists").json(f"{path}/metadata")
 
 
+def write_detections(detections: DataFrame, path: str) -> None:
+    """The detections of single outputs as JSON lines beside the results."""
+    detections.write.mode("errorifexists").json(f"{path}/detections")
+
+
+def read_detections(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.DETECTIONS).json(f"{path}/detections")
+
+
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RESULT_DOCUMENT).json(f"{path}/results")
 

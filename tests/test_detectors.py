@@ -1,13 +1,56 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leakscope.operators import consistency, embeddings, entities, ngrams, prompts, tabular, verdict
+from leakscope.operators import consistency, embeddings, entities, logprobs, ngrams, prompts, tabular, verdict
 from leakscope.operators.membership import membership_scores
 from leakscope.plans import queries
 
 ITEM = "item_id bigint, question string, options array<string>"
 
 
+def test_outputs_vote_first_and_methods_then(spark):
+    rows = [
+        (1, "1-1", "ngram", 0.9, True, 0.3, None),
+        (1, "1-2", "ngram", 0.1, False, 0.3, None),
+        (1, "1-3", "ngram", None, None, 0.3, "malformed"),
+        (1, None, "perplexity", 0.2, False, 1.5, None),
+        (2, "2-1", "ngram", None, None, 0.3, "no_choices"),
+        (2, "2-2", "ngram", None, None, 0.3, "malformed"),
+        (3, "3-1", "ngram", 0.0, False, 0.3, None),
+        (3, "3-2", "ngram", 0.0, False, 0.3, None),
+        (3, "3-3", "ngram", 0.6, True, 0.3, None),
+    ]
+    names = "item_id bigint, response_id string, method string, memorization_score double, is_memorized boolean, threshold double, error string"
+    per_method = verdict.method_verdicts(spark.createDataFrame(rows, names)).cache()
+    got = {(r.item_id, r.method): (r.memorization_score, r.is_memorized, r.error, r.outputs, r.failed) for r in per_method.collect()}
+    assert got == {
+        (1, "ngram"): (0.5, True, None, 3, 1),
+        (1, "perplexity"): (0.2, False, None, 1, 0),
+        (2, "ngram"): (None, None, "malformed", 2, 2),
+        (3, "ngram"): (pytest.approx(0.2), False, None, 3, 0),
+    }
+    items = spark.createDataFrame([(1,), (2,), (3,), (4,)], "item_id bigint")
+    verdicts = {r.item_id: (r.aggregate_score, r.is_memorized) for r in verdict.aggregate_verdict(items, per_method).collect()}
+    # Three outputs of one method weigh no more than one of another.
+    assert verdicts == {1: (0.35, True), 2: (0.0, False), 3: (pytest.approx(0.2), False), 4: (0.0, False)}
+
+
+def test_each_output_is_held_against_its_own_item(spark):
+    outputs = spark.createDataFrame([(1, "a", "the cat sat on the mat"), (1, "b", "dogs bark"), (2, "c", "the cat sat")], "item_id bigint, response_id string, completion string")
+    references = spark.createDataFrame([(1, 0, "the cat sat"), (1, 1, "a dog"), (2, 0, "blue sky here")], "item_id bigint, ref_idx int, reference string")
+    keys = ("response_id",)
+    overlaps = ngrams.ngram_overlap(outputs, references, sizes=(2,), keys=keys)
+    judged = ngrams.ngram_verdict(ngrams.ngram_by_size(overlaps, keys), keys=keys)
+    assert {(r.item_id, r.response_id): r.memorization_score for r in judged.collect()} == {(1, "a"): 1.0, (1, "b"): 0.0, (2, "c"): 0.0}
+    options = references.withColumnsRenamed({"ref_idx": "option_idx", "reference": "option"})
+    found = {(r.response_id, r.option_idx): r.similarity for r in logprobs.output_similarities(options, outputs).collect()}
+    assert set(found) == {("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0)}
+    pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    x, y = pairs("the cat sat on the mat"), pairs("the cat sat")
+    assert found["a", 0] == pytest.approx(2 * len(x & y) / (len(x) + len(y)))
+    assert found["b", 1] > found["b", 0]
+
+
 def test_ngram_overlap_worked_by_hand(spark):
     outputs = spark.createDataFrame([(1, "the cat sat on the mat")], "item_id bigint, completion string")
     references = spark.createDataFrame([(1, 0, "the cat sat")], "item_id bigint, ref_idx int, reference string")

@@ -121,12 +121,15 @@ def test_similarity_logprob_has_a_floor(spark):
     assert got == pytest.approx([0.0, math.log(0.01)])
 
 
-def test_rule_logprobs_ignore_case(spark):
-    table = spark.createDataFrame([("The",), (" the",), (" ",), ("Paris",), ("xyz",)], "t string")
+def test_rule_logprobs_by_literal_tokens(spark):
+    """One rule ignores case, the three classes take the trimmed token as it is written."""
+    table = spark.createDataFrame([("The",), (" the",), (" ",), ("Paris",), ("xyz",), ("paris",), ("\nParis ",), ("THE",)], "t string")
     got = table.select(
         corpus_lm.rule_logprob(F.col("t")), corpus_lm.rule_logprob_by_class(F.col("t"))
     ).collect()
-    assert [tuple(r) for r in got] == [(-1.0, -1.5), (-2.0, -1.5), (-1.0, -4.75), (-2.0, -2.75), (-2.0, -4.75)]
+    assert [tuple(r) for r in got] == [
+        (-1.0, -4.75), (-2.0, -1.5), (-1.0, -4.75), (-2.0, -2.75), (-2.0, -4.75), (-2.0, -4.75), (-2.0, -2.75), (-1.0, -4.75)
+    ]
 
 
 def brute_logprob(corpus, prev, token):
