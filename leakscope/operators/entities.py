@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakscope import config
+from leakscope.functions.similarity import held
 from leakscope.functions.text import explode_rows
+from leakscope.operators.scaling import lookup_join
 from leakscope.session import stored
 
+# Characters of the grams by which words are looked up.
+INDEX_GRAM = 3
 WORDS_AND_GAPS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 
 
@@ -107,59 +111,80 @@ def entity_rarity(entities: DataFrame, corpus: DataFrame, text: str) -> DataFram
     )
 
 
+def _grams(word: Column, size: int) -> Column:
+    """Distinct runs of so many characters; the word is cut into characters once."""
+
+    def runs(chars: Column) -> Column:
+        count = F.size(chars) - (size - 1)
+        built = F.slice(chars, 1, count)
+        for k in range(1, size):
+            built = F.zip_with(built, F.slice(chars, k + 1, count), lambda a, b: F.concat(a, b))
+        return F.array_distinct(built)
+
+    chars = F.slice(F.split(word, ""), 1, F.length(word))
+    return F.when(F.length(word) >= size, held(chars, runs)).otherwise(F.array().cast("array<string>"))
+
+
+def _all_grams(words: DataFrame, word: str, *columns: str) -> DataFrame:
+    """(columns, gram): what an index of the words looks its grams up by, up to INDEX_GRAM characters."""
+    sizes = [_grams(F.col(word), size) for size in range(1, INDEX_GRAM + 1)]
+    return explode_rows(words, F.concat(*sizes), "gram", *columns)
+
+
+def entity_words(entities: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, entity, is_whole): words of the vocabulary that hold the entity's rarest part.
+
+    ``vocabulary``: (word, occurrences). An entity is cut into its words, or taken
+    whole if it has none; each lies within one word or gap of a text that names it.
+    Of the grams of these parts, INDEX_GRAM characters or the part itself if it is
+    shorter, the one in the fewest texts is the entity's key. An inverted index of the
+    vocabulary's grams gives the words that hold the key, and those that hold the part
+    are the result. An entity with a gram that no word holds occurs nowhere.
+    """
+    parts = F.regexp_extract_all(F.col("entity"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    listed = entities.where("entity <> ''").select("entity").distinct()
+    cut = listed.select("entity", F.explode(F.when(F.size(parts) > 0, F.array_distinct(parts)).otherwise(F.array("entity"))).alias("part"))
+    size = F.least(F.length("part"), F.lit(INDEX_GRAM))
+    of_size = F.lit(None).cast("array<string>")
+    for n in range(1, INDEX_GRAM + 1):
+        of_size = F.when(size == n, _grams(F.col("part"), n)).otherwise(of_size)
+    wanted = explode_rows(cut, of_size, "gram", "entity", "part")
+    index = stored(
+        _all_grams(vocabulary, "word", "word", "occurrences").join(wanted.select("gram").distinct(), "gram", "left_semi"),
+        "gram-index",
+    )
+    frequency = index.groupBy("gram").agg(F.sum("occurrences").alias("texts"))
+    weighed = wanted.join(frequency, "gram", "left")
+    key = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram", "part")).alias("key")
+    keys = weighed.groupBy("entity").agg(key).where("key.texts > 0").select("entity", "key.gram", "key.part")
+    met = index.join(keys, "gram").where(F.contains(F.col("word"), F.col("part")))
+    return met.select("word", "entity", (F.col("entity") == F.col("part")).alias("is_whole"))
+
+
 def texts_with_entities(
     texts: DataFrame, entities: DataFrame, text_id: str, text: str
 ) -> DataFrame:
     """Texts that contain at least one listed entity as a substring.
 
-    The longest word of an entity must lie within one word of the text; one without
-    words must lie within a gap between words. So the distinct words and gaps of the
-    corpus, cut into their substrings, meet the entity words in an equality join;
-    texts holding such a word are then checked against the whole entity. No text is
-    compared with every entity. An empty entity names nothing.
+    The distinct words and gaps of the corpus are indexed by their grams, and each
+    entity meets only the words that hold its rarest one (:func:`entity_words`). Texts
+    with a word that holds a whole entity are sure; for the others each pair of a text
+    and an entity is a row, checked against the text. No text is compared with every
+    entity. An empty entity names nothing.
     """
-    parts = F.regexp_extract_all(F.col("entity"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    longest = F.reduce(
-        parts,
-        F.lit(""),
-        lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best),
-    )
-    longest_word = F.when(longest == "", F.col("entity")).otherwise(longest)
-    keyed = entities.select("entity").distinct().withColumn("part", longest_word)
-    words = explode_rows(
-        texts.select(
-            text_id,
-            F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORDS_AND_GAPS), F.lit(0))).alias("_w"),
-        ),
-        F.col("_w"),
-        "word",
-        text_id,
-    )
-    sizes = keyed.agg(F.array_sort(F.collect_set(F.length("part")))).scalar()
-    vocabulary = words.select("word").distinct().withColumn("_sizes", sizes)
-    cuts = F.flatten(
-        F.transform(
-            F.filter("_sizes", lambda n: (n > 0) & (n <= F.length("word"))),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("word") - n + 1),
-                lambda i: F.substring(F.col("word"), i, n),
-            ),
-        )
-    )
-    substrings = explode_rows(vocabulary, F.array_distinct(cuts), "part", "word")
-    whole = F.col("entity") == F.col("part")
-    matched = substrings.join(keyed, "part").groupBy("word").agg(
-        F.max(whole).alias("sure"), F.collect_set(F.when(~whole, F.col("entity"))).alias("maybe")
-    )
-    hits = words.join(matched, "word").groupBy(text_id).agg(
-        F.max("sure").alias("_sure"), F.array_distinct(F.flatten(F.collect_set("maybe"))).alias("_maybe")
-    )
+    cut = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORDS_AND_GAPS), F.lit(0)))
+    words = explode_rows(texts.select(text_id, cut.alias("_w")), F.col("_w"), "word", text_id)
+    vocabulary = stored(words.groupBy("word").agg(F.count("*").alias("occurrences")), "vocabulary")
+    matched = stored(entity_words(entities, vocabulary), "entity-words")
+    marked = matched.groupBy("word").agg(F.max("is_whole").alias("sure")).join(vocabulary, "word")
+    hits = lookup_join(words, marked, ["word"], "occurrences", text_id).where("sure IS NOT NULL")
     hits = stored(hits, "entity-hits")
-    sure = hits.where(F.col("_sure")).select(text_id)
-    open_pairs = explode_rows(hits.where(~F.col("_sure")), F.col("_maybe"), "entity", text_id)
+    sure = hits.where("sure").select(text_id).distinct()
+    open_words = hits.where("NOT sure").select(text_id, "word").join(sure, text_id, "left_anti")
+    pairs = open_words.join(matched.where("NOT is_whole").select("word", "entity"), "word").select(text_id, "entity")
     checked = (
         texts.select(text_id, text)
-        .join(open_pairs, text_id)
+        .join(pairs.distinct(), text_id)
         .where(F.contains(F.col(text), F.col("entity")))
         .select(text_id)
     )

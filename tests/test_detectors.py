@@ -262,3 +262,22 @@ def test_entities_of_signs_and_several_words(spark):
     assert rows["AT&T"] == 2 and rows["New York"] == 1
     named = entities.texts_with_entities(corpus, listed.where("entity = '&&'"), "doc_id", "text")
     assert sorted(r["doc_id"] for r in named.collect()) == [2, 3]
+
+
+def test_entity_filter_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    syllables = ["an", "be", "co", "é", "x", "ta_", "9", "Ü"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    texts = [(i, rng.choice([" ", " - ", "&", "\n"]).join(["common", *(word() for _ in range(rng.randint(0, 12)))])) for i in range(300)]
+    texts += [(900, None), (901, ""), (902, "z" * 30_000), (903, "common&&beco")]
+    names = ["common", "beco", "be - co", "a", "é", "&&", " - ", "", "coan be", "zz", "xé&", "absent words", "9Ü9Ü", "ta_ta_"]
+    corpus = spark.createDataFrame(texts, "doc_id bigint, text string")
+    for name in names:
+        listed = spark.createDataFrame([(name,), (name,)], "entity string")
+        found = entities.texts_with_entities(corpus, listed, "doc_id", "text")
+        assert sorted(r.doc_id for r in found.collect()) == [i for i, t in texts if name and t and name in t], name
+    some = names[1:4] + names[7:]
+    found = entities.texts_with_entities(corpus, spark.createDataFrame([(n,) for n in some], "entity string"), "doc_id", "text")
+    assert sorted(r.doc_id for r in found.collect()) == [i for i, t in texts if any(n and t and n in t for n in some)]
