@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakscope.llm.arrow import list_bounds, small_slices
-from leakscope.llm.common import once, text_or_empty
+from leakscope.llm.common import text_or_empty
 
 END_ID = 2
 #: Ids of a block, a multiple of 64.
@@ -29,7 +30,7 @@ BLOCK_IDS = 4096
 #: A shard is closed at the document that brings it to so many ids.
 SHARD_IDS = 4_000_000
 #: Words whose ids a worker remembers, and as many that it last set aside.
-KNOWN_WORDS = 700_000
+KNOWN_WORDS = 500_000
 
 _MAGIC = b"IDBITS01"
 _HEADER = struct.Struct("<8sIIIIQQ")
@@ -122,7 +123,10 @@ class WordCoder:
     """Ids of texts by a tokenizer that cuts at white space and drops it.
 
     Such a tokenizer gives a text the ids of its white-space words one after another,
-    so each different word is encoded once per batch, by the library, and remembered.
+    so each different word is encoded once, by the library, and remembered. To have
+    fewer different words, ASCII capitals are lowered if the tokenizer does so anyway,
+    and marks that it cuts from the letter before are cut off first. Texts with an
+    added token, in any case, go without that.
     """
 
     def __init__(self, path: str):
@@ -130,12 +134,29 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.added = [x.content.lower() for x in self.whole.get_added_tokens_decoder().values()]
+        normal = self.whole.normalizer
+        capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.lowers = normal is not None and normal.normalize_str(capitals) == capitals.lower()
+        marks = "".join(m for m in ".,;:!?" if self._cuts(m))
+        self.marks = f"([A-Za-z])([{marks}])" if marks else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _cuts(self, mark: str) -> bool:
+        pre = self.whole.pre_tokenizer
+        return pre is not None and all([x for x, _ in pre.pre_tokenize_str("b" + rest)][0] == "b" for rest in (mark, f"{mark}c", f"{mark}{mark}'s"))
+
     def vocabulary(self) -> int:
         return self.whole.get_vocab_size(with_added_tokens=True)
 
+    def _simpler(self, texts: pa.StringArray) -> pa.StringArray:
+        lowered = pc.ascii_lower(texts)
+        if any(pc.any(pc.match_substring(lowered, x)).as_py() for x in self.added):
+            return texts
+        texts = lowered if self.lowers else texts
+        return pc.replace_substring_regex(texts, self.marks, r"\1 \2") if self.marks else texts
+
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of different words; those in use stay remembered."""
         if len(self.known) > KNOWN_WORDS:
@@ -147,13 +168,13 @@ class WordCoder:
                     self.known[word] = self.older[word]
                 else:
                     missing.append(word)
-        for word, found in zip(missing, self.whole.encode_batch(missing, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        for word, found in zip(missing, self.whole.encode_batch_fast(missing, add_special_tokens=False)):
+            self.known[word] = array("I", found.ids).tobytes()
         return [self.known[word] for word in words]
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text begins in them (one bound more than texts)."""
-        lists = pc.ascii_split_whitespace(texts)
+        lists = pc.ascii_split_whitespace(self._simpler(texts))
         coded = lists.flatten().dictionary_encode()
         found = self._ids(coded.dictionary.to_pylist())
         sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
@@ -170,32 +191,21 @@ def word_coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
-def _encoded(path: str, end_id: int, bits: int):
-    kind = "<u2" if bits <= 16 else "<u4"
+def _encoded(batch: pa.RecordBatch, coder: WordCoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the batch's documents, each with its end id, and the bounds between them."""
+    ids, bounds = coder.encode(batch.column("text"))
+    of_doc = np.repeat(np.arange(len(batch)), np.diff(bounds))
+    every = np.empty(len(ids) + len(batch), dtype="<u4")
+    every[np.arange(len(ids)) + of_doc] = ids
+    every[bounds[1:] + np.arange(len(batch))] = end_id
+    return every, bounds + np.arange(len(batch) + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_coder(path)
-        for batch in small_slices(batches):
-            ids, bounds = coder.encode(batch.column("text"))
-            of_doc = np.repeat(np.arange(len(batch)), np.diff(bounds))
-            ends = bounds[1:] + np.arange(len(batch))
-            every = np.empty(len(ids) + len(batch), dtype=kind)
-            every[np.arange(len(ids)) + of_doc] = ids
-            every[ends] = end_id
-            counts = np.diff(bounds) + 1
-            offsets = np.concatenate([[0], np.cumsum(counts)]) * every.itemsize
-            packed = pa.Array.from_buffers(
-                pa.large_binary(), len(batch), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(every)]
-            ).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), packed], ["doc_id", "n_tokens", "ids"])
-
-    return run
 
-
-def _shards(bits: int, block_ids: int, shard_ids: int):
-    kind = "<u2" if bits <= 16 else "<u4"
+def _shards(path: str, end_id: int, bits: int, block_ids: int, shard_ids: int):
+    """Files of this task's documents, in the order they come in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = word_coder(path)
         part, first, held, doc_ids, ids = TaskContext.get().partitionId(), 0, 0, [], []
 
         def closed() -> pa.RecordBatch:
@@ -203,10 +213,11 @@ def _shards(bits: int, block_ids: int, shard_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["shard"])
 
         for batch in small_slices(batches):
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+            every, bounds = _encoded(batch, coder, end_id)
+            for doc_id, low, high in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 doc_ids.append(doc_id)
-                ids.append(np.frombuffer(packed, dtype=kind))
-                held += len(ids[-1])
+                ids.append(every[low:high])
+                held += high - low
                 if held >= shard_ids:
                     yield closed()
                     first, held, doc_ids, ids = first + held, 0, [], []
@@ -235,22 +246,16 @@ def write_token_files(
     bit width and is read from the file where it is left out.
 
     A null or empty text is its end id alone. Rows that share an id are documents of
-    their own, shorter ones first; rows without an id come first. A document lies in
+    their own, in the order of their texts' hashes; rows without an id come first. A document lies in
     one shard, so a very long text makes a large one. An empty table gives no shard.
     """
     if block_ids < 64 or block_ids % 64:
         raise ValueError("block_ids must be a multiple of 64")
     bits = width(vocabulary or word_coder(tokenizer).vocabulary(), end_id)
+    digest = F.xxhash64("text")  # parts rows of one id without carrying texts into the sampled bounds
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"))
-    encoded = once(
-        texts.mapInArrow(_encoded(tokenizer, end_id, bits), "doc_id bigint, n_tokens bigint, ids binary"), "token-ids"
-    )
-    order = ["doc_id", "n_tokens", "ids"]
-    # Digests part rows of one id, without carrying the ids into the sampled bounds.
-    ranged = encoded.repartitionByRange("doc_id", "n_tokens", F.xxhash64("ids")).sortWithinPartitions(
-        "doc_id", "n_tokens", F.xxhash64("ids"), "ids"
-    )
-    shards = ranged.select(*order).mapInArrow(_shards(bits, block_ids, shard_ids), "shard binary")
+    ranged = texts.repartitionByRange("doc_id", digest).sortWithinPartitions("doc_id", digest, "text")
+    shards = ranged.mapInArrow(_shards(tokenizer, end_id, bits, block_ids, shard_ids), "shard binary")
     lines = shards.select(F.col("shard").cast("string").alias("value"))
     lines.write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
