@@ -89,3 +89,12 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 20)]
     found = components(spark.createDataFrame(edges, "a bigint, b bigint"), "test").collect()
     assert {r.node: r.root for r in found} == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(20)}
+
+
+def test_every_different_text_of_a_repeated_id_stays(spark):
+    one, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (1, one), (1, other), (2, "x y z"), (2, None), (2, ""), (None, one), (None, one)]
+    kept = jaccard_join.keep_one(cases.documents(spark, rows))
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(1, one), (1, other), (2, "x y z"), (2, ""), (None, one), (None, one)], key=str)
+    assert kept.columns == cases.documents(spark, rows).columns
