@@ -42,7 +42,7 @@ def _form(word: str) -> int:
             kinds.append(kind)
             last = kind
     total = 14695981039346656037
-    for c in kinds[:8]:
+    for c in kinds:
         total = (total ^ ord(c)) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
     return total
 

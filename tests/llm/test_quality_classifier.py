@@ -52,6 +52,11 @@ def test_awkward_rows(spark):
     assert {r.score for r in q.score(docs, known.limit(0)).collect()} == {0.5}
 
 
+def test_a_form_is_of_the_whole_word():
+    same = "aB1-" * 50
+    assert q._form(same + "x") == q._form(same + "yz") != q._form(same + "7")
+
+
 def test_ratios_and_coordinate_descent():
     counts = {0: np.array([9.0, 0.0]), 1: np.array([0.0, 9.0])}
     ratios = q.log_count_ratios(counts, {0: 9, 1: 9})
