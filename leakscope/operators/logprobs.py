@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope import config
+from leakscope.functions.significance import two_sided_p
 from leakscope.functions.similarity import character_pairs, pair_similarity, share_of_pairs
 from leakscope.operators.scaling import running_sums
 
@@ -348,9 +349,9 @@ def perplexity_outliers(
 
 
 def contrast_significance(scored: DataFrame, left: str, right: str) -> DataFrame:
-    """Welch's t and its degrees of freedom for the log-perplexity of two classes.
+    """Welch's t, its degrees of freedom and two-sided p for the log-perplexity of two classes.
 
-    Both are null where neither class varies or one has fewer than two finite
+    All are null where neither class varies or one has fewer than two finite
     texts; infinite perplexities are counted beside.
     """
     columns = []
@@ -370,4 +371,5 @@ def contrast_significance(scored: DataFrame, left: str, right: str) -> DataFrame
         scored.agg(*columns)
         .withColumn("t_value", F.try_divide(F.col("mean_right") - F.col("mean_left"), F.sqrt(a + b)))
         .withColumn("degrees", F.try_divide((a + b) ** 2, spread))
+        .withColumn("p_value", two_sided_p(F.col("t_value"), F.col("degrees")))
     )

@@ -725,8 +725,13 @@ STATEMENTS: dict[str, str] = {
         WHERE category IN ('known', 'unseen')""",
     "contrast_significance": """
         SELECT n_left, n_right, infinite_left, infinite_right, round(mean_left, 6) AS mean_left, round(mean_right, 6) AS mean_right,
-               round((mean_right - mean_left) / sqrt(a + b), 3) AS t_value,
-               round((a + b) ** 2 / (a ** 2 / (n_left - 1) + b ** 2 / (n_right - 1)), 3) AS degrees
+               round(t, 3) AS t_value, round(df, 3) AS degrees,
+               round(greatest(0.0, 1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * abs(t) / 6000
+                   * list_sum(list_transform(range(0, 2001), lambda i:
+                         CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+                         * (1 + (t * i / 2000) ** 2 / df) ** (-(df + 1) / 2)))), 6) AS p_value
+        FROM (SELECT *, (mean_right - mean_left) / sqrt(a + b) AS t,
+                     (a + b) ** 2 / (a ** 2 / (n_left - 1) + b ** 2 / (n_right - 1)) AS df
         FROM (SELECT *, var_left / n_left AS a, var_right / n_right AS b FROM (
             SELECT count(*) FILTER (category = 'known' AND NOT is_infinite) AS n_left,
                    count(*) FILTER (category = 'unseen' AND NOT is_infinite) AS n_right,
@@ -736,7 +741,7 @@ STATEMENTS: dict[str, str] = {
                    avg(-avg_logprob) FILTER (category = 'unseen' AND NOT is_infinite) AS mean_right,
                    var_samp(-avg_logprob) FILTER (category = 'known' AND NOT is_infinite) AS var_left,
                    var_samp(-avg_logprob) FILTER (category = 'unseen' AND NOT is_infinite) AS var_right
-            FROM text_stats))""",
+            FROM text_stats)))""",
     "cosine_pairs": """
         SELECT item_id, ref_id, round(similarity, 6) + 0.0 AS similarity FROM vector_pairs""",
     "embedding_verdict": """

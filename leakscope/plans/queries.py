@@ -638,6 +638,7 @@ def contrast_significance(spark: SparkSession, sf: str) -> DataFrame:
         r("mean_right").alias("mean_right"),
         r("t_value", 3).alias("t_value"),
         r("degrees", 3).alias("degrees"),
+        r("p_value", 6).alias("p_value"),
     )
 
 

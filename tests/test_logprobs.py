@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from leakscope.functions.significance import two_sided_p
 from leakscope.operators import corpus_lm, logprobs
 
 ROW_1 = [-1.3862943611198906, -2.1972245773362196, -1.2809338454620642, -1.1526795099383855]
@@ -185,7 +186,34 @@ def test_infinite_texts_stay(spark):
 def test_significance_of_classes_that_do_not_vary(spark):
     table = scored(spark, [("a", "x", 2.0), ("b", "x", 2.0), ("c", "y", 4.0), ("d", "y", 4.0), ("e", "y", None)])
     r = logprobs.contrast_significance(table, "x", "y").first()
-    assert (r.n_left, r.n_right, r.infinite_right, r.t_value, r.degrees) == (2, 2, 1, None, None)
+    assert (r.n_left, r.n_right, r.infinite_right, r.t_value, r.degrees, r.p_value) == (2, 2, 1, None, None, None)
+
+
+def _tail(t, degrees):
+    """Two-sided p by Simpson's rule over the density, from 0 to t."""
+    front = math.exp(math.lgamma((degrees + 1) / 2) - math.lgamma(degrees / 2)) / math.sqrt(degrees * math.pi)
+    steps = 20_000
+    inside = sum(
+        (1 if i in (0, steps) else 4 if i % 2 else 2) * math.exp(-(degrees + 1) / 2 * math.log1p((t * i / steps) ** 2 / degrees))
+        for i in range(steps + 1)
+    )
+    return 1 - 2 * front * inside * abs(t) / (3 * steps)
+
+
+def test_two_sided_p(spark):
+    rows = [(t, n) for t in (0.0, 1e-6, -0.3, 1.0, 1.7, -1.8, 2.5, 6.0, 20.0) for n in (1.0, 1.5, 2.0, 3.3, 10.0, 97.4, 1e4, 1e6)]
+    table = spark.createDataFrame([*rows, (None, 3.0), (1.0, None)], "t double, n double")
+    found = table.select("t", "n", two_sided_p(F.col("t"), F.col("n")).alias("p")).collect()
+    for r in found:
+        if r.t is None or r.n is None:
+            assert r.p is None
+        else:
+            assert 0 <= r.p <= 1 and abs(r.p - _tail(r.t, r.n)) < 1e-7, (r.t, r.n, r.p)
+    exact = {(1.0, 1.0): 0.5, (1.0, 2.0): 1 - math.sqrt(1 / 3), (0.0, 10.0): 1.0}
+    assert all(abs(r.p - exact[r.t, r.n]) < 1e-12 for r in found if (r.t, r.n) in exact)
+    for degrees, error in ((1e9, 1e-8), (1e12, 1e-6)):
+        far = spark.range(1).select(two_sided_p(F.lit(1.959963984540054), F.lit(degrees)).alias("p")).first().p
+        assert abs(far - 0.05) < error
 
 
 def test_temperature_zero_keeps_the_likeliest(spark):
