@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope import config
-from leakscope.functions.text import explode_rows, ngram_set, word_tokens
+from leakscope.functions.text import word_tokens
+from leakscope.operators.scaling import lookup_join
 from leakscope.session import stored
 
 # Keeps one gram more where threshold * count is a whole number up to rounding.
 ROUNDING = 1e-9
+# Over so many tasks the rows of one gram or one item are spread.
+SALTS = 16
+# A gram travels as two 64-bit hashes, together its identity.
+GRAM = ["key", "check"]
 
 
 def corpus_contamination(
@@ -25,71 +30,75 @@ def corpus_contamination(
     """Pairs (item, document) where the document holds more than ``threshold`` of
     the item's distinct n-grams.
 
-    Grams that many items and documents share would pair all of them. The exact
-    way out: a document above the threshold must hold at least one of the
-    item's rarest grams, since even all the others together fall short. Only
-    these join; each joined pair is then counted in full, once, at the first
-    rare gram the two share. The corpus is read in one pass, whose hits are stored.
+    Grams are ordered from the rarest to the commonest by the documents that hold
+    them, alike for items and documents. A pair above the threshold needs ``need``
+    grams in common, so its first common one is among the item's rarest, and
+    enough grams follow it on either side. Only such grams join; each pair found is
+    then counted in full, once. All of it travels as rows of two 64-bit hashes,
+    never as strings or lists, and the rows of a hot gram or item are salted. Two
+    grams are taken for the same if all 128 bits agree: among 1e13 grams of a
+    corpus and 1e7 of the items some such error has a chance of about 3e-19.
     """
-    item_grams = _grams(items, item_id, text, n)
-    wanted = item_grams.select("gram").distinct()
-    found = explode_rows(_tokens(corpus, doc_id, text), ngram_set(F.col("tokens"), n), "gram", doc_id)
-    hits = (
-        found.join(wanted, "gram", "left_semi")
-        .groupBy(doc_id)
-        .agg(F.collect_list("gram").alias("doc_grams"))
+    distinct = _grams(items, item_id, text, n).distinct()
+    listed = distinct.withColumn("gram_count", F.count("*").over(Window.partitionBy(item_id)).cast("int"))
+    wanted = distinct.select(*GRAM).distinct()
+    found = _with_salt(_grams(corpus, doc_id, text, n), doc_id).join(
+        _salted(wanted), [*GRAM, "_salt"], "left_semi"
     )
-    hits = stored(hits, "benchmark-grams")
-    frequency = (
-        hits.select(F.explode("doc_grams").alias("gram"))
-        .groupBy("gram")
-        .agg(F.count("*").alias("documents"))
+    hits = stored(found.select(doc_id, *GRAM).distinct(), "benchmark-grams")
+    frequency = hits.groupBy(*GRAM).agg(F.count("*").alias("documents"))
+    common = F.col("gram_count") * threshold
+    ranked_items = _ranked(listed.join(frequency, GRAM), item_id).withColumn(
+        "need", F.floor(common - ROUNDING) + 1
     )
-    rare = _rare_grams(item_grams.join(frequency, "gram"), items, item_id, text, n, threshold)
-    candidates = hits.select(doc_id, "doc_grams", F.explode("doc_grams").alias("gram")).join(
-        rare, "gram"
+    held = lookup_join(hits, frequency, GRAM, "documents", doc_id, complete=lambda part: part)
+    ranked_documents = _ranked(held, doc_id).select(doc_id, *GRAM, F.col("left").alias("doc_left"))
+    first = _salted(ranked_items.where(F.col("left") >= F.col("need")).select(item_id, *GRAM, "need"))
+    candidates = (
+        _with_salt(ranked_documents, doc_id)
+        .join(first, [*GRAM, "_salt"])
+        .where(F.col("doc_left") >= F.col("need"))
+        .select(item_id, doc_id)
+        .distinct()
     )
-    shared_rare = F.array_intersect("rare_grams", "doc_grams")
-    first = F.element_at(shared_rare, 1) == F.col("gram")
-    overlap = F.size(F.array_intersect("item_grams", "doc_grams"))
+    asked = _with_salt(candidates, doc_id).join(_salted(listed), [item_id, "_salt"])
     return (
-        candidates.where(first)
-        .select(item_id, doc_id, overlap.alias("overlap_count"), F.col("gram_count").alias("ref_count"))
+        asked.join(hits, [doc_id, *GRAM])
+        .groupBy(item_id, doc_id)
+        .agg(F.count("*").cast("int").alias("overlap_count"), F.max("gram_count").alias("ref_count"))
         .withColumn("containment", F.col("overlap_count") / F.col("ref_count"))
         .where(F.col("containment") > threshold)
     )
 
 
-def _tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
-    return texts.select(key, word_tokens(F.col(text)).alias("tokens"))
+def _grams(texts: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key column, key, check), one row per gram, repeats included: rows are cheaper to
+    make distinct, once few are left, than the elements of a long array of structs."""
+    tokens = texts.select(key, word_tokens(F.col(text)).alias("_tokens"))
 
+    def hashed(gram: Column) -> Column:
+        return F.struct(F.xxhash64(gram).alias("key"), F.xxhash64(F.lit("check"), gram).alias("check"))
 
-def _grams(texts: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    tokens = _tokens(texts, key, text)
-    return explode_rows(tokens, ngram_set(F.col("tokens"), n), "gram", key)
+    starts = F.sequence(F.lit(1), F.size("_tokens") - F.lit(n - 1))
+    grams = F.transform(F.transform(starts, lambda i: F.slice("_tokens", i, n)), hashed)
+    # No filter by size before: it would be pushed below and cut the text into words again.
+    exploded = tokens.select(key, F.explode_outer(F.when(F.size("_tokens") >= n, grams)).alias("_gram"))
+    return exploded.where(F.col("_gram").isNotNull()).select(key, "_gram.*")
 
 
-def _rare_grams(
-    seen: DataFrame, items: DataFrame, item_id: str, text: str, n: int, threshold: float
-) -> DataFrame:
-    """(gram, item, its rare grams, its seen grams, its gram count), one row per rare gram.
+def _ranked(grams: DataFrame, key: str) -> DataFrame:
+    """With ``left``: how many grams of the same text come at or after each, rarest first."""
+    backwards = Window.partitionBy(key).orderBy(F.desc("documents"), F.desc("key"), F.desc("check"))
+    return grams.withColumn("left", F.row_number().over(backwards))
 
-    Of ``c`` grams a match needs more than ``threshold * c``. Grams outside the
-    corpus cannot help, so leaving out the ``floor(threshold * c)`` commonest
-    seen grams leaves enough to meet every match.
-    """
-    counts = _tokens(items, item_id, text).select(
-        item_id, F.size(ngram_set(F.col("tokens"), n)).alias("gram_count")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("documents", "gram")))
-    per_item = seen.groupBy(item_id).agg(ordered.alias("_seen")).join(counts, item_id)
-    spare = F.floor(F.col("gram_count") * threshold - ROUNDING).cast("int")
-    kept = F.greatest(F.size("_seen") - spare, F.lit(0))
-    return (
-        per_item.withColumn("item_grams", F.col("_seen.gram"))
-        .withColumn("rare_grams", F.slice("item_grams", 1, kept))
-        .select(item_id, "gram_count", "item_grams", "rare_grams", F.explode("rare_grams").alias("gram"))
-    )
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """Each row once per salt; for the side whose size the items bound."""
+    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _with_salt(rows: DataFrame, spread: str) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
 
 
 def strongest_leak(pairs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

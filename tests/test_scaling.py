@@ -65,6 +65,34 @@ def test_contamination_against_brute_force(spark, threshold):
     assert found.count() == len(expected)
 
 
+def test_contamination_with_one_gram_in_all_documents(spark):
+    hot = "all rights reserved"
+    items = [(0, hot), (1, f"{hot} by me"), (2, f"one two three {hot}"), (3, None), (4, "")]
+    docs = [(i, f"p{i} {hot} q{i} {hot}") for i in range(3000)]
+    docs += [(3000, f"One, two three; {hot}!"), (3001, None), (3002, ""), (3003, "two"), (3004, "x y z " * 20_000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = contamination.corpus_contamination(
+            spark.createDataFrame(items, "item_id bigint, text string"),
+            spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4),
+            n=3,
+        )
+        got = {(r["item_id"], r["doc_id"]): (r["overlap_count"], r["ref_count"]) for r in found.collect()}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    expected = {}
+    for i, item in items[:3]:
+        for d, doc in docs:
+            mine = grams(item, 3)
+            both = len(mine & grams((doc or "").lower().replace(",", "").replace(";", "").replace("!", ""), 3))
+            if both / len(mine) > 0.3:
+                expected[i, d] = (both, len(mine))
+    assert got == expected and len(got) == 3001 * 2 + 1
+    assert "collect_list" not in plan and "array_join" not in plan
+
+
 def test_nearest_vectors_against_brute_force(spark):
     import numpy as np
 
