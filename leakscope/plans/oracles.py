@@ -428,6 +428,75 @@ FRAGMENTS: dict[str, str] = {
 }
 
 
+def _solved(sums: str, size: int, step: int) -> dict[str, str]:
+    """Fragments that bring the equations ``m{row}{column}`` of one row to the diagonal."""
+    found, before = {}, sums
+    for k in range(size):
+        cells = []
+        for i in range(size):
+            for j in range(size + 1):
+                top = f"m{k}{j} / m{k}{k}"
+                cells.append((top if i == k else f"m{i}{j} - m{i}{k} * ({top})") + f" AS m{i}{j}")
+        before, old = f"member_pivot{step}_{k}", before
+        found[before] = f"SELECT {', '.join(cells)} FROM {old}"
+    return found
+
+
+def _member_fit(features: list[str], steps: int, ridge: float) -> dict[str, str]:
+    """Steps of a logistic fit of ``y`` in member_features, from zero; the last gives member_fit."""
+    size = len(features) + 1
+    scaled = ", ".join(
+        f"CASE WHEN sd{i} > 0 THEN ({f} - mean{i}) / sd{i} ELSE 0.0 END AS x{i}" for i, f in enumerate(features, 1)
+    )
+    moments = ", ".join(f"avg({f}) AS mean{i}, stddev_pop({f}) AS sd{i}" for i, f in enumerate(features, 1))
+    eta = " + ".join(f"b{i} * x{i}" for i in range(size))
+    found = {
+        "member_moments": f"SELECT {moments} FROM member_features",
+        "member_inputs": f"SELECT text_id, y, 1.0::DOUBLE AS x0, {scaled} FROM member_features, member_moments",
+        "member_weights0": "SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(size)),
+    }
+    for step in range(1, steps + 1):
+        cells = []
+        for i in range(size):
+            for j in range(size):
+                own = f" + {ridge}" if i == j else ""
+                cells.append(f"sum(p * (1 - p) * x{i} * x{j}){own} AS m{i}{j}")
+            cells.append(f"sum((y - p) * x{i}) - {ridge} * any_value(b{i}) AS m{i}{size}")
+        found[f"member_sums{step}"] = (
+            f"SELECT {', '.join(cells)} FROM (SELECT *, 1 / (1 + exp(-({eta}))) AS p "
+            f"FROM member_inputs, member_weights{step - 1})"
+        )
+        found |= _solved(f"member_sums{step}", size, step)
+        new = ", ".join(f"b{i} + m{i}{size} AS b{i}" for i in range(size))
+        found[f"member_weights{step}"] = (
+            f"SELECT {new} FROM member_weights{step - 1}, member_pivot{step}_{size - 1}"
+        )
+    found["member_fit"] = (
+        f"SELECT text_id, y, 1 / (1 + exp(-({eta}))) AS p FROM member_inputs, member_weights{steps}"
+    )
+    return found
+
+
+FRAGMENTS |= {
+    "member_words": f"""
+        SELECT text_id, regexp_extract_all(lower(text), '{WORD}') AS t
+        FROM texts WHERE category IN ('corpus', 'unseen')""",
+    "member_grams": _gram_rows("text_id", "member_words", 8),
+    "member_leaks": """
+        SELECT text_id, max(c) AS leak
+        FROM (SELECT item_id, text_id, count(*)::DOUBLE / any_value(total) AS c
+              FROM item_grams JOIN member_grams USING (gram)
+              JOIN (SELECT item_id, count(*) AS total FROM item_grams GROUP BY item_id) USING (item_id)
+              GROUP BY item_id, text_id)
+        WHERE c > 0.3 GROUP BY text_id""",
+    "member_features": """
+        SELECT text_id, (category = 'corpus')::INTEGER AS y, avg_logprob AS lp,
+               coalesce(leak, 0.0) AS leak, ln(1 + token_count) AS tokens
+        FROM text_stats LEFT JOIN member_leaks USING (text_id)
+        WHERE category IN ('corpus', 'unseen')""",
+} | _member_fit(["lp", "leak", "tokens"], 8, 1.0)
+
+
 def compose(statement: str) -> str:
     """The statement behind a WITH clause of the fragments it needs."""
     needed: list[str] = []
@@ -911,6 +980,9 @@ STATEMENTS: dict[str, str] = {
               FROM (SELECT *, coalesce(1 / perplexity, 0.0) AS likelihood FROM text_stats) f JOIN labels l ON f.text_id = 'd' || l.doc_id
               CROSS JOIN (SELECT unnest([0.0005::DOUBLE, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05]) AS threshold)
               GROUP BY f.lang, threshold)""",
+    "membership_scores": """
+        SELECT text_id, y AS is_member, round(p, 4) + 0.0 AS membership, (p > 0.5)::INTEGER AS prediction
+        FROM member_fit""",
 }
 
 ORACLES: dict[str, str] = {name: compose(sql) for name, sql in STATEMENTS.items()}

@@ -1021,14 +1021,17 @@ def calibrated_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def membership_scores(spark: SparkSession, sf: str) -> DataFrame:
-    leaks = contamination.strongest_leak(_contaminated(spark, sf))
+    """Documents, which the model is counted on, against conversations, which it never saw."""
+    chosen = inputs.texts(spark, sf, "corpus", "unseen")
+    benchmark = read_table(spark, sf, "benchmark")
+    pairs = contamination.corpus_contamination(benchmark, chosen, doc_id="text_id")
     features = (
-        _likelihoods(spark, sf)
-        .join(leaks, "doc_id", "left")
-        .join(read_table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-        .withColumn("log_tokens", F.ln("token_count"))
+        inputs.scored_texts(spark, sf, "corpus", "unseen")
+        .join(contamination.strongest_leak(pairs, "text_id"), "text_id", "left")
+        .withColumn("log_tokens", F.log1p("token_count"))
+        .withColumn("is_member", (F.col("category") == "corpus").cast("int"))
     )
     scored = membership.membership_scores(
-        features, "doc_id", ["avg_logprob", "leak_score", "log_tokens"], "quality"
+        features, "text_id", ["avg_logprob", "leak_score", "log_tokens"], "is_member"
     )
     return scored.withColumn("membership", r("membership", 4))
