@@ -361,6 +361,22 @@ FRAGMENTS: dict[str, str] = {
                CASE WHEN count(error) = count(*) THEN min(error) END AS error,
                count(*) AS outputs, count(error) AS failed
         FROM detections GROUP BY item_id, method""",
+    "strongest": """
+        SELECT item_id, arg_max(response_id, struct_pack(s := score, r := response_id)) AS shown
+        FROM ngram_scores GROUP BY item_id""",
+    "details": """
+        SELECT item_id, 'perplexity' AS method, count(*) AS detail_entries, sum(logprob) AS total,
+               avg(logprob) FILTER (option_idx <> correct_idx) AS baseline, NULL::VARCHAR AS answers,
+               NULL::VARCHAR AS shown, 1 AS kept_details
+        FROM option_scores GROUP BY item_id
+        UNION ALL SELECT item_id, 'ngram', count(*) FILTER (response_id = shown),
+               sum(best) FILTER (response_id = shown), NULL, NULL, any_value(shown), count(DISTINCT response_id)
+        FROM by_size JOIN strongest USING (item_id) GROUP BY item_id
+        UNION ALL SELECT item_id, 'embedding', count(*), sum(similarity), NULL, NULL, NULL, 1
+        FROM vector_pairs GROUP BY item_id
+        UNION ALL SELECT item_id, 'consistency', count(*), sum(modified_idx), NULL,
+               string_agg(letter, ',' ORDER BY trial), NULL, 1
+        FROM mapped GROUP BY item_id""",
     "verdicts": """
         SELECT m.item_id, m.question, coalesce(avg(score), 0.0) AS score,
                count_if(flag) * 2 >= count(flag) AND count(flag) > 0 AS flag
@@ -569,23 +585,29 @@ STATEMENTS: dict[str, str] = {
                CASE WHEN item_id % 2 = 0 OR kind < 3 THEN correct_idx ELSE -1 END AS correct_idx
         FROM raw_questions""",
     "result_documents": """
-        SELECT 'q' || d.item_id AS id, method, CASE WHEN error IS NULL
+        SELECT 'q' || d.item_id AS id, d.method, CASE WHEN error IS NULL
                    THEN round(d.score, 6) + 0.0 END AS memorization_score,
                CASE WHEN error IS NULL AND d.flag THEN 'true' WHEN error IS NULL THEN 'false'
                     ELSE 'none' END AS is_memorized, error, outputs, failed,
+               detail_entries, round(x.total, 6) + 0.0 AS detail_total,
+               round(x.baseline, 6) + 0.0 AS detail_baseline, x.answers AS detail_answers, shown,
                round(v.score, 6) + 0.0 AS aggregate_score, v.flag AS verdict
-        FROM method_votes d JOIN verdicts v ON v.item_id = d.item_id""",
+        FROM method_votes d JOIN verdicts v ON v.item_id = d.item_id
+        LEFT JOIN details x ON x.item_id = d.item_id AND x.method = d.method""",
     "results_roundtrip": """
-        SELECT 'q' || d.item_id AS id, method, CASE WHEN error IS NULL
+        SELECT 'q' || d.item_id AS id, d.method, CASE WHEN error IS NULL
                    THEN round(d.score, 6) + 0.0 END AS memorization_score,
                CASE WHEN error IS NULL AND d.flag THEN 'true' WHEN error IS NULL THEN 'false'
                     ELSE 'none' END AS is_memorized,
                CASE WHEN error IS NULL THEN round(d.score, 6) + 0.0 END AS rescored, outputs, failed,
+               detail_entries, round(x.total, 6) + 0.0 AS detail_total,
+               round(x.baseline, 6) + 0.0 AS detail_baseline, x.answers AS detail_answers, shown, kept_details,
                round(v.score, 6) + 0.0 AS aggregate_score, v.flag AS verdict,
-               CASE method WHEN 'perplexity' THEN 1.5::DOUBLE WHEN 'ngram' THEN 0.3::DOUBLE
+               CASE d.method WHEN 'perplexity' THEN 1.5::DOUBLE WHEN 'ngram' THEN 0.3::DOUBLE
                            WHEN 'embedding' THEN 0.35::DOUBLE ELSE 0.7::DOUBLE END AS threshold,
                'example-model' AS model, (SELECT count(*) FROM mcq) AS num_examples, 4::BIGINT AS n_methods
-        FROM method_votes d JOIN verdicts v ON v.item_id = d.item_id""",
+        FROM method_votes d JOIN verdicts v ON v.item_id = d.item_id
+        LEFT JOIN details x ON x.item_id = d.item_id AND x.method = d.method""",
     "chat_logprob_requests": """
         SELECT r.item_id, o AS part,
                json_object('model', 'example-model', 'messages', json_array(json_object(

@@ -14,6 +14,7 @@ from leakscope.operators import (
     contamination,
     corpus_lm,
     dedup,
+    detail,
     embeddings,
     entities,
     logprobs,
@@ -111,7 +112,39 @@ def _stored_detections(spark: SparkSession, sf: str) -> DataFrame:
 def _documents_of_run(spark: SparkSession, sf: str) -> DataFrame:
     per_method = stored(verdict.method_verdicts(_stored_detections(spark, sf)), "method-verdicts")
     verdicts = verdict.aggregate_verdict(inputs.mcq(spark, sf), per_method)
-    return results.result_documents(_items_with_records(spark, sf), per_method, verdicts)
+    detailed = detail.with_detail(per_method, _stored_detections(spark, sf), _stored_details(spark, sf))
+    return results.result_documents(_items_with_records(spark, sf), detailed, verdicts)
+
+
+@planned_once
+def _stored_details(spark: SparkSession, sf: str) -> DataFrame:
+    by_size = ngrams.ngram_by_size(_overlaps(spark, sf), OUTPUT)
+    parts = {
+        "perplexity": detail.option_detail(inputs.option_scores(spark, sf)),
+        "ngram": detail.size_detail(by_size, OUTPUT),
+        "embedding": detail.similarity_detail(inputs.vector_similarities(spark, sf)),
+        "consistency": detail.trial_detail(_mapped(spark, sf)),
+    }
+    return stored(detail.method_details(parts), "method-details")
+
+
+def _detail_columns() -> list[Column]:
+    """A detail as numbers: how many entries, their total, the baseline, the trials' letters."""
+    one = F.col("detail")
+    values = F.coalesce(
+        one["option_logprobs"],
+        one["sizes"]["max_overlap_ratio"],
+        one["similarities"],
+        F.transform(one["trials"]["modified_idx"], lambda i: i.cast("double")),
+    )
+    total = F.aggregate(values, F.lit(0.0), lambda total, value: total + value)
+    return [
+        F.when(one.isNotNull(), big(F.size(values))).alias("detail_entries"),
+        r(total).alias("detail_total"),
+        r(one["baseline"]).alias("detail_baseline"),
+        F.array_join(one["trials"]["modified_answer"], ",").alias("detail_answers"),
+        "shown",
+    ]
 
 
 @query
@@ -124,6 +157,7 @@ def result_documents(spark: SparkSession, sf: str) -> DataFrame:
         "error",
         "outputs",
         "failed",
+        *_detail_columns(),
         r("aggregate_score").alias("aggregate_score"),
         "verdict",
     )
@@ -138,10 +172,15 @@ def results_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     )
     results.write_run(documents, metadata, path)
     results.write_detections(_stored_detections(spark, sf), path)
+    results.write_details(_stored_details(spark, sf), path)
+    kept = results.read_details(spark, path).groupBy("item_id", "method").agg(F.count("*").alias("kept_details"))
     again = verdict.method_verdicts(results.read_detections(spark, path)).select(
         F.concat(F.lit("q"), F.col("item_id")).alias("id"), "method", F.col("memorization_score").alias("rescored")
     )
-    back = results.flatten_documents(results.read_run(spark, path)).join(again, ["id", "method"], "left")
+    kept = kept.select(F.concat(F.lit("q"), F.col("item_id")).alias("id"), "method", "kept_details")
+    back = results.flatten_documents(results.read_run(spark, path)).join(again, ["id", "method"], "left").join(
+        kept, ["id", "method"], "left"
+    )
     run = results.read_metadata(spark, path).select(F.struct("model", "num_examples", F.size("methods").alias("n"))).scalar()
     return back.withColumn("_run", run).select(
         "id",
@@ -154,6 +193,8 @@ def results_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         "threshold",
         "outputs",
         "failed",
+        *_detail_columns(),
+        "kept_details",
         F.col("_run.model").alias("model"),
         F.col("_run.num_examples").alias("num_examples"),
         big("_run.n").alias("n_methods"),

@@ -23,9 +23,23 @@ DETECTIONS = (
     "is_memorized boolean, threshold double, error string"
 )
 
+SIZES = "array<struct<n: int, references: bigint, max_overlap_ratio: double>>"
+
+TRIALS = (
+    "array<struct<trial: int, modification_type: string, modified_answer: string, modified_idx: int>>"
+)
+
+METHOD_DETAIL = (
+    "struct<option_logprobs: array<double>, baseline: double, "
+    f"sizes: {SIZES}, similarities: array<double>, trials: {TRIALS}>"
+)
+
+DETAILS = f"item_id bigint, response_id string, method string, detail {METHOD_DETAIL}"
+
 DETECTION_DETAIL = (
     "struct<method: string, memorization_score: double, is_memorized: boolean, "
-    "threshold: double, error: string, outputs: bigint, failed: bigint>"
+    "threshold: double, error: string, outputs: bigint, failed: bigint, "
+    f"shown: string, detail: {METHOD_DETAIL}>"
 )
 
 RESULT_DOCUMENT = (

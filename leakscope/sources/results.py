@@ -12,15 +12,16 @@ def result_documents(items: DataFrame, per_method: DataFrame, verdicts: DataFram
     """One nested document per item.
 
     ``items`` has item_id, id, question, options and correct_answer. An item has
-    one verdict per method, so its map holds a handful of entries; the detections
-    of single outputs are any number and go to a table of their own
-    (:func:`write_detections`).
+    one verdict per method, so its map holds a handful of entries, each with what the
+    method judged by (:func:`leakscope.operators.detail.with_detail`); the detections
+    and details of single outputs are any number and go to tables of their own
+    (:func:`write_detections`, :func:`write_details`).
     """
-    detail = F.struct(
-        "method", "memorization_score", "is_memorized", "threshold", "error", "outputs", "failed"
+    entry = F.struct(
+        "method", "memorization_score", "is_memorized", "threshold", "error", "outputs", "failed", "shown", "detail"
     )
     per_item = per_method.groupBy("item_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("method"), detail))).alias(
+        F.map_from_entries(F.collect_list(F.struct(F.col("method"), entry))).alias(
             "detection_results"
         )
     )
@@ -56,6 +57,8 @@ def flatten_documents(documents: DataFrame) -> DataFrame:
         F.col("_d.error").alias("error"),
         F.col("_d.outputs").alias("outputs"),
         F.col("_d.failed").alias("failed"),
+        F.col("_d.shown").alias("shown"),
+        F.col("_d.detail").alias("detail"),
         "aggregate_score",
         "verdict",
     )
@@ -88,6 +91,15 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.DETECTIONS).json(f"{path}/detections")
 
 
+def write_details(details: DataFrame, path: str) -> None:
+    """What single outputs were judged by, as JSON lines beside the results."""
+    details.write.mode("errorifexists").json(f"{path}/details")
+
+
+def read_details(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.DETAILS).json(f"{path}/details")
+
+
 def read_run(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RESULT_DOCUMENT).json(f"{path}/results")
 

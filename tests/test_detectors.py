@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from leakscope.operators import consistency, embeddings, entities, logprobs, ngrams, prompts, tabular, verdict
+from leakscope.operators import consistency, detail, embeddings, entities, logprobs, ngrams, prompts, tabular, verdict
 from leakscope.operators.membership import membership_scores
 from leakscope.plans import queries
 
@@ -238,6 +238,28 @@ def test_combined_confidence_counts_only_fired(spark):
     assert rows == {1: (0.6, True), 2: (0.0, False)}
 
 
+def test_details_follow_the_strongest_output(spark):
+    scores = [(1, "a", "ngram", 0.2), (1, "b", "ngram", 0.5), (1, "c", "ngram", 0.5), (1, "d", "ngram", None), (2, "e", "ngram", None), (1, None, "perplexity", 1.0)]
+    found = spark.createDataFrame(scores, "item_id bigint, response_id string, method string, memorization_score double")
+    sizes = [(1, r, n, 4, n / 10) for r in "abc" for n in (3, 2)]
+    by_size = spark.createDataFrame(sizes, "item_id bigint, response_id string, n int, references bigint, max_overlap_ratio double")
+    options = [(1, 2, 0, -3.0), (1, 0, 0, -1.0), (1, 1, 0, -2.0), (3, 0, None, -1.0)]
+    details = detail.method_details(
+        {
+            "ngram": detail.size_detail(by_size, ("response_id",)),
+            "perplexity": detail.option_detail(spark.createDataFrame(options, "item_id bigint, option_idx int, correct_idx int, logprob double")),
+        }
+    )
+    per_method = found.select("item_id", "method").distinct()
+    rows = {(r["item_id"], r["method"]): r for r in detail.with_detail(per_method, found, details).collect()}
+    assert rows[1, "ngram"]["shown"] == "c" and [s["n"] for s in rows[1, "ngram"]["detail"]["sizes"]] == [2, 3]
+    assert rows[2, "ngram"]["shown"] is None and rows[2, "ngram"]["detail"] is None
+    one = rows[1, "perplexity"]
+    assert (one["shown"], one["detail"]["option_logprobs"], one["detail"]["baseline"]) == (None, [-1.0, -2.0, -3.0], -2.5)
+    assert one["detail"]["sizes"] is None and len(rows) == 3
+    assert detail.with_detail(per_method.limit(0), found.limit(0), details.limit(0)).collect() == []
+
+
 def test_membership_separates_clear_classes(spark):
     rows = [(i, float(i), 1 if i > 20 else 0) for i in range(40)] + [(99, 39.0, None)]
     table = spark.createDataFrame(rows, "id bigint, f double, y int")
