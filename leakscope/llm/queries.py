@@ -151,7 +151,8 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    cut = line_dedup.deduplicate(table(spark, sf, "documents"))
+    """Near copies of all non-blank lines, however short."""
+    cut = line_dedup.deduplicate(table(spark, sf, "documents"), near_chars=1)
     return cut.select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_exact", "n_near", F.md5("kept_text").alias("kept_md5")
     )

@@ -1,8 +1,12 @@
 import cases
 import corpus_pipeline
+import duckdb
+import oracle
 import pytest
 
 from leakscope.llm import line_dedup
+from leakscope.llm.oracles import ORACLES
+from leakscope.llm.queries import op7_line_dedup
 
 
 def within_one_edit(a, b):
@@ -102,3 +106,14 @@ def test_near_copies_of_any_length_by_parameter(spark):
     got = {(r.doc, r.position): (r.kind, (r.first_doc, r.first_position)) for r in found.collect()}
     kept = [(d, t.replace("\n \n", "\n\n") if t else t) for d, t in rows]  # blank lines are no copies
     assert got == brute(kept, 1)
+
+
+def test_query_and_sql_take_near_copies_of_short_lines(spark, tmp_path):
+    rows = [(1, "abcdef\nOf.\nx"), (2, "abcdeg\nOn.\n\n \t"), (3, "abcde\nabcdef\nlonger than eight"), (4, "longer than eigh\n7777777"), (5, "y\n777777"), (6, None)]
+    cases.documents(spark, rows).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    found = op7_line_dedup(spark, str(tmp_path))
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near) for r in found.collect()}
+    assert got == {1: (3, 0, 0), 2: (4, 0, 2), 3: (3, 1, 1), 4: (2, 0, 1), 5: (2, 0, 2), 6: (1, 0, 0)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.difference(found, con, ORACLES["op7_line_dedup"]) is None
