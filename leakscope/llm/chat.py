@@ -1,9 +1,10 @@
 """Chat formatting: every assistant turn becomes an example of its own.
 
 The context of an example is all that comes before its reply, so the examples of
-a conversation are prefixes of one formatted transcript. The transcript is kept
-once, a row per turn, and an example is a span of it: its output does not grow
-with the square of a conversation, and no task holds a whole one.
+a conversation are prefixes of one formatted transcript. The transcript has a row
+per turn, and every turn is exploded into the examples that hold it: an example is
+its rows in order, of which only the reply is under the loss mask. No task holds a
+whole conversation or example.
 """
 
 from __future__ import annotations
@@ -43,11 +44,13 @@ def _unescaped_role(role: Column) -> Column:
 def format_turns(
     conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """One row per turn: conv_id, position, segment, start, reply_start, reply_chars.
+    """One row per turn: conv_id, position, segment, start, reply_start, reply_chars, example, examples.
 
     The segments of a conversation by position are its transcript; ``start`` counts
     its characters before the segment. ``reply_start`` and ``reply_chars`` place the
     reply of an assistant turn in the transcript and are null for other turns.
+    ``example`` is the first example that holds the turn, of ``examples`` in all,
+    counted from 0; it equals their number after the last reply.
 
     Turns are ordered by turn (null first), role and text; repeated rows are turns
     of their own. Null roles and texts are empty, a null conv_id is a conversation.
@@ -70,18 +73,25 @@ def format_turns(
         formed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "turns"
     )
     chars = F.length("segment").cast("bigint")
-    totals = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum(chars).alias("chars"))
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    trained = F.col("role") == TRAINED
+    totals = ranged.groupBy("conv_id", "part").agg(
+        F.count("*").alias("n"), F.sum(chars).alias("chars"), F.count_if(trained).alias("replies")
+    )
+    conversation = Window.partitionBy("conv_id")
+    before = conversation.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = totals.select(
         F.col("conv_id").alias("of_conv"),
         F.col("part").alias("of_part"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("turns_before"),
         F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"),
+        F.coalesce(F.sum("replies").over(before), F.lit(0)).alias("replies_before"),
+        F.sum("replies").over(conversation).alias("examples"),
     )
     placed = ranged.join(parts, F.expr("conv_id <=> of_conv AND part = of_part"))
     within = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
-    start = F.col("chars_before") + F.sum(chars).over(within.rowsBetween(Window.unboundedPreceding, 0)) - chars
-    trained = F.col("role") == TRAINED
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("chars_before") + F.sum(chars).over(upto) - chars
+    replied = F.col("replies_before") + F.count_if(trained).over(upto) - trained.cast("bigint")
     return placed.select(
         "conv_id",
         (F.col("turns_before") + F.row_number().over(within) - 1).cast("bigint").alias("position"),
@@ -89,6 +99,31 @@ def format_turns(
         start.cast("bigint").alias("start"),
         F.when(trained, (start + F.col("head_chars")).cast("bigint")).alias("reply_start"),
         F.when(trained, F.col("body_chars").cast("bigint")).alias("reply_chars"),
+        replied.cast("bigint").alias("example"),
+        "examples",
+    )
+
+
+def explode_examples(turns: DataFrame) -> DataFrame:
+    """One row per example and turn in it: conv_id, example, is_last, position, segment, mask_start, mask_chars.
+
+    The segments of an example by position are its text. The loss mask covers
+    ``mask_chars`` characters of a segment from ``mask_start`` on, counted from 1: the
+    example's own reply, which ends it. Both are null for its context, earlier replies
+    too. ``is_last`` marks the longest example of a conversation. The turns after the
+    last reply are in no example; they come once, with a null example.
+    """
+    of_turn = F.when(F.col("example") < F.col("examples"), F.sequence("example", F.col("examples") - 1))
+    exploded = turns.select("*", F.explode_outer(of_turn).alias("of")).withColumnsRenamed({"example": "own", "of": "example"})
+    masked = F.col("reply_start").isNotNull() & (F.col("example") == F.col("own"))
+    return exploded.select(
+        "conv_id",
+        "example",
+        F.coalesce(F.col("example") == F.col("examples") - 1, F.lit(False)).alias("is_last"),
+        "position",
+        "segment",
+        F.when(masked, F.col("reply_start") - F.col("start") + 1).alias("mask_start"),
+        F.when(masked, F.col("reply_chars")).alias("mask_chars"),
     )
 
 
@@ -116,51 +151,54 @@ def example_texts(turns: DataFrame) -> DataFrame:
     return met.groupBy("conv_id", F.col("target").alias("position"), "context_chars", "reply_chars").agg(whole.alias("text"))
 
 
-def parse_segments(turns: DataFrame) -> DataFrame:
-    """conv_id, position, role, text, reply, chars, example_chars, read back from the segments.
+def parse_examples(exploded: DataFrame) -> DataFrame:
+    """conv_id, example, is_last, position, role, text and reply, read back from the examples.
 
-    ``reply`` is the text under the loss mask, cut out by its span, and
-    ``example_chars`` the length of the turn's example; both are else null.
+    ``reply`` is the text under the loss mask, cut out by it, else null.
     """
     inner = F.substring("segment", F.lit(len(OPEN) + 1), F.length("segment") - len(OPEN) - len(CLOSE))
     line_end = F.locate("\n", inner)
-    return turns.select(
+    return exploded.select(
         "conv_id",
+        "example",
+        "is_last",
         "position",
         _unescaped_role(F.substring(inner, F.lit(1), line_end - 1)).alias("role"),
         unescaped(F.substring(inner, line_end + 1, F.length(inner))).alias("text"),
-        unescaped(F.substring("segment", F.col("reply_start") - F.col("start") + 1, F.col("reply_chars"))).alias("reply"),
-        F.length("segment").cast("bigint").alias("chars"),
-        F.when(F.col("reply_start").isNotNull(), F.col("start") + F.length("segment")).alias("example_chars"),
+        unescaped(F.substring("segment", F.col("mask_start"), F.col("mask_chars"))).alias("reply"),
     )
 
 
 def digests(turns: DataFrame) -> DataFrame:
     """Per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    ``turns_sha256`` runs over role, line end, text and line end of every turn,
-    ``loss_sha256`` over the text under the loss mask. ``formatted_chars`` adds up
-    the examples and, once, what follows the last reply. The hashes need the turns
-    in order; they are streamed, so memory holds one batch of them.
+    The examples are written out and read back. ``turns_sha256`` runs over role, line
+    end, text and line end of every turn of the longest example and of what follows
+    it, ``loss_sha256`` over the text under the loss masks of all examples.
+    ``formatted_chars`` adds up the examples and, once, what follows the last reply.
+    The hashes need the turns in order; they are streamed, so memory holds one batch
+    of them.
     """
-    ordered = parse_segments(turns).repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return ordered.mapInArrow(_digested, schema)
+    exploded = once(explode_examples(turns), "examples")
+    sizes = exploded.groupBy(F.col("conv_id").alias("of_conv")).agg(F.sum(F.length("segment")).cast("bigint").alias("formatted_chars"))
+    in_order = exploded.where("example IS NULL OR is_last OR mask_start IS NOT NULL")
+    ordered = parse_examples(in_order).repartition("conv_id").sortWithinPartitions("conv_id", "position", "is_last")
+    hashed = ordered.mapInArrow(_digested, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string")
+    return hashed.join(sizes, F.expr("conv_id <=> of_conv")).drop("of_conv")
 
 
 class _Digest:
     def __init__(self, conv_id: int | None):
-        self.conv_id, self.turns, self.loss_chars, self.formed, self.rest = conv_id, 0, 0, 0, 0
+        self.conv_id, self.turns, self.loss_chars = conv_id, 0, 0
         self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def add(self, row: dict) -> None:
-        self.turns += 1
-        self.whole.update(f"{row['role']}\n{row['text']}\n".encode("utf-8", "surrogatepass"))
-        self.rest += row["chars"]
+        if row["is_last"] or row["example"] is None:
+            self.turns += 1
+            self.whole.update(f"{row['role']}\n{row['text']}\n".encode("utf-8", "surrogatepass"))
         if row["reply"] is not None:
             self.loss.update(row["reply"].encode("utf-8", "surrogatepass"))
             self.loss_chars += len(row["reply"])
-            self.formed, self.rest = self.formed + row["example_chars"], 0
 
     def row(self) -> dict:
         return {
@@ -169,12 +207,11 @@ class _Digest:
             "turns_sha256": self.whole.hexdigest(),
             "loss_chars": self.loss_chars,
             "loss_sha256": self.loss.hexdigest(),
-            "formatted_chars": self.formed + self.rest,
         }
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    kinds = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())])
     now: _Digest | None = None
     for batch in small_slices(batches):
         done = []

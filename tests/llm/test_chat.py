@@ -71,3 +71,21 @@ def test_long_conversation_and_empty_table(spark):
     r = chat.digests(chat.format_turns(table(spark, rows))).first()
     assert r.n_turns == 2000 and r.turns_sha256 == sha("".join(f"{role}\n{t}\n" for _, _, role, t in rows))
     assert chat.digests(chat.format_turns(table(spark, []))).count() == 0
+
+
+def test_every_reply_explodes_into_an_example_read_back(spark):
+    turns = chat.format_turns(table(spark, ROWS).repartition(3))
+    rows = chat.explode_examples(turns).collect()
+    texts = defaultdict(list)
+    for r in sorted((r for r in rows if r.example is not None), key=lambda r: r.position):
+        texts[r.conv_id, r.example].append(r)
+    whole = {(r.conv_id, r.position): r.text for r in chat.example_texts(turns).collect()}
+    assert {(c, e[-1].position): "".join(r.segment for r in e) for (c, _), e in texts.items()} == whole
+    for example in texts.values():
+        masks = [r.mask_chars for r in example]
+        assert masks[-1] is not None and masks[:-1] == [None] * (len(example) - 1)
+    rest = sorted((r.conv_id, r.position) for r in rows if r.example is None)
+    assert rest == [(1, 5), (2, 0), (2, 1), (2, 2), (2, 3), (4, 0)]
+    read = chat.parse_examples(chat.explode_examples(turns)).where("reply IS NOT NULL").collect()
+    assert sorted(r.reply for r in read) == ["", HOSTILE, "only", "y\n"]
+    assert any("leakscope-llm-examples-" in path for path in chat.digests(turns).inputFiles())
