@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leakscope.operators.scaling import probably_in  # noqa: F401
 from leakscope.session import stored
 
 # A word is a run of anything but these six characters.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 LAST_ID = 2**63 - 1
-# Bits of a filter's bitmap: 2 MB, however many keys it marks.
-FILTER_BITS = 2**24
 
 
 def text_or_empty(text: str | Column) -> Column:
@@ -61,34 +60,6 @@ def once(table: DataFrame, name: str) -> DataFrame:
     return stored(table, f"llm-{name}")
 
 
-def probably_in(keys: DataFrame, column: str):
-    """A test that no key of the table fails, and few others pass while the keys are few.
-
-    For rows to be left out before a join shuffles them; the join then decides. The
-    keys' hashes are gathered as a bitmap of fixed size, a scalar subquery that all
-    tasks read. Returns a function from a key column to a condition.
-    """
-
-    def place(key: Column) -> Column:
-        return F.xxhash64(key).bitwiseAND(F.lit(FILTER_BITS - 1))
-
-    def bit(key: Column) -> Column:
-        return place(key).bitwiseAND(F.lit(63)).cast("int")
-
-    words = keys.groupBy(F.shiftright(place(F.col(column)), 6).alias("id")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col(column)))).alias("bits")
-    )
-    every = keys.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left")
-    numbers = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits"))))
-    bitmap = every.agg(F.transform(numbers, lambda n: n["bits"])).scalar()
-
-    def test(key: Column) -> Column:
-        word = F.get(bitmap, F.shiftright(place(key), 6).cast("int"))
-        return F.call_function("shiftright", word, bit(key)).bitwiseAND(F.lit(1)) == 1
-
-    return test
-
-
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node and root, the smallest node of its connected component.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscope import config
 from leakscope.functions.text import word_tokens
-from leakscope.operators.scaling import lookup_join
+from leakscope.operators.scaling import HOT_SHARE, SALTS, lookup_join, probably_in
 from leakscope.session import stored
 
 
@@ -37,7 +37,7 @@ def rule_logprob_by_class(token: Column) -> Column:
 def token_rows(sequences: DataFrame, seq_id: str, tokens: Column) -> DataFrame:
     """(seq_id, pos, prev, token) of token arrays; prev is null at position 0."""
     stored_tokens = sequences.select(seq_id, tokens.alias("_tokens"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_tokens"))
+    before = F.concat(F.array(F.lit(None)), F.col("_tokens"))
     linked = F.arrays_zip(before.alias("prev"), F.col("_tokens").alias("token"))
     exploded = stored_tokens.select(seq_id, F.posexplode_outer(linked).alias("pos", "_t"))
     return exploded.where(F.col("_t.token").isNotNull()).select(seq_id, "pos", "_t.prev", "_t.token")
@@ -47,17 +47,32 @@ def text_token_rows(texts: DataFrame, seq_id: str, text: str) -> DataFrame:
     return token_rows(texts, seq_id, word_tokens(F.col(text)))
 
 
-def score_tokens(rows: DataFrame, corpus: DataFrame, text: str, seq_id: str) -> DataFrame:
+def word_hashes(text: Column) -> Column:
+    """The words of a text as 64-bit hashes: rows and joins of them are slim.
+
+    Two words of equal hash would count as one, which among ten million words happens
+    with a chance of three in a million.
+    """
+    return F.transform(word_tokens(text), lambda word: F.xxhash64(word))
+
+
+def score_tokens(rows: DataFrame, corpus: DataFrame, text: str, seq_id: str, hashed: bool = False) -> DataFrame:
     """Add-one bigram log-probabilities of rows, counted on a larger corpus.
 
-    The corpus pass counts word pairs, combined per task before they are shuffled,
-    so a frequent pair costs one row per task. Only pairs that the scored rows ask
-    for are then kept; the counts of single words follow from all pairs.
+    The corpus pass counts words, and beside them the pairs that the scored rows ask
+    for (and few others, let through by a filter of fixed size), combined per task before
+    they are shuffled, so a frequent word costs one row per task. With ``hashed`` the
+    rows hold :func:`word_hashes`.
     """
-    needed = _scored_pairs(rows)
-    corpus_words = text_token_rows(corpus.withColumn("_id", F.lit(0)), "_id", text)
+    needed = stored(_scored_pairs(rows), "scored-pairs")
+    words = word_hashes if hashed else word_tokens
+    corpus_words = token_rows(corpus.withColumn("_id", F.lit(0)), "_id", words(F.col(text)))
+    asked = probably_in(needed.select(F.xxhash64("prev", "token").alias("pair")), "pair")(F.xxhash64("prev", "token"))
     counted = stored(
-        corpus_words.groupBy("prev", "token").agg(F.count("*").alias("pair_count")), "pair-counts"
+        corpus_words.select(F.when(asked, F.col("prev")).alias("prev"), "token")
+        .groupBy("prev", "token")
+        .agg(F.count("*").alias("pair_count")),
+        "pair-counts",
     )
     pairs = needed.join(counted, ["prev", "token"], "left")
     return _score(rows, pairs, _word_counts(counted), seq_id)
@@ -66,15 +81,47 @@ def score_tokens(rows: DataFrame, corpus: DataFrame, text: str, seq_id: str) ->
 def score_own_tokens(rows: DataFrame, seq_id: str, in_model: str) -> DataFrame:
     """The same where the corpus is part of the scored rows, marked by ``in_model``.
 
-    One grouping of the rows by word pair gives both what must be scored and
-    what the model counts.
+    The rows are read several times, so their words should be stored. They are shuffled
+    once, by their first word: its count is joined there, and those of its pairs are sums
+    over the rows beside. The rows of a hot word are spread by the second one; those of
+    hot pairs, whose words are both hot, and those without a first word by ``seq_id``. Hot
+    words and pairs, at most a thousand each, are counted before and broadcast.
     """
-    counted = rows.groupBy("prev", "token").agg(
-        F.count("*").alias("occurrences"), F.count_if(in_model).alias("pair_count")
+    words = stored(
+        rows.groupBy(F.col("token").alias("prev")).agg(
+            F.count("*").alias("occurrences"), F.count_if(in_model).alias("prev_count")
+        ),
+        "word-counts",
     )
-    counted = stored(counted, "pair-counts")
-    pairs = counted.where(F.col("prev").isNotNull())
-    return _score(rows, pairs, _word_counts(counted), seq_id)
+    vocabulary = words.agg(F.count_if(F.col("prev_count") > 0)).scalar()
+    limit = words.agg(F.sum("occurrences")).scalar() * F.lit(HOT_SHARE)
+    is_hot = F.col("occurrences") > limit
+    hot = words.where(is_hot)
+    both_hot = rows.join(F.broadcast(hot.select("prev")), "prev").join(
+        F.broadcast(hot.select(F.col("prev").alias("token"))), "token"
+    )
+    hot_pairs = stored(
+        both_hot.groupBy("prev", "token")
+        .agg(F.count("*").alias("occurrences"), F.count_if(in_model).alias("_pair_count"))
+        .where(is_hot)
+        .select("prev", "token", "_pair_count"),
+        "hot-pairs",
+    )
+    spread = F.when(F.col("_pair_count").isNotNull() | F.col("prev").isNull(), F.xxhash64(seq_id)).when(
+        F.col("_hot").isNotNull(), F.xxhash64("token")
+    )
+    salted = (
+        rows.join(F.broadcast(hot.select("prev", F.col("prev_count").alias("_hot"))), "prev", "left")
+        .join(F.broadcast(hot_pairs), ["prev", "token"], "left")
+        .withColumn("_salt", F.coalesce(1 + F.pmod(spread, F.lit(SALTS)), F.lit(0)).cast("int"))
+    )
+    cold = words.where(~is_hot).select("prev", F.lit(0).alias("_salt"), F.col("prev_count").alias("_cold"))
+    counted = salted.join(cold, ["prev", "_salt"], "left")
+    beside = F.count_if(in_model).over(Window.partitionBy("prev", "_salt", "token"))
+    seen = F.coalesce("_pair_count", beside) + 1
+    context = F.coalesce("_hot", "_cold", F.lit(0)) + vocabulary
+    logprob = F.when(F.col("prev").isNotNull(), F.ln(seen / context))
+    return counted.select(*rows.columns, logprob.alias("logprob"))
 
 
 def _scored_pairs(rows: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from leakscope.operators.embeddings import cosine_pairs
 from leakscope.operators.entities import entity_probes, truth_key
 from leakscope.operators.logprobs import sequence_perplexity
 from leakscope.plans.frames import planned_once, read_table
+from leakscope.session import stored
 from leakscope.sources.responses import parse_completions
 
 UNSURE = "I am not sure"
@@ -244,12 +245,13 @@ def scored_texts(spark: SparkSession, sf: str, *categories: str) -> DataFrame:
     chosen = texts(spark, sf, *categories)
     in_model = F.col("category") == "corpus"
     if categories and "corpus" not in categories:
-        rows = corpus_lm.text_token_rows(chosen, "text_id", "text")
+        rows = corpus_lm.token_rows(chosen, "text_id", corpus_lm.word_hashes(F.col("text")))
         documents = read_table(spark, sf, "documents")
-        scored = corpus_lm.score_tokens(rows, documents, "text", "text_id")
+        scored = corpus_lm.score_tokens(rows, documents, "text", "text_id", hashed=True)
     else:
-        tagged = chosen.withColumn("key", F.struct("text_id", in_model.alias("in_model")))
-        rows = corpus_lm.text_token_rows(tagged, "key", "text").select("key.*", "pos", "prev", "token")
+        key = F.struct("text_id", in_model.alias("in_model")).alias("key")
+        tagged = stored(chosen.select(key, corpus_lm.word_hashes(F.col("text")).alias("words")), "text-words")
+        rows = corpus_lm.token_rows(tagged, "key", F.col("words")).select("key.*", "prev", "token")
         scored = corpus_lm.score_own_tokens(rows, "text_id", "in_model")
     stats = sequence_perplexity(scored, "text_id")
     # A text without words has no token rows, but a row here.
@@ -366,7 +368,7 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
         .select("entity")
     )
     regions = read_table(spark, sf, "region").select(F.col("r_name").alias("entity"))
-    return frequent.unionByName(regions)
+    return stored(frequent.unionByName(regions), "entities")
 
 
 @planned_once
@@ -374,18 +376,18 @@ def followers(spark: SparkSession, sf: str) -> DataFrame:
     """(entity, follower): the word that most often comes right after the entity."""
     listed = entities(spark, sf)
     documents = read_table(spark, sf, "documents")
-    stored = documents.select(cased_tokens(F.col("text")).alias("w"))
+    words = documents.select(cased_tokens(F.col("text")).alias("w"))
     pairs = F.zip_with(
         F.col("w"),
         F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))),
         lambda a, b: F.struct(a.alias("entity"), b.alias("follower")),
     )
-    rows = explode_rows(stored, pairs, "p").select("p.*").where(F.col("follower").isNotNull())
+    rows = explode_rows(words, pairs, "p").select("p.*").where(F.col("follower").isNotNull())
     counts = rows.join(listed, "entity", "left_semi").groupBy("entity", "follower").agg(
         F.count("*").alias("n")
     )
     best = F.max(F.struct("n", "follower"))
-    return counts.groupBy("entity").agg(best["follower"].alias("follower"))
+    return stored(counts.groupBy("entity").agg(best["follower"].alias("follower")), "followers")
 
 
 @planned_once

@@ -162,6 +162,45 @@ def test_bigram_model_against_brute_force(spark):
         assert r["logprob"] == pytest.approx(brute_logprob(corpus, r["prev"], r["token"]))
 
 
+def _long_tail(rng):
+    """Texts with hot words, a hot pair and thousands of rare words, some of rows without a word."""
+    word = lambda: f"w{int(rng.random() ** 3 * 4000)}" if rng.random() < 0.6 else rng.choice(["the", "of", "a"])
+    return [" ".join("of the" if rng.random() < 0.1 else word() for _ in range(rng.randint(0, 60))) for _ in range(300)]
+
+
+def test_bigram_model_with_rare_and_hot_words_against_brute_force(spark):
+    """Rows are scored without a table of all pairs, and the corpus pass keeps the pairs that are asked for."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    texts = [(i, t, i % 3 > 0) for i, t in enumerate(_long_tail(rng))]
+    corpus = [t.split() for _, t, m in texts if m]
+    words, pairs = Counter(w for t in corpus for w in t), Counter(p for t in corpus for p in zip(t, t[1:]))
+    brute = lambda p: math.log((pairs[p] + 1) / (words[p[0]] + len(words)))
+    table = spark.createDataFrame(texts, "id int, text string, m boolean").repartition(4)
+    key = F.struct("id", F.col("m").alias("in_model")).alias("key")
+    own = corpus_lm.token_rows(table.select(key, "text"), "key", corpus_lm.word_tokens(F.col("text"))).select("key.*", "pos", "prev", "token")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = corpus_lm.score_own_tokens(own, "id", "in_model")
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not any("leakscope-pair-counts" in f for f in found.inputFiles())
+    assert len(got) == sum(len(t.split()) for _, t, _ in texts)
+    for r in got:
+        assert r.logprob == (None if r.prev is None else pytest.approx(brute((r.prev, r.token))))
+    asked = corpus_lm.text_token_rows(table.where("NOT m AND id < 12"), "id", "text")
+    scored = corpus_lm.score_tokens(asked, table.where("m"), "text", "id")
+    for r in scored.collect():
+        assert r.logprob == (None if r.prev is None else pytest.approx(brute((r.prev, r.token))))
+    folder = next(f for f in scored.inputFiles() if "leakscope-pair-counts" in f).rsplit("/", 1)[0]
+    kept = spark.read.parquet(folder).where("prev IS NOT NULL").count()
+    assert 0 < kept <= asked.select("prev", "token").distinct().count() < len(pairs) / 4
+
+
 def scored(spark, rows):
     columns = "text_id string, category string, avg_logprob double, token_count int, is_infinite boolean, perplexity double"
     return spark.createDataFrame([(i, c, -math.log(p) if p else 0.0, 3, p is None, p or math.inf) for i, c, p in rows], columns)
