@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leakscope import config
 from leakscope.functions.similarity import held
 from leakscope.functions.text import explode_rows
-from leakscope.operators.scaling import lookup_join
+from leakscope.operators.scaling import lookup_join, probably_in
 from leakscope.session import stored
 
 # Characters of the grams by which words are looked up.
@@ -69,8 +69,8 @@ def entity_occurrences(entities: DataFrame, corpus: DataFrame, text: str) -> Dat
 
     A text is cut into words and the gaps between them; an entity is a run of such
     pieces, so counting is an equality join. Only runs of lengths that entities have
-    are made. All runs are counted before the join, combined per task, so a frequent
-    one costs a row per task.
+    are made, and a filter of fixed size leaves out nearly all that are none. The others
+    are counted before the join, combined per task, so a frequent one costs a row per task.
     """
     listed = entities.select("entity").distinct()
     spans = listed.agg(
@@ -91,7 +91,8 @@ def entity_occurrences(entities: DataFrame, corpus: DataFrame, text: str) -> Dat
             ),
         )
     )
-    counted = explode_rows(stored_pieces, runs, "entity").groupBy("entity").agg(F.count("*").alias("occurrences"))
+    asked = probably_in(listed, "entity")(F.col("entity"))
+    counted = explode_rows(stored_pieces, runs, "entity").where(asked).groupBy("entity").agg(F.count("*").alias("occurrences"))
     return counted.join(listed, "entity", "left_semi")
 
 

@@ -327,3 +327,27 @@ def test_entity_filter_against_brute_force(spark):
     some = names[1:4] + names[7:]
     found = entities.texts_with_entities(corpus, spark.createDataFrame([(n,) for n in some], "entity string"), "doc_id", "text")
     assert sorted(r.doc_id for r in found.collect()) == [i for i, t in texts if any(n and t and n in t for n in some)]
+
+
+def test_occurrences_are_counted_for_listed_entities_only(spark):
+    """Runs that are no entity are left out before they are counted and shuffled."""
+    corpus = spark.createDataFrame([(i, f"Paris w{i} x{i} New York, y{i}") for i in range(400)], "doc_id int, text string")
+    listed = spark.createDataFrame([("Paris",), ("New York",), ("Oz",), (None,)], "entity string")
+    counted = entities.entity_occurrences(listed, corpus, "text")
+    assert {r.entity: r.occurrences for r in counted.collect()} == {"Paris": 400, "New York": 400}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(entity" in plan[: plan.rindex("Generate")]
+
+
+def test_entities_and_followers_are_found_once(spark, tmp_path):
+    from leakscope.plans import inputs
+    from leakscope.plans.frames import forget
+
+    spark.createDataFrame([(1, "Paris Match Paris"), (2, "in Paris Match")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("ASIA",)], "r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    forget(spark)
+    found, after = inputs.entities(spark, str(tmp_path)), inputs.followers(spark, str(tmp_path))
+    forget(spark)
+    assert sorted(r.entity for r in found.collect()) == ["ASIA", "Match", "Paris"]
+    assert {r.entity: r.follower for r in after.collect()} == {"Paris": "Match", "Match": "Paris"}
+    assert all("documents.parquet" not in f for f in [*found.inputFiles(), *after.inputFiles()])
