@@ -136,3 +136,24 @@ def test_a_vector_with_nan_takes_no_place(spark):
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     found = nearest_vectors(table.where("vec_id < 6"), table, k=2, exclude_same_id=True, block_rows=16).collect()
     assert len(found) == 12 and 9 not in {r["neighbour_id"] for r in found}
+
+
+def test_vectors_travel_as_floats_to_few_blocks(spark):
+    from leakscope.operators import embeddings
+
+    table = spark.range(100_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    sent = embeddings._replicated(table.where("vec_id < 10"), "qb", F.lit(8), "rb", embeddings._block_count(table, embeddings.BLOCK_ROWS))
+    assert sent.count() == 80 and dict(sent.dtypes)["embedding"] == "array<float>"
+
+
+def test_strips_give_the_same_neighbours(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from leakscope.operators import embeddings
+
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"vec_id": range(40), "embedding": [v for v in rng.normal(size=(40, 5)).astype(np.float32)]})
+    whole = embeddings._cell_top(frame, frame, 3, True)
+    monkeypatch.setattr(embeddings, "STRIP_ROWS", 7)
+    assert embeddings._cell_top(frame, frame, 3, True).equals(whole) and len(whole) == 120
