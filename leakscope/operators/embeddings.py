@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from leakscope import config
 from leakscope.functions.text import explode_rows, word_tokens
 from leakscope.functions.vectors import EPSILON, as_doubles, cosine, norm
-from leakscope.operators.scaling import lookup_join
 
 # Most rows of a block, and the query rows compared at once: the similarities stay near 70 MB.
 BLOCK_ROWS = 16384
 STRIP_ROWS = 512
 # Smaller tables are cut into up to so many blocks of an eighth, so that they spread too.
 LEAST_BLOCKS = 8
+# A term above this share of all occurrences is broadcast, so at most 100,000 are.
+COMMON_SHARE = 1e-5
 
 
 def with_norms(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -64,39 +65,59 @@ def embedding_verdict(
 
 
 def term_rows(texts: DataFrame, text_id: str, text: str) -> DataFrame:
-    """(text_id, term, tf); a text's words are counted in its own task before the shuffle."""
-    words = explode_rows(texts, word_tokens(F.col(text)), "term", text_id)
+    """(text_id, term, tf), with all rows of an id in one task: the texts travel, their terms do not."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_id = texts.select(text_id, text).repartition(tasks, text_id)
+    words = explode_rows(by_id, word_tokens(F.col(text)), "term", text_id)
     return words.groupBy(text_id, "term").agg(F.count("*").alias("tf"))
 
 
 def text_vectors(
-    texts: DataFrame, text_id: str, text: str, corpus: DataFrame | None = None, corpus_text: str = "text"
+    texts: DataFrame,
+    text_id: str,
+    text: str,
+    corpus: DataFrame | None = None,
+    corpus_text: str = "text",
+    common_share: float = COMMON_SHARE,
 ) -> DataFrame:
     """Unit-length TF-IDF vectors in sparse long form: (text_id, term, weight).
 
     The inverse document frequency is ``ln((N + 1) / (df + 1))`` over ``corpus``,
-    by default the texts themselves. A text's own terms are brought together
-    once, to scale them; they fit where the text did.
+    by default the texts themselves. Common terms, of more than ``common_share`` of
+    all occurrences and so at most its inverse, are broadcast to the texts; rare ones
+    go to the dictionary and come back. A text's own terms are brought together to
+    scale them; they fit where the text did.
     """
-    terms = term_rows(texts, text_id, text)
     if corpus is None:
         corpus, corpus_text = texts, text
     documents = corpus.agg(F.count("*")).scalar()
     distinct = F.array_distinct(word_tokens(F.col(corpus_text)))
     frequency = explode_rows(corpus, distinct, "term").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln((documents + 1) / (F.col("df") + 1))
-    dictionary = frequency.select("term", F.col("df").alias("occurrences"), idf.alias("idf"))
-    weighted = lookup_join(terms, dictionary, ["term"], "occurrences", text_id).withColumn(
-        "_raw", F.col("tf") * F.coalesce("idf", F.ln(documents + 1))
-    )
-    per_text = weighted.groupBy(text_id).agg(
-        F.collect_list(F.struct("term", "_raw")).alias("_terms"),
-        F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_length"),
-    )
+    dictionary = frequency.withColumn("idf", F.ln((documents + 1) / (F.col("df") + 1)))
+    limit = frequency.agg(F.sum("df")).scalar() * F.lit(common_share)
+    common = dictionary.where(F.col("df") > limit).select("term", "idf")
+    rare = dictionary.where(F.col("df") <= limit).select("term", "idf")
+
+    def gathered(terms: DataFrame, name: str) -> DataFrame:
+        raw = F.col("tf") * F.col("idf")
+        return terms.groupBy("_of").agg(
+            F.collect_list(F.when(raw.isNotNull(), F.struct("term", raw.alias("raw")))).alias(f"_{name}"),
+            F.sum(raw * raw).alias(f"_{name}_squares"),
+        )
+
+    # Within a struct, an id that is null equals itself.
+    keyed = texts.select(F.struct(F.col(text_id).alias("id")).alias("_of"), F.col(text).alias("_text"))
+    marked = term_rows(keyed, "_of", "_text").join(F.broadcast(common), "term", "left")
+    asked = marked.where("idf IS NULL").drop("idf").join(rare, "term", "left")
+    answered = asked.withColumn("idf", F.coalesce("idf", F.ln(documents + 1)))
+    both = gathered(marked, "common").join(gathered(answered, "rare"), "_of", "left")
+    nothing = F.array().cast("array<struct<term:string,raw:double>>")
+    squares = F.coalesce("_common_squares", F.lit(0.0)) + F.coalesce("_rare_squares", F.lit(0.0))
     return (
-        per_text.where(F.col("_length") > 0)
-        .select(text_id, "_length", F.explode("_terms").alias("_t"))
-        .select(text_id, "_t.term", (F.col("_t._raw") / F.col("_length")).alias("weight"))
+        both.withColumn("_length", F.sqrt(squares))
+        .where(F.col("_length") > 0)
+        .select("_of", "_length", F.explode(F.concat("_common", F.coalesce("_rare", nothing))).alias("_t"))
+        .select(F.col("_of.id").alias(text_id), "_t.term", (F.col("_t.raw") / F.col("_length")).alias("weight"))
     )
 
 

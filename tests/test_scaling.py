@@ -1,9 +1,11 @@
+import math
+from collections import Counter
 from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
 
-from leakscope.operators import contamination, dedup
+from leakscope.operators import contamination, dedup, embeddings
 from leakscope.operators.embeddings import nearest_vectors
 from leakscope.operators.scaling import lookup_join, running_sums
 
@@ -157,3 +159,24 @@ def test_strips_give_the_same_neighbours(spark, monkeypatch):
     whole = embeddings._cell_top(frame, frame, 3, True)
     monkeypatch.setattr(embeddings, "STRIP_ROWS", 7)
     assert embeddings._cell_top(frame, frame, 3, True).equals(whole) and len(whole) == 120
+
+
+def test_text_vectors_deal_texts_and_rare_terms(spark):
+    rows = [(1, "a b b c"), (1, "b d"), (2, "a zz"), (3, None), (None, "a yy"), (None, "yy"), (4, "a"), (5, "")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    asked = embeddings.text_vectors(texts, "doc_id", "text", common_share=0.15)
+    # The terms of a text are counted where it is, not dealt by text and term.
+    plan = asked._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [line.split("Exchange ")[1] for line in plan if "Exchange hashpartitioning" in line]
+    assert any("REPARTITION_BY_NUM" in line for line in dealt) and not any(", term#" in line for line in dealt)
+    got = {(r.doc_id, r.term): r.weight for r in asked.collect()}
+    counts = {}
+    for i, text in rows:
+        for term in (text or "").split():
+            counts.setdefault(i, Counter())[term] += 1
+    df = Counter(term for _, text in rows for term in set((text or "").split()))
+    raw = {i: {t: n * math.log((len(rows) + 1) / (df[t] + 1)) for t, n in terms.items()} for i, terms in counts.items()}
+    want = {(i, t): v / math.sqrt(sum(x * x for x in terms.values())) for i, terms in raw.items() for t, v in terms.items()}
+    assert got == pytest.approx(want)
+    for share in (0.0, 1.0):
+        assert {(r.doc_id, r.term): r.weight for r in embeddings.text_vectors(texts, "doc_id", "text", common_share=share).collect()} == pytest.approx(want)
