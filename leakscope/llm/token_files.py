@@ -126,7 +126,8 @@ class WordCoder:
     so each different word is encoded once, by the library, and remembered. To have
     fewer different words, ASCII capitals are lowered if the tokenizer does so anyway,
     and marks that it cuts from the letter before are cut off first. Texts with an
-    added token, in any case, go without that.
+    added token, in any case, go without that. A word of small ASCII letters goes to
+    the tokenizer's model at once, if the steps before the model leave such words whole.
     """
 
     def __init__(self, path: str):
@@ -140,6 +141,8 @@ class WordCoder:
         self.lowers = normal is not None and normal.normalize_str(capitals) == capitals.lower()
         marks = "".join(m for m in ".,;:!?" if self._cuts(m))
         self.marks = f"([A-Za-z])([{marks}])" if marks else None
+        self.model = self.whole.model
+        self.leaves_letters = self._leaves(capitals.lower() * 4) and not any(x.isalpha() for x in self.added)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -147,6 +150,13 @@ class WordCoder:
         pre = self.whole.pre_tokenizer
         return pre is not None and all([x for x, _ in pre.pre_tokenize_str("b" + rest)][0] == "b" for rest in (mark, f"{mark}c", f"{mark}{mark}'s"))
 
+    def _leaves(self, letters: str) -> bool:
+        """Whether the steps before the model give the letters back as one piece."""
+        normal, pre = self.whole.normalizer, self.whole.pre_tokenizer
+        if normal is not None and normal.normalize_str(letters) != letters:
+            return False
+        return pre is not None and [x for x, _ in pre.pre_tokenize_str(letters)] == [letters]
+
     def vocabulary(self) -> int:
         return self.whole.get_vocab_size(with_added_tokens=True)
 
@@ -161,23 +171,28 @@ class WordCoder:
         """Ids of different words; those in use stay remembered."""
         if len(self.known) > KNOWN_WORDS:
             self.known, self.older = {}, self.known
-        missing = []
-        for word in words:
-            if word not in self.known:
-                if word in self.older:
-                    self.known[word] = self.older[word]
-                else:
-                    missing.append(word)
-        for word, found in zip(missing, self.whole.encode_batch_fast(missing, add_special_tokens=False)):
-            self.known[word] = array("I", found.ids).tobytes()
-        return [self.known[word] for word in words]
+        found = list(map(self.known.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        others = []
+        for k in missing:
+            word = words[k]
+            ids = self.older.get(word)
+            if ids is None and self.leaves_letters and word.isascii() and word.isalpha() and word.islower():
+                ids = array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
+            if ids is None:
+                others.append(k)
+            else:
+                self.known[word] = found[k] = ids
+        for k, coded in zip(others, self.whole.encode_batch_fast([words[k] for k in others], add_special_tokens=False)):
+            self.known[words[k]] = found[k] = array("I", coded.ids).tobytes()
+        return found
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text begins in them (one bound more than texts)."""
         lists = pc.ascii_split_whitespace(self._simpler(texts))
         coded = lists.flatten().dictionary_encode()
-        found = self._ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
+        found = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, begins = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
         order = coded.indices.to_numpy()
         counts = sizes[order]

@@ -80,6 +80,25 @@ def test_words_are_forgotten_and_learnt_again(monkeypatch):
         assert len(coder.known) < 30
 
 
+def test_letters_go_to_the_model_at_once():
+    import pyarrow as pa
+
+    class Seen:
+        def __init__(self, whole):
+            self.whole, self.words = whole, []
+
+        def encode_batch_fast(self, words, **options):
+            self.words += words
+            return self.whole.encode_batch_fast(words, **options)
+
+    coder = token_files.WordCoder(PATH)
+    coder.whole = Seen(coder.whole)
+    texts = ["Plain words, in small Letters. été x1 it's " + "long" * 500, "plain words again"]
+    ids, bounds = coder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [whole(t)[:-1] for t in texts]
+    assert {w for w in coder.whole.words if w.isascii() and w.isalpha()} == set() and "été" in coder.whole.words
+
+
 def read(spark, path):
     rows = token_files.read_token_files(spark, path).cache()
     return sorted(token_files.with_starts(rows).collect(), key=lambda r: r.start)
