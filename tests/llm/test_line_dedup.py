@@ -117,3 +117,19 @@ def test_query_and_sql_take_near_copies_of_short_lines(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert oracle.difference(found, con, ORACLES["op7_line_dedup"]) is None
+
+
+def test_characters_stay_with_their_line(spark, monkeypatch):
+    plans, kept = {}, line_dedup.once
+
+    def once(table, name):
+        plans[name] = table._jdf.queryExecution().executedPlan().toString().splitlines()
+        return kept(table, name)
+
+    monkeypatch.setattr(line_dedup, "once", once)
+    line_dedup.line_copies(cases.documents(spark, ROWS))
+    # Below the sums over a line's characters, no exchange before the lines are cut into them.
+    plan = plans["known-lines"]
+    generate = next(i for i, x in enumerate(plan) if "Generate posexplode" in x)
+    window = max(i for i, x in enumerate(plan[:generate]) if "Window [" in x)
+    assert not [x for x in plan[window:generate] if "Exchange" in x]
